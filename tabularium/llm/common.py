@@ -12,15 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and cut its lineage.
-
-    The folder is the one the cluster names in spark.checkpoint.dir. Only where
-    none is set, as in local tests, a temporary one is made.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set, as in local tests."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -32,6 +34,22 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def carried(docs: DataFrame, *replaced: str) -> Column:
+    """All columns of docs as one struct ``row``, but for those whose names the operator's own results take.
+
+    What an operator adds on the way cannot clash with names inside the struct.
+    """
+    taken = {name.lower() for name in replaced}
+    names = [F.col(f"`{name}`") for name in docs.columns if name.lower() not in taken]
+    return (F.struct(*names) if names else F.struct(F.lit(None).cast("string").alias("_none"))).alias("row")
+
+
+def restored(rows: DataFrame, *added: str) -> DataFrame:
+    """The columns that carried() packed, and those added."""
+    names = [name for name in rows.schema["row"].dataType.names if name != "_none"]
+    return rows.select(*[F.col("row")[name].alias(name) for name in names], *added)
+
+
 def fold_of(doc_id: Column, modulus: int) -> Column:
     """crc32(doc_id as text) mod modulus; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import fold_of, table
+from tabularium.llm.common import carried, fold_of, restored, table
 from tabularium.llm.tokens import public_vocabulary
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -172,6 +172,18 @@ def predict(text: Column, model: dict[str, dict[int, float]], vocabulary: str, s
     return run(text)
 
 
+def keep_declared(docs: DataFrame, model: dict[str, dict[int, float]], vocabulary: str, lang_col: str = "lang", text_col: str = "text", sure: float = 0.99) -> DataFrame:
+    """The rows of docs with letters whose declared language no sure prediction contradicts.
+
+    Rows without letters go. A null declared language, or one the model has not learned, is not contradicted.
+    """
+    found, declared = predict(F.col(text_col), model, vocabulary, docs.sparkSession), F.col(f"row.{lang_col}")
+    learned = declared.isin(*model) if model else F.lit(False)
+    wrong = F.coalesce(learned & (declared != F.col("found.lang")) & (F.col("found.score") >= sure), F.lit(False))
+    rows = docs.select(carried(docs), found.alias("found")).where((F.col("found.lang") != UNDETERMINED) & ~wrong)
+    return restored(rows)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, vocabulary = table(spark, sf_dir, "documents"), public_vocabulary("piece_bpe_32k.model")
     held_out = fold_of(F.col("doc_id"), 4) == 2

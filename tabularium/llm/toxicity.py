@@ -126,6 +126,11 @@ def score(text: Column, model: Model, spark: SparkSession) -> Column:
     return run(text)
 
 
+def keep_civil(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score below the threshold; null and empty texts stay."""
+    return docs.where(score(F.col(text_col), model, docs.sparkSession) < threshold)
+
+
 def offending(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """(id, start, end, sentence, score) of every sentence that scores ``least`` or more by itself."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
