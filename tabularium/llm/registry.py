@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tabularium.llm import chat, language, licenses, media, mixing, neighbours, packing, simhash, toxicity
+from tabularium.llm import chat, language, licenses, media, mixing, neighbours, packing, quality, simhash, toxicity
 
-MODULES = (mixing, licenses, neighbours, media, chat, toxicity, packing, simhash, language)
+MODULES = (mixing, licenses, neighbours, media, toxicity, packing, chat, simhash, quality, language)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
