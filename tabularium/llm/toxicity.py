@@ -1,9 +1,14 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. Each sentence has a logistic score over its
-words; noisy-or combines them to the document's score. Only documents carry
-labels; training pushes the noisy-or towards them, and the sentence scores then
-say where the offence is.
+words and their first letters, so that one offensive stem covers its endings;
+noisy-or combines them to the document's score. Only documents carry labels;
+training pushes the noisy-or towards them, and the sentence scores then say where
+the offence is.
+
+The terms are chosen first: again and again the one that best tells the offending
+documents not yet covered from the clean ones, by the likelihood ratio, until each
+is covered some times over. Rare words that merely come along are left out.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ from tabularium.llm.common import fold_of, table
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"[^.!?\n]+")
 LONGEST = 40  # words; longer sentences count as several
+STEM, STEM_LENGTHS = "*", (4, 5, 6, 7)  # the mark of a beginning, and its letters
+CACHED_WORDS = 300_000
 THRESHOLD = 0.7
 
 
@@ -41,39 +48,78 @@ def sentences(text: str) -> Iterator[tuple[int, int, list[str]]]:
             yield m.start() + part[0][0], m.start() + part[-1][1], [w for _, _, w in part]
 
 
-def train(texts: list[str], labels: np.ndarray, least_docs: int = 5, rounds: int = 200, rate: float = 0.15, decay: float = 2e-4) -> Model:
-    """Full-batch Adam on the noisy-or likelihood over words that occur in least_docs documents or more."""
-    bags = [[set(words) for _, _, words in sentences(t or "")] for t in texts]
-    docs_with = Counter(w for bag in bags for w in set().union(*bag))
-    vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in docs_with.items() if n >= least_docs))}
+def terms(word: str) -> list[str]:
+    """The word and its beginnings."""
+    return [word, *[word[:n] + STEM for n in STEM_LENGTHS if len(word) > n]]
+
+
+def choose(documents: list[set[str]], labels: np.ndarray, least_docs: int = 3, least_ratio: float = 15.0, cover: int = 8, most: int = 500) -> list[str]:
+    """Terms that cover the offending documents ``cover`` times, best first, by twice the log-likelihood ratio."""
+    counts = Counter(t for d in documents for t in d)
+    names = sorted(t for t, n in counts.items() if n >= least_docs)
+    place = {t: i for i, t in enumerate(names)}
+    pairs = [(d, i) for d, found in enumerate(documents) for t in found if (i := place.get(t)) is not None]
+    doc, term = np.array(pairs, np.int32).reshape(-1, 2).T
+    clean, rest = np.bincount(term[~labels[doc]], minlength=len(names)).astype(float), float((~labels).sum())
+
+    def ratios(live: np.ndarray) -> np.ndarray:
+        weight = live / np.maximum(live.sum(), 1) * (live > 0).sum()  # documents still to be covered count as whole ones together
+        hit, n = np.bincount(term, weight[doc], minlength=len(names)), float((live > 0).sum())
+        expected = (hit + clean) * n / (n + rest)
+        own = hit * np.log(np.maximum(hit, 1e-9) / np.maximum(expected, 1e-9))
+        other = clean * np.log(np.maximum(clean, 1e-9) / np.maximum(hit + clean - expected, 1e-9))
+        return np.where(hit > expected, 2 * (own + other), 0.0)
+
+    live = np.where(labels, cover, 0)
+    strong = ratios(live) > least_ratio / 3
+    doc, term = doc[strong[term]], term[strong[term]]
+    chosen: list[str] = []
+    while len(chosen) < most and live.any():
+        ratio = ratios(live)
+        ratio[[place[t] for t in chosen]] = 0
+        best = int(ratio.argmax())
+        if ratio[best] < least_ratio:
+            break
+        chosen.append(names[best])
+        live[doc[term == best]] -= 1
+        live = np.maximum(live, 0)
+    return chosen
+
+
+def train(texts: list[str], labels: np.ndarray, rounds: int = 500, rate: float = 0.1, decay: float = 1e-6) -> Model:
+    """Full-batch Adam on the noisy-or likelihood over the chosen terms. Repeated texts count once."""
     labels = np.asarray(labels, dtype=bool)
-    if not len(texts) or not labels.any() or labels.all() or not vocabulary:
+    first = {(t or "", y): i for i, (t, y) in reversed(list(enumerate(zip(texts, labels.tolist()))))}
+    texts, labels = [texts[i] for i in sorted(first.values())], labels[sorted(first.values())]
+    if not len(texts) or not labels.any() or labels.all():
         return Model({}, -20.0 if not labels.any() else 20.0)
-    word, sentence, doc, n = [], [], [], 0
+    bags = [[{t for w in words for t in terms(w)} for _, _, words in sentences(text or "")] for text in texts]
+    vocabulary = {t: i for i, t in enumerate(choose([set().union(*bag) for bag in bags], labels))}
+    term, sentence, doc, n = [], [], [], 0
     for d, bag in enumerate(bags):
-        for words in bag:
-            ids = [i for w in words if (i := vocabulary.get(w)) is not None]
-            word += ids
+        for found in bag:
+            ids = [i for t in found if (i := vocabulary.get(t)) is not None]
+            term += ids
             sentence += [n] * len(ids)
             doc.append(d)
             n += 1
-    word, sentence, doc = np.array(word, np.int32), np.array(sentence, np.int32), np.array(doc, np.int32)
-    w, b = np.zeros(len(vocabulary)), -4.0
+    term, sentence, doc = np.array(term, np.int32), np.array(sentence, np.int32), np.array(doc, np.int32)
+    w, b = np.full(len(vocabulary), 2.0), -6.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
-        z = b + np.bincount(sentence, w[word], minlength=n)
+        z = b + np.bincount(sentence, w[term], minlength=n)
         soft = np.logaddexp(0, z)
         none = np.bincount(doc, soft, minlength=len(bags))  # -log of "no sentence offends"
         q = np.exp(-none)
         pull = np.where(labels, -q / np.maximum(1 - q, 1e-9), 1.0)
         g = pull[doc] / (1 + np.exp(-z)) / len(bags)
-        gw, gb = np.bincount(word, g[sentence], minlength=len(w)) + decay * w, g.sum()
-        m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw**2
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
-        step = rate * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
+        gw, gb = np.bincount(term, g[sentence], minlength=len(w)) + decay * w, g.sum()
+        m, v = 0.9 * m + 0.1 * gw, 0.98 * v + 0.02 * gw**2
+        mb, vb = 0.9 * mb + 0.1 * gb, 0.98 * vb + 0.02 * gb**2
+        step = rate * (1 - t / (rounds + 1)) * np.sqrt(1 - 0.98**t) / (1 - 0.9**t)
         w -= step * m / (np.sqrt(v) + 1e-8)
         b -= step * mb / (np.sqrt(vb) + 1e-8)
-    return Model({x: float(w[i]) for x, i in vocabulary.items() if abs(w[i]) > 0.05}, float(b))
+    return Model({x: float(w[i]) for x, i in vocabulary.items()}, float(b))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 8000) -> Model:
@@ -100,18 +146,42 @@ def _soft(z: float) -> float:
     return float(np.logaddexp(0, z))
 
 
+class Scorer:
+    """Scores texts; what a word adds is looked up once."""
+
+    def __init__(self, weights: dict[str, float], bias: float):
+        self.weights, self.bias, self.plain = weights, bias, _soft(bias)
+        self.known: dict[str, tuple[str, ...]] = {}
+
+    def sentence(self, words: list[str]) -> float:
+        """The logit of one sentence."""
+        known, found = self.known, set()
+        for w in words:
+            hit = known.get(w)
+            if hit is None:
+                hit = known[w] = tuple(t for t in terms(w) if t in self.weights)
+            if hit:
+                found.update(hit)
+        if len(known) > CACHED_WORDS:
+            known.clear()
+        return self.bias + sum(self.weights[t] for t in sorted(found)) if found else self.bias
+
+    def text(self, text: str | None) -> float:
+        """Noisy-or over the sentences; an empty or null text scores 0."""
+        total, plain = 0.0, 0
+        for m in SENTENCE.findall((text or "").lower()):
+            words = WORD.findall(m)
+            for at in range(0, len(words), LONGEST):
+                z = self.sentence(words[at : at + LONGEST])
+                if z == self.bias:
+                    plain += 1
+                else:
+                    total += _soft(z)
+        return float(-np.expm1(-(total + plain * self.plain)))
+
+
 def score_text(text: str | None, weights: dict[str, float], bias: float) -> float:
-    """Noisy-or over the sentences; an empty or null text scores 0."""
-    get, total, plain = weights.get, 0.0, 0
-    for m in SENTENCE.findall((text or "").lower()):
-        words = WORD.findall(m)
-        for at in range(0, len(words), LONGEST):
-            z = sum(x for w in set(words[at : at + LONGEST]) if (x := get(w)) is not None)
-            if z:
-                total += _soft(bias + z)
-            else:
-                plain += 1
-    return float(-np.expm1(-(total + plain * _soft(bias))))
+    return Scorer(weights, bias).text(text)
 
 
 def score(text: Column, model: Model, spark: SparkSession) -> Column:
@@ -119,9 +189,9 @@ def score(text: Column, model: Model, spark: SparkSession) -> Column:
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        weights, bias = shared.value
+        scorer = Scorer(*shared.value)
         for batch in batches:
-            yield pd.Series([score_text(x, weights, bias) for x in batch], dtype="float64")
+            yield pd.Series([scorer.text(x) for x in batch], dtype="float64")
 
     return run(text)
 
@@ -136,12 +206,12 @@ def offending(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights, bias = shared.value
+        scorer = Scorer(*shared.value)
         for batch in batches:
             out = []
             for i, text in zip(batch["id"].tolist(), batch["text"].tolist()):
                 for a, b, words in sentences(text or ""):
-                    p = float(1 / (1 + np.exp(-bias - sum(weights.get(w, 0.0) for w in set(words)))))
+                    p = float(1 / (1 + np.exp(-scorer.sentence(words))))
                     if p >= least:
                         out.append((None if pd.isna(i) else int(i), a, b, text[a:b], p))
             yield pd.DataFrame(out, columns=["id", "start", "end", "sentence", "score"]).astype({"id": "Int64"})
