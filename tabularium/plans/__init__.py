@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from tabularium.plans import cleaning, comparison, relations, sales
+from tabularium.streaming import events
 
-MODULES = (sales, relations, cleaning, comparison)
+MODULES = (sales, relations, cleaning, comparison, events)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
