@@ -53,53 +53,64 @@ def terms(word: str) -> list[str]:
     return [word, *[word[:n] + STEM for n in STEM_LENGTHS if len(word) > n]]
 
 
-def choose(documents: list[set[str]], labels: np.ndarray, least_docs: int = 3, least_ratio: float = 15.0, cover: int = 8, most: int = 500) -> list[str]:
-    """Terms that cover the offending documents ``cover`` times, best first, by twice the log-likelihood ratio."""
-    counts = Counter(t for d in documents for t in d)
-    names = sorted(t for t, n in counts.items() if n >= least_docs)
+def _document_terms(text: str) -> set[str]:
+    return {t for w in set(WORD.findall(text.lower())) for t in terms(w)}
+
+
+def _ratio(hit: np.ndarray, miss: np.ndarray, offending: float, clean: float) -> np.ndarray:
+    """Twice the log-likelihood ratio of terms that favour offending documents, 0 for the others."""
+    expected = (hit + miss) * offending / (offending + clean)
+    own = hit * np.log(np.maximum(hit, 1e-9) / np.maximum(expected, 1e-9))
+    other = miss * np.log(np.maximum(miss, 1e-9) / np.maximum(hit + miss - expected, 1e-9))
+    return np.where(hit > expected, 2 * (own + other), 0.0)
+
+
+def choose(offending: list[str], clean: list[str], least_docs: int = 3, least_ratio: float = 15.0, cover: int = 8, most: int = 500) -> list[str]:
+    """Terms that cover the offending texts ``cover`` times, best first.
+
+    Texts are read one at a time, and only terms of offending ones are counted; no text's terms are held.
+    """
+    hits = Counter(t for text in offending for t in _document_terms(text))
+    hits = {t: n for t, n in hits.items() if n >= least_docs}
+    misses = Counter(t for text in clean for t in _document_terms(text) if t in hits)
+    names = sorted(hits)
+    hit, miss = np.array([hits[t] for t in names], float), np.array([misses[t] for t in names], float)
+    strong = _ratio(hit, miss, len(offending), len(clean)) > least_ratio / 3
+    names, miss = [t for t, keep in zip(names, strong) if keep], miss[strong]
     place = {t: i for i, t in enumerate(names)}
-    pairs = [(d, i) for d, found in enumerate(documents) for t in found if (i := place.get(t)) is not None]
+    pairs = [(d, place[t]) for d, text in enumerate(offending) for t in sorted(_document_terms(text) & place.keys())]
     doc, term = np.array(pairs, np.int32).reshape(-1, 2).T
-    clean, rest = np.bincount(term[~labels[doc]], minlength=len(names)).astype(float), float((~labels).sum())
-
-    def ratios(live: np.ndarray) -> np.ndarray:
-        weight = live / np.maximum(live.sum(), 1) * (live > 0).sum()  # documents still to be covered count as whole ones together
-        hit, n = np.bincount(term, weight[doc], minlength=len(names)), float((live > 0).sum())
-        expected = (hit + clean) * n / (n + rest)
-        own = hit * np.log(np.maximum(hit, 1e-9) / np.maximum(expected, 1e-9))
-        other = clean * np.log(np.maximum(clean, 1e-9) / np.maximum(hit + clean - expected, 1e-9))
-        return np.where(hit > expected, 2 * (own + other), 0.0)
-
-    live = np.where(labels, cover, 0)
-    strong = ratios(live) > least_ratio / 3
-    doc, term = doc[strong[term]], term[strong[term]]
-    chosen: list[str] = []
-    while len(chosen) < most and live.any():
-        ratio = ratios(live)
+    live, chosen = np.full(len(offending), cover), []
+    while names and len(chosen) < most and live.any():
+        open_ = float((live > 0).sum())
+        weight = live / live.sum() * open_  # what is still to be covered counts as so many documents
+        ratio = _ratio(np.bincount(term, weight[doc], minlength=len(names)), miss, open_, len(clean))
         ratio[[place[t] for t in chosen]] = 0
         best = int(ratio.argmax())
         if ratio[best] < least_ratio:
             break
         chosen.append(names[best])
-        live[doc[term == best]] -= 1
-        live = np.maximum(live, 0)
+        covered = doc[term == best]
+        live[covered] = np.maximum(live[covered] - 1, 0)
     return chosen
 
 
 def train(texts: list[str], labels: np.ndarray, rounds: int = 500, rate: float = 0.1, decay: float = 1e-6) -> Model:
     """Full-batch Adam on the noisy-or likelihood over the chosen terms. Repeated texts count once."""
-    labels = np.asarray(labels, dtype=bool)
-    first = {(t or "", y): i for i, (t, y) in reversed(list(enumerate(zip(texts, labels.tolist()))))}
-    texts, labels = [texts[i] for i in sorted(first.values())], labels[sorted(first.values())]
+    first: dict[tuple[str, bool], None] = dict.fromkeys((t or "", bool(y)) for t, y in zip(texts, labels))
+    texts, labels = [t for t, _ in first], np.array([y for _, y in first], bool)
     if not len(texts) or not labels.any() or labels.all():
         return Model({}, -20.0 if not labels.any() else 20.0)
-    bags = [[{t for w in words for t in terms(w)} for _, _, words in sentences(text or "")] for text in texts]
-    vocabulary = {t: i for i, t in enumerate(choose([set().union(*bag) for bag in bags], labels))}
-    term, sentence, doc, n = [], [], [], 0
-    for d, bag in enumerate(bags):
-        for found in bag:
-            ids = [i for t in found if (i := vocabulary.get(t)) is not None]
-            term += ids
+    chosen = choose([t for t, y in zip(texts, labels) if y], [t for t, y in zip(texts, labels) if not y])
+    vocabulary = {t: i for i, t in enumerate(chosen)}
+    term, sentence, doc, plain, n = [], [], [], np.zeros(len(texts)), 0
+    for d, text in enumerate(texts):
+        for _, _, words in sentences(text):
+            ids = {vocabulary[t] for w in set(words) for t in terms(w) if t in vocabulary}
+            if not ids:
+                plain[d] += 1
+                continue
+            term += sorted(ids)
             sentence += [n] * len(ids)
             doc.append(d)
             n += 1
@@ -108,12 +119,11 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 500, rate: float =
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
         z = b + np.bincount(sentence, w[term], minlength=n)
-        soft = np.logaddexp(0, z)
-        none = np.bincount(doc, soft, minlength=len(bags))  # -log of "no sentence offends"
+        none = np.bincount(doc, np.logaddexp(0, z), minlength=len(texts)) + plain * np.logaddexp(0, b)  # -log of "no sentence offends"
         q = np.exp(-none)
-        pull = np.where(labels, -q / np.maximum(1 - q, 1e-9), 1.0)
-        g = pull[doc] / (1 + np.exp(-z)) / len(bags)
-        gw, gb = np.bincount(term, g[sentence], minlength=len(w)) + decay * w, g.sum()
+        pull = np.where(labels, -q / np.maximum(1 - q, 1e-9), 1.0) / len(texts)
+        g = pull[doc] / (1 + np.exp(-z))
+        gw, gb = np.bincount(term, g[sentence], minlength=len(w)) + decay * w, g.sum() + (pull * plain).sum() / (1 + np.exp(-b))
         m, v = 0.9 * m + 0.1 * gw, 0.98 * v + 0.02 * gw**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.98 * vb + 0.02 * gb**2
         step = rate * (1 - t / (rounds + 1)) * np.sqrt(1 - 0.98**t) / (1 - 0.9**t)
