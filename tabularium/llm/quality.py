@@ -24,13 +24,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import broadcast_if_small, durable, fold_of, table
+from tabularium.llm.common import broadcast_if_small, durable, fold_of, table, written
 
 ORDER = 5
 #: Stands before a text's first character; characters up to it count as one.
 PAD = "\x02"
 #: n-grams in the broadcast table at most; characters of a batch.
-HEAD, BATCH = 300_000, 8_000_000
+HEAD, BATCH = 300_000, 16_000_000
 #: Of trusted documents left out of training, this share lies within the threshold; one fold of FOLDS is left out.
 QUANTILE, FOLDS = 0.995, 5
 #: The threshold is the quantile times this, for texts shorter or odder than those of one fold.
@@ -85,9 +85,9 @@ class Lookup:
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys
-        self.shift = np.uint64(64 - max(10, int(4 * len(keys) + 1).bit_length()))
+        self.shift = np.uint64(64 - max(10, int(2 * len(keys) + 1).bit_length()))
         slots = self._slot(keys)
-        self.first = np.full(1 << (64 - int(self.shift)), -1, np.int64)
+        self.first = np.full(1 << (64 - int(self.shift)), -1, np.int32)
         self.first[slots[::-1]] = np.arange(len(keys))[::-1]
         rest = np.flatnonzero(self.first[slots] != np.arange(len(keys)))
         self.rest = rest[np.argsort(keys[rest])]
@@ -191,14 +191,13 @@ def train(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """
     rows = texts.select(F.col(text_col).alias("text")).where(F.length("text") > 0)
     counted = rows.mapInPandas(_count(), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    levels = {ORDER: durable(counted)}
-    for order in range(ORDER - 1, 0, -1):
-        above = levels[order + 1]
-        short = F.substring("gram", 2, order).alias("gram")
-        # what stands at a text's start has no continuation before it: its occurrences count
-        count = F.when(F.first("gram").startswith(PAD), F.sum("n")).otherwise(F.count("*"))
-        levels[order] = above.select(short, "n").groupBy("gram").agg(count.cast("long").alias("n"))
-    every = durable(_union([level.select(F.lit(order).alias("level"), "gram", "n") for order, level in levels.items()]))
+    whole = written(counted)
+    # lower orders: how many different characters stand before a gram; at a text's start nothing does, and occurrences count
+    ends = whole.select("gram", "n", F.explode(F.sequence(F.lit(1), F.lit(ORDER - 1))).alias("level"))
+    ends = ends.select("level", F.right("gram", F.col("level")).alias("gram"), F.right("gram", F.col("level") + 1).alias("longer"), "n")
+    shorter = ends.groupBy("level", "gram").agg(F.sum("n").alias("occurrences"), F.count_distinct("longer").alias("kinds"))
+    shorter = written(shorter.select("level", "gram", F.when(F.col("gram").startswith(PAD), F.col("occurrences")).otherwise(F.col("kinds")).alias("n")))
+    every = whole.select(F.lit(ORDER).alias("level"), "gram", "n").union(shorter)
     stats = {r["level"]: r for r in every.groupBy("level").agg(F.count("*").alias("all"), *[F.count(F.when(F.col("n") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)]).collect()}
     uniform = -math.log((stats[1]["all"] if 1 in stats else 0) + 1)
 
@@ -208,7 +207,7 @@ def train(texts: DataFrame, text_col: str = "text") -> DataFrame:
         d1, d2, d3 = _discounts([seen[f"n{k}"] for k in (1, 2, 3, 4)] if seen else [0])
         n = F.col("n")
         cut = F.when(n == 1, d1).when(n == 2, d2).otherwise(d3)
-        level = every.where(F.col("level") == order).select("gram", "n", F.substring("gram", 1, order - 1).alias("context"), F.substring("gram", 2, order).alias("shorter"), cut.alias("cut"))
+        level = (whole if order == ORDER else shorter.where(F.col("level") == order)).select("gram", "n", F.substring("gram", 1, order - 1).alias("context"), F.substring("gram", 2, order).alias("shorter"), cut.alias("cut"))
         contexts = level.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("cuts")).select("context", "total", (F.col("cuts") / F.col("total")).alias("left"))
         level = level.join(contexts, "context")
         if lower is None:
@@ -216,13 +215,13 @@ def train(texts: DataFrame, text_col: str = "text") -> DataFrame:
         else:
             level = level.join(lower, "shorter")
             below = F.col("p")
-        level = level.select("gram", "n", ((n - F.col("cut")) / F.col("total") + F.col("left") * below).alias("q"))
+        level = written(level.select("gram", "n", ((n - F.col("cut")) / F.col("total") + F.col("left") * below).alias("q")))
         tables.append(level.select("gram", "n", F.log("q").alias("logp"), F.lit(None).cast("double").alias("bow")))
         tables.append(contexts.select(F.col("context").alias("gram"), F.lit(0).cast("long"), F.lit(None).cast("double"), F.log("left")))
         lower = level.select(F.col("gram").alias("shorter"), F.col("q").alias("p"))
     empty = texts.sparkSession.range(1).select(F.lit(""), F.lit(0).cast("long"), F.lit(uniform), F.lit(None).cast("double"))
-    whole = _union([*tables, empty]).groupBy("gram").agg(F.max("n").alias("n"), F.max("logp").alias("logp"), F.max("bow").alias("bow"))
-    return durable(whole)
+    model = _union([*tables, empty]).groupBy("gram").agg(F.max("n").alias("n"), F.max("logp").alias("logp"), F.max("bow").alias("bow"))
+    return written(model)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -235,8 +234,13 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 # ---- scoring
 
 
-def _head(model: DataFrame, most: int) -> pd.DataFrame:
-    """The n-grams of the largest counts: all from a power of two on, most at most."""
+def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"h": hash_of(batch["gram"].tolist()).view(np.int64), "logp": batch["logp"], "bow": batch["bow"]})
+
+
+def _head(model: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, log-probabilities and weights of the n-grams of the largest counts: all from a power of two on, most at most."""
     sizes = model.where("n > 0").groupBy(F.floor(F.log2("n")).alias("power")).count().collect()
     least, held = 64, 0
     for row in sorted(sizes, key=lambda r: -r["power"]):
@@ -244,8 +248,10 @@ def _head(model: DataFrame, most: int) -> pd.DataFrame:
             break
         least, held = row["power"], held + row["count"]
     if not held:
-        return pd.DataFrame({"gram": [], "logp": [], "bow": []})
-    return model.where(F.floor(F.log2(F.when(F.col("n") > 0, F.col("n")))) >= least).select("gram", "logp", "bow").toPandas()
+        return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+    chosen = model.where((F.col("n") > 0) & (F.floor(F.log2(F.greatest("n", F.lit(1)))) >= least)).select("gram", "logp", "bow")
+    found = chosen.mapInPandas(_hashed, "h long, logp double, bow double").toPandas()
+    return found["h"].to_numpy().view(np.uint64), found["logp"].to_numpy(float), found["bow"].to_numpy(float)
 
 
 def _ask(shared):
@@ -284,12 +290,8 @@ def _score(shared):
 def perplexities(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", head: int = HEAD, batch_chars: int = BATCH) -> DataFrame:
     """(id, lang, n_chars, perplexity) of every row of docs; perplexity is null where a text is null or empty."""
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType
-    frequent, unseen = _head(model, head), model.where("gram = ''").first()["logp"]
-    root = model.where("gram = ''").first()["bow"]
-    grams = [g for g in frequent["gram"].tolist() if g]
-    frequent = frequent[frequent["gram"] != ""]
-    floor = unseen + (root if root is not None else 0.0)
-    shared = spark.sparkContext.broadcast((hash_of(grams), frequent["logp"].to_numpy(float), frequent["bow"].to_numpy(float), floor))
+    root = model.where("gram = ''").first()
+    shared = spark.sparkContext.broadcast((*_head(model, head), root["logp"] + (root["bow"] or 0.0)))
 
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()["chars"]
