@@ -44,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each copy lies in sequences of 2048 tokens."""
-    return packing.pack(docs, public_vocabulary("byte_bpe_50k.tiktoken")).withColumnRenamed("id", "doc_id")
+    return packing.pack(docs, public_vocabulary("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [

@@ -228,7 +228,7 @@ def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise(ASSISTANT).alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"),
     )
-    laid = windows(turns.unionByName(own), public_vocabulary("byte_bpe_50k.tiktoken"))
+    laid = windows(turns.unionByName(own), public_vocabulary("byte_bpe_50k.json"))
     return read_back(laid).withColumnRenamed("conv", "conv_id")
 
 

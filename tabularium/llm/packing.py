@@ -151,7 +151,7 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), public_vocabulary("byte_bpe_50k.tiktoken")).withColumnRenamed("id", "doc_id")
+    return pack(table(spark, sf_dir, "documents"), public_vocabulary("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {"op6_best_fit_packing": op6_best_fit_packing}
