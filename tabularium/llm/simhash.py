@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabularium.llm.common import durable, table
@@ -191,30 +191,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whatever their names, are not read. An empty table gives an empty result.
     """
     marked = durable(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("print")))
-    prints = durable(marked.groupBy("print").agg(F.min("id").alias("first_id")))
-    part = connected_components(links(prints.select("print"), radius, chain), "a", "b").toDF("print", "root")
-    part = prints.join(part, "print", "left").select("print", "first_id", F.coalesce("root", "print").alias("root"))
-    least = part.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    part = _rooted(durable(marked.groupBy("print").agg(F.min("id").alias("first"))), radius, chain)
+    least = part.groupBy("root").agg(F.min("first").alias("component_id"))
     part = part.join(least, "root").select("print", "component_id")
     return marked.join(part, "print").select("id", "print", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that hold the smallest id of their near-duplicate group, all columns kept.
-
-    Ids name documents: of rows with one id the one with the smallest text hash stays. A group without any id keeps
-    one row.
-    """
-    stay = near_duplicates(docs, id_col, text_col).select(F.col("component_id").alias("_stay")).distinct()
-    rows = docs.join(stay, docs[id_col].eqNullSafe(stay["_stay"]), "left_semi")
-    order = F.row_number().over(_by_id(id_col, text_col))
-    return rows.withColumn("_rank", order).where("_rank = 1").drop("_rank")
+def _rooted(prints: DataFrame, radius: int, chain: int | None) -> DataFrame:
+    """(print, first, root) for prints of (print, first): root is the smallest fingerprint of the component."""
+    part = connected_components(links(prints.select("print"), radius, chain), "a", "b").toDF("print", "root")
+    return prints.join(part, "print", "left").select("print", "first", F.coalesce("root", "print").alias("root"))
 
 
-def _by_id(id_col: str, text_col: str):
-    from pyspark.sql import Window
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, chain: int | None = None) -> DataFrame:
+    """One row of docs for each near-duplicate group, all columns kept.
 
-    return Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
+    It is the row with the group's smallest id and, of rows with that id, the smallest text hash; a row without an id
+    stays only where the group has no id at all. Of equal rows any one stays. Repeated ids in different groups each
+    keep their row.
+    """
+    key = lambda i, text: F.struct(i.isNull().alias("unknown"), i.alias("id"), F.xxhash64(text).alias("hash"))
+    marked = docs.select(key(F.col(id_col), F.col(text_col)).alias("key"), fingerprint(F.col(text_col)).alias("print"))
+    part = _rooted(durable(marked.groupBy("print").agg(F.min("key").alias("first"))), radius, chain)
+    stay = part.groupBy("root").agg(F.min("first").alias("_key")).select("_key")
+    rows = docs.withColumn("_key", key(F.col(id_col), F.col(text_col)))
+    rank = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
+    one = rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    return one.join(stay, "_key", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,3 +88,11 @@ def test_copies_do_not_multiply_pairs(docs_of):
     df = docs_of([(i, "the same words in every copy of this text", "en", "a") for i in range(5000)])
     out = simhash.near_duplicates(df).agg(F.count("*").alias("n"), F.max("component_id").alias("c")).first()
     assert (out["n"], out["c"]) == (5000, 0)
+
+
+def test_groups_without_ids_each_keep_one(docs_of):
+    texts = ["the first of two texts that nobody gave an id", "quite another one without id that is about rivers", "a document with an id and a copy without", "words under an id that is given twice"]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (4, texts[2]), (None, texts[2]), (3, texts[2]), (3, texts[3]), (None, None), (None, "")]
+    kept = simhash.keep_one(docs_of([(i, t, "en", "a") for i, t in rows]))
+    out = [(r["doc_id"], r["text"] or "") for r in kept.collect()]
+    assert sorted(out, key=str) == sorted([(None, texts[0]), (None, texts[1]), (3, texts[2]), (3, texts[3]), (None, "")], key=str)
