@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,17 +118,22 @@ class Relation:
 
 
 def detect_relations(sheets: dict[str, DataFrame]) -> list[Relation]:
-    """Relations from facts to references, best first: the safest key pair of each pair of sheets, two keys where one is not safe."""
+    """Relations from facts to references, best first: the safest key pair of each pair of sheets, two keys where one is not safe.
+
+    Every pair of keys is tried alone; two keys are tried among the first six pairs, up to the first safe combination.
+    """
     facts = {"ventas", "devoluciones", "compras", "inventario", "metas", "cobranzas", "detalle_ot", "ordenes_trabajo", "horas_tecnicos"}
     kinds = {name: sheet_kind(name, df.columns) for name, df in sheets.items()}
     found = []
     for left in (n for n, k in kinds.items() if k in facts):
         for right in (n for n, k in kinds.items() if n != left and k not in facts):
-            pairs = candidate_keys([c for c in sheets[left].columns if not c.startswith("_")], [c for c in sheets[right].columns if not c.startswith("_")])[:6]
+            pairs = candidate_keys([c for c in sheets[left].columns if not c.startswith("_")], [c for c in sheets[right].columns if not c.startswith("_")])
             tried = [_relation(sheets, left, right, [a], [b]) for a, b in pairs]
             if not any(r.stats.safe for r in tried):
-                two = [(p, q) for i, p in enumerate(pairs) for q in pairs[i + 1 :] if p[0] != q[0] and p[1] != q[1]]
-                tried += [_relation(sheets, left, right, [p[0], q[0]], [p[1], q[1]]) for p, q in two[:6]]
+                for p, q in combinations(pairs[:6], 2):
+                    tried.append(_relation(sheets, left, right, [p[0], q[0]], [p[1], q[1]]))
+                    if tried[-1].stats.safe:
+                        break
             tried = [r for r in tried if r.stats.common_keys]
             if tried:
                 found.append(max(tried, key=lambda r: (r.stats.safe, r.stats.coverage or 0, -len(r.left_keys))))

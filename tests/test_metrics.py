@@ -79,3 +79,11 @@ def test_scopes(spark):
         M.Scope("join", ["a"])
     with pytest.raises(ValueError):
         M.Scope("other", ["a"])
+
+
+def test_relations_try_every_pair_of_keys(spark):
+    shared = [f"c{i}" for i in range(6)]
+    sales = spark.createDataFrame([(*["x"] * 6, "k1"), (*["x"] * 6, "k2")], [*shared, "clave"])
+    goods = spark.createDataFrame([(*["x"] * 6, "k1"), (*["x"] * 6, "k2")], [*shared, "clave"])
+    found = M.detect_relations({"Ventas": sales, "Productos": goods})
+    assert [(r.left_keys, r.right_keys, r.stats.safe) for r in found] == [(["clave"], ["clave"], True)]
