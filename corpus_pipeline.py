@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tabularium.llm import language, mixing, packing, simhash, toxicity
-from tabularium.llm.common import shared_folder, table
+from tabularium.llm.common import forget, forget_at_exit, shared_folder, table
 from tabularium.llm.tokens import public_vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -57,12 +57,19 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; each one's result is written as Parquet and read again."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The stages over documents; each one's result is written as Parquet and read again.
+
+    A stage's result is deleted as soon as the next one is written, the last one's when the application ends.
+    """
+    docs, folder, last = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
+    forget_at_exit(spark, folder)
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            forget(spark, last)
+        last = path
     return docs
 
 
