@@ -1,10 +1,12 @@
+import glob
+from pathlib import Path
+
 import corpus_pipeline as pipeline
-import pytest
 from pyspark.sql import functions as F
 from test_simhash import components, fingerprint
 
 from tabularium.llm import language, mixing, packing, toxicity
-from tabularium.llm.common import table
+from tabularium.llm.common import shared_folder, table
 from tabularium.llm.tokens import encoder, public_vocabulary
 
 
@@ -47,6 +49,8 @@ def test_odd_rows(spark, sf, odd, empty):
     assert pipeline.ORACLE_SQL is None and mixing.QUERIES
 
 
-@pytest.mark.parametrize("name", [n for n, _ in pipeline.STAGES])
-def test_names_are_distinct(name):
-    assert [n for n, _ in pipeline.STAGES].count(name) == 1
+def test_run_leaves_only_its_last_stage(spark, sf):
+    before = set(glob.glob(f"{shared_folder(spark).removeprefix('file:')}/pipeline-*"))
+    packed = pipeline.run(spark, sf)
+    (folder,) = set(glob.glob(f"{shared_folder(spark).removeprefix('file:')}/pipeline-*")) - before
+    assert [Path(p).name for p in glob.glob(f"{folder}/*")] == ["4-best_fit_packing"] and packed.count()
