@@ -4,11 +4,12 @@ Training counts the highest order's n-grams over all trusted text; lower orders
 count distinct continuations. Counts, discounts and back-off weights are tables
 sharded by n-gram, made by group-bys and joins.
 
-Scoring deals the documents into batches of bounded size. A batch asks for the
-distinct n-grams it needs, so that rows of requests grow far slower than text;
-the requests join the sharded table, and the answers meet the batch again. The
-model's most frequent n-grams, a fixed number at most, are broadcast, and only
-the others are asked for.
+Scoring reads and hashes each text once. The model's most frequent n-grams, a
+fixed number at most, are broadcast; where they settle a character, its
+log-probability is added up at once, and only the n-grams of the other characters
+go on, dealt into batches of bounded size. A batch asks for its distinct n-grams
+and their back-off chain; the requests join the sharded table, and the answers
+meet the batch again. No text is shuffled.
 
 A document is kept if its perplexity is within its language's quantile over
 trusted documents that were left out of training.
@@ -21,20 +22,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import broadcast_if_small, durable, fold_of, table, written
+from tabularium.llm.common import broadcast_if_small, fold_of, table, written
+from tabularium.llm.lookup import Lookup
 
 ORDER = 5
 #: Stands before a text's first character; characters up to it count as one.
 PAD = "\x02"
-#: n-grams in the broadcast table at most; characters of a batch.
-HEAD, BATCH = 300_000, 16_000_000
+#: n-grams in the broadcast table at most; unsettled n-grams of a batch; characters looked up at once.
+HEAD, BATCH, AT_ONCE = 300_000, 400_000, 200_000
+#: A row weighs as much as this many n-grams when batches are cut.
+ROW = 10
 #: Of trusted documents left out of training, this share lies within the threshold; one fold of FOLDS is left out.
 QUANTILE, FOLDS = 0.995, 5
-#: The threshold is the quantile times this, for texts shorter or odder than those of one fold.
-MARGIN = 1.25
 #: Discounts where too few n-grams are seen to estimate them.
 USUAL = (0.5, 1.0, 1.5)
 
@@ -42,29 +45,56 @@ USUAL = (0.5, 1.0, 1.5)
 # ---- n-grams in a task
 
 
-def codes(text: str) -> np.ndarray:
-    """Code points after ORDER - 1 pads; those up to the pad's become 1."""
-    found = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
-    out = np.full(len(found) + ORDER - 1, ord(PAD), np.uint64)
-    out[ORDER - 1 :] = np.where(found <= ord(PAD), 1, found)
-    return out
+def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points, place of each real character there, number of its text); ORDER - 1 pads stand before each text.
+
+    Code points up to the pad's become 1.
+    """
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    found = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), "<u4")
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    place = np.arange(len(found)) + (owner + 1) * (ORDER - 1)
+    code = np.full(len(found) + len(texts) * (ORDER - 1), ord(PAD), np.uint64)
+    code[place] = np.where(found <= ord(PAD), 1, found)
+    return code, place, owner
+
+
+def parts(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts, each of about ``chars`` characters or a single longer text."""
+    start, held = 0, 0
+    for i, text in enumerate(texts):
+        if held and held + len(text) > chars:
+            yield start, i
+            start, held = i, 0
+        held += len(text)
+    if start < len(texts):
+        yield start, len(texts)
 
 
 _FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, i, 1 << 64)) for i in range(ORDER)]
 
 
-def hashes(code: np.ndarray, ends: np.ndarray | None = None, n: int = ORDER) -> np.ndarray:
-    """64-bit hashes of the n-grams that end at the given positions, all real characters if none are given."""
-    out = np.zeros(len(code) - ORDER + 1 if ends is None else len(ends), np.uint64)
+def hashes(code: np.ndarray, ends: np.ndarray, n: int = ORDER) -> np.ndarray:
+    """64-bit hashes of the n-grams that end at the given places."""
+    if n == ORDER and 2 * len(ends) > len(code):  # dense: whole slices, then one choice
+        out = np.zeros(len(code) - ORDER + 1, np.uint64)
+        for i in range(n):
+            out += (code[ORDER - 1 - i : len(code) - i] + np.uint64(1)) * _FACTORS[i]
+        return out[ends - (ORDER - 1)]
+    out = np.zeros(len(ends), np.uint64)
     for i in range(n):
-        part = code[ORDER - 1 - i : len(code) - i] if ends is None else code[ends - i]
-        out += (part + np.uint64(1)) * _FACTORS[i]
+        out += (code[ends - i] + np.uint64(1)) * _FACTORS[i]
     return out
 
 
-def grams_at(code: np.ndarray, ends: np.ndarray, n: int = ORDER) -> list[str]:
-    window = code[ends[:, None] + np.arange(1 - n, 1)].astype("<u4")
-    return np.ascontiguousarray(window).view(f"<U{n}").ravel().tolist()
+def windows(code: np.ndarray, ends: np.ndarray) -> str:
+    """The highest n-grams that end at the given places, one after the other."""
+    return code[ends[:, None] + np.arange(1 - ORDER, 1)].astype("<u4").tobytes().decode("utf-32-le")
+
+
+def grams_of(said: str) -> list[str]:
+    """The n-grams that windows() wrote."""
+    return [said[i : i + ORDER] for i in range(0, len(said), ORDER)]
 
 
 def hash_of(grams: list[str]) -> np.ndarray:
@@ -80,92 +110,79 @@ def hash_of(grams: list[str]) -> np.ndarray:
     return out
 
 
-class Lookup:
-    """Places of 64-bit hashes in a table: by slot, or by search where several share one."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = keys
-        self.shift = np.uint64(64 - max(10, int(2 * len(keys) + 1).bit_length()))
-        slots = self._slot(keys)
-        self.first = np.full(1 << (64 - int(self.shift)), -1, np.int32)
-        self.first[slots[::-1]] = np.arange(len(keys))[::-1]
-        rest = np.flatnonzero(self.first[slots] != np.arange(len(keys)))
-        self.rest = rest[np.argsort(keys[rest])]
-        self.crowded = np.zeros(len(self.first), bool)
-        self.crowded[slots[rest]] = True
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> self.shift).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The place of each key, -1 if it has none."""
-        if not len(self.keys):
-            return np.full(len(keys), -1)
-        slots = self._slot(keys)
-        at = self.first[slots]
-        at[self.keys[at] != keys] = -1
-        if len(self.rest):
-            open_ = np.flatnonzero((at < 0) & self.crowded[slots])
-            place = np.minimum(np.searchsorted(self.keys[self.rest], keys[open_]), len(self.rest) - 1)
-            hit = self.keys[self.rest][place] == keys[open_]
-            at[open_[hit]] = self.rest[place[hit]]
-        return at
-
-
-class Scorer:
-    """Log-probabilities of texts under a table of n-grams; NaN marks a missing value."""
-
-    def __init__(self, keys: np.ndarray, logp: np.ndarray, bow: np.ndarray, unseen: float):
-        self.lookup = Lookup(keys)
-        self.logp, self.bow, self.unseen = np.append(logp, np.nan), np.append(np.nan_to_num(bow), 0.0), unseen
-
-    def misses(self, code: np.ndarray) -> np.ndarray:
-        """Positions whose highest n-gram the table lacks."""
-        return np.flatnonzero(np.isnan(self.logp[self.lookup.find(hashes(code))])) + ORDER - 1
-
-    def total(self, code: np.ndarray) -> float:
-        """The text's log-probability."""
-        found = self.logp[self.lookup.find(hashes(code))]
-        at = np.flatnonzero(np.isnan(found))
-        if len(at):
-            found[at] = self._backed(code, at + ORDER - 1)
-        return float(found.sum())
-
-    def _backed(self, code: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        out, live = np.zeros(len(ends)), np.arange(len(ends))
-        for n in range(ORDER, 0, -1):
-            here = ends[live]
-            if n > 1:
-                out[live] += self.bow[self.lookup.find(hashes(code, here - 1, n - 1))]
-                p = self.logp[self.lookup.find(hashes(code, here, n - 1))]
-            else:
-                p = np.full(len(here), self.unseen)
-            done = ~np.isnan(p)
-            out[live[done]] += p[done]
-            live = live[~done]
+class Table:
+    """Log-probabilities and back-off weights by an n-gram's hash; what it lacks is looked up in the table below it."""
+
+    def __init__(self, keys: np.ndarray, logp: np.ndarray, bow: np.ndarray, below: Table | None = None):
+        self.lookup, self.below = Lookup(keys), below
+        self.columns = {"logp": np.append(logp, np.nan), "bow": np.append(np.nan_to_num(bow), 0.0)}
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        return self.lookup.find(keys) >= 0
+
+    def get(self, column: str, keys: np.ndarray) -> np.ndarray:
+        """Values of logp (NaN where it is missing) or bow (then 0)."""
+        at = self.lookup.find(keys)
+        out = self.columns[column][at]
+        if self.below is not None:
+            rest = np.flatnonzero(at < 0)
+            out[rest] = self.below.get(column, keys[rest])
         return out
 
 
+def backed_off(known: Table, code: np.ndarray, ends: np.ndarray, unseen: float) -> np.ndarray:
+    """Log-probabilities of the characters at the given places, each after those before it."""
+    out, live = np.zeros(len(ends)), np.arange(len(ends))
+    for n in range(ORDER, 0, -1):
+        p = known.get("logp", hashes(code, ends[live], n))
+        seen = ~np.isnan(p)
+        out[live[seen]] += p[seen]
+        live = live[~seen]
+        if n > 1 and len(live):
+            out[live] += known.get("bow", hashes(code, ends[live] - 1, n - 1))
+    out[live] += unseen
+    return out
+
+
 # ---- training
 
 
+def _distinct(code: np.ndarray, ends: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """(highest n-gram, its count), each once. Where few different characters meet, n-grams are packed into integers."""
+    present = np.zeros(0x110000, bool)
+    present[code] = True
+    letters = np.flatnonzero(present).astype(np.uint64)
+    bits = max(1, (len(letters) - 1).bit_length())
+    if bits * ORDER > 64:
+        _, first, n = np.unique(hashes(code, ends), return_index=True, return_counts=True)
+        return grams_of(windows(code, ends[first])), n
+    number = np.zeros(0x110000, np.uint64)
+    number[letters] = np.arange(len(letters), dtype=np.uint64)
+    small, packed = number[code], np.zeros(len(ends), np.uint64)
+    for i in range(ORDER):
+        packed |= small[ends - i] << np.uint64(bits * i)
+    packed, n = np.unique(packed, return_counts=True)
+    mask = np.uint64((1 << bits) - 1)
+    found = np.stack([letters[((packed >> np.uint64(bits * i)) & mask).astype(np.int64)] for i in range(ORDER - 1, -1, -1)], axis=1)
+    return grams_of(found.astype("<u4").tobytes().decode("utf-32-le")), n
+
+
 def _count(chars_at_once: int = 4_000_000):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[np.ndarray] = []
+        held, chars = [], 0
 
         def counted() -> pd.DataFrame:
-            code = np.concatenate(held)
-            ends = np.flatnonzero(code != ord(PAD))
-            _, first, n = np.unique(hashes(code, ends), return_index=True, return_counts=True)
-            return pd.DataFrame({"gram": grams_at(code, ends[first]), "n": n})
+            code, ends, _ = joined(held)
+            grams, n = _distinct(code, ends)
+            return pd.DataFrame({"gram": grams, "n": n})
 
         for batch in batches:
             for text in batch["text"]:
-                if text:
-                    held.append(codes(text))
-                    if sum(map(len, held)) >= chars_at_once:
-                        yield counted()
-                        held = []
+                held.append(text)
+                chars += len(text)
+                if chars >= chars_at_once:
+                    yield counted()
+                    held, chars = [], 0
         if held:
             yield counted()
 
@@ -187,7 +204,8 @@ def train(texts: DataFrame, text_col: str = "text") -> DataFrame:
     logp is the interpolated log-probability of the gram's last character after the others, null for what is only a
     context; bow the log of the weight left to lower orders after the gram as a context, null where it is none. The
     empty gram has the uniform distribution over the characters seen and one more. Null and empty texts add nothing;
-    without any text the table is that one row.
+    repeated rows count as often as they occur; texts of any length are counted whole. Only text_col is read, so other
+    columns' names cannot clash. Without any text the table is that one row.
     """
     rows = texts.select(F.col(text_col).alias("text")).where(F.length("text") > 0)
     counted = rows.mapInPandas(_count(), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -239,8 +257,8 @@ def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"h": hash_of(batch["gram"].tolist()).view(np.int64), "logp": batch["logp"], "bow": batch["bow"]})
 
 
-def _head(model: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, log-probabilities and weights of the n-grams of the largest counts: all from a power of two on, most at most."""
+def _head(model: DataFrame, most: int) -> Table:
+    """The n-grams of the largest counts: all from a power of two on, most at most."""
     sizes = model.where("n > 0").groupBy(F.floor(F.log2("n")).alias("power")).count().collect()
     least, held = 64, 0
     for row in sorted(sizes, key=lambda r: -r["power"]):
@@ -248,71 +266,119 @@ def _head(model: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
             break
         least, held = row["power"], held + row["count"]
     if not held:
-        return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+        return Table(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
     chosen = model.where((F.col("n") > 0) & (F.floor(F.log2(F.greatest("n", F.lit(1)))) >= least)).select("gram", "logp", "bow")
     found = chosen.mapInPandas(_hashed, "h long, logp double, bow double").toPandas()
-    return found["h"].to_numpy().view(np.uint64), found["logp"].to_numpy(float), found["bow"].to_numpy(float)
+    return Table(found["h"].to_numpy().view(np.uint64), found["logp"].to_numpy(float), found["bow"].to_numpy(float))
+
+
+SETTLED = "batch long, id string, lang string, n_chars long, log_p double, missing string"
+
+
+def _settle(shared, batch_grams: int):
+    """Adds up what the broadcast n-grams settle; ``missing`` holds the highest n-grams of all other characters."""
+
+    def settled(texts: list[str], known: Table) -> tuple[np.ndarray, list[str]]:
+        sums, missing = np.zeros(len(texts)), [""] * len(texts)
+        for a, b in parts(texts, AT_ONCE):
+            code, ends, owner = joined(texts[a:b])
+            if not len(ends):
+                continue
+            p = known.get("logp", hashes(code, ends))
+            open_ = np.flatnonzero(np.isnan(p))
+            sums[a:b] = np.bincount(owner, np.nan_to_num(p), minlength=b - a)
+            if len(open_):
+                said, of = windows(code, ends[open_]), owner[open_]
+                edge = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True])
+                for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                    missing[a + int(of[i])] = said[ORDER * i : ORDER * j]
+        return sums, missing
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, _ = shared.value
+        first, weight = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            place = {text: i for i, text in enumerate(dict.fromkeys(batch["text"]))}  # equal texts are scored once
+            sums, missing = settled(list(place), known)
+            at = [place[text] for text in batch["text"]]
+            said = [missing[i] for i in at]
+            size = np.array([len(m) // ORDER + ROW for m in said], np.int64)
+            upto = weight + np.cumsum(size)
+            yield pd.DataFrame({"batch": first + (upto - size) // batch_grams, "id": batch["id"], "lang": batch["lang"], "n_chars": [len(t) for t in batch["text"]], "log_p": sums[at], "missing": said})
+            weight = int(upto[-1]) if len(upto) else weight
+
+    return run
 
 
 def _ask(shared):
-    """The distinct n-grams each batch needs beyond the broadcast ones: those unseen there, and their back-off chain."""
+    """The distinct n-grams that each batch needs beyond the broadcast ones: the missing and their back-off chains."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, logp, bow, unseen = shared.value
-        scorer, wanted = Scorer(keys, logp, bow, unseen), {}
+        known, _ = shared.value
+        now, wanted = None, set()
+
+        def asked() -> pd.DataFrame:
+            grams = list({g[i:j] for g in wanted for i in range(ORDER) for j in (ORDER - 1, ORDER) if j > i})
+            new = np.flatnonzero(~known.holds(hash_of(grams)))
+            return pd.DataFrame({"batch": now, "gram": [grams[i] for i in new]})
+
         for batch in batches:
-            for number, text in zip(batch["batch"].tolist(), batch["text"]):
-                code = codes(text)
-                at = scorer.misses(code)
-                if len(at):
-                    wanted.setdefault(number, set()).update(grams_at(code, at))
-        for number, whole in wanted.items():
-            grams = {g[i:j] for g in whole for i in range(ORDER) for j in (ORDER - 1, ORDER) if j > i}
-            yield pd.DataFrame({"batch": number, "gram": list(grams)})
+            for number, said in zip(batch["batch"].tolist(), batch["missing"]):
+                if number != now:
+                    if wanted:
+                        yield asked()
+                    now, wanted = number, set()
+                wanted.update(grams_of(said))
+        if wanted:
+            yield asked()
 
     return run
 
 
 def _score(shared):
-    def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        keys, logp, bow, unseen = shared.value
-        more = hash_of(answers["gram"].tolist())
-        new = ~np.isin(more, keys)
-        scorer = Scorer(
-            np.concatenate([keys, more[new]]), np.concatenate([logp, answers["logp"].to_numpy(float)[new]]), np.concatenate([bow, answers["bow"].to_numpy(float)[new]]), unseen
-        )
-        totals = [scorer.total(codes(text)) for text in docs["text"]]
-        return pd.DataFrame({"id": docs["id"], "lang": docs["lang"], "n_chars": docs["text"].map(len), "log_p": totals})
+    def run(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        below, unseen = shared.value
+        known = Table(hash_of(answers["gram"].tolist()), answers["logp"].to_numpy(float), answers["bow"].to_numpy(float), below)
+        said = rows["missing"].tolist()
+        code = np.frombuffer("".join(said).encode("utf-32-le"), "<u4").astype(np.uint64)
+        p = backed_off(known, code, np.arange(ORDER - 1, len(code), ORDER), unseen)
+        owner = np.repeat(np.arange(len(rows)), [len(m) // ORDER for m in said])
+        return pd.DataFrame({"id": rows["id"], "lang": rows["lang"], "n_chars": rows["n_chars"], "log_p": rows["log_p"] + np.bincount(owner, p, minlength=len(rows))})
 
     return run
 
 
-def perplexities(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", head: int = HEAD, batch_chars: int = BATCH) -> DataFrame:
-    """(id, lang, n_chars, perplexity) of every row of docs; perplexity is null where a text is null or empty."""
+def perplexities(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", head: int = HEAD, batch_grams: int = BATCH) -> DataFrame:
+    """(id, lang, n_chars, perplexity) of every row of docs; perplexity is null where a text is null or empty.
+
+    Repeated rows each get their row; equal texts equal values, whatever batch they fall into. A text of any length is
+    scored whole: a batch holds about batch_grams n-grams that the broadcast ones leave open, or one text's. Other
+    columns are not read, so their names cannot clash. An empty table gives an empty result.
+    """
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType
     root = model.where("gram = ''").first()
-    shared = spark.sparkContext.broadcast((*_head(model, head), root["logp"] + (root["bow"] or 0.0)))
+    shared = spark.sparkContext.broadcast((_head(model, head), root["logp"] + (root["bow"] or 0.0)))
 
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()["chars"]
-    count = max(1, -(-size // batch_chars))
-    rows = rows.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(count)).cast("int")).repartition(count, "batch")
-    asked = rows.mapInPandas(_ask(shared), "batch int, gram string")
+    seen = written(rows.mapInPandas(_settle(shared, batch_grams), SETTLED))
+    asked = seen.where("missing <> ''").select("batch", "missing").mapInPandas(_ask(shared), "batch long, gram string")
     answers = asked.join(model.where("gram <> ''").select(F.col("gram").alias("known"), "logp", "bow"), F.col("gram") == F.col("known")).select(F.col("batch").alias("to_batch"), "gram", "logp", "bow")
-    scored = rows.groupBy("batch").cogroup(answers.groupBy("to_batch")).applyInPandas(_score(shared), "id string, lang string, n_chars long, log_p double")
+    left = seen.where("missing <> ''").groupBy("batch").cogroup(answers.groupBy("to_batch")).applyInPandas(_score(shared), "id string, lang string, n_chars long, log_p double")
+    scored = seen.where("missing = ''").select("id", "lang", "n_chars", "log_p").union(left)
     each = F.when(F.col("n_chars") > 0, F.exp(-F.col("log_p") / F.col("n_chars")))
     return scored.select(F.col("id").cast(kind).alias("id"), "lang", "n_chars", each.alias("perplexity"))
 
 
-def judge(scores: DataFrame, calibration: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def judge(scores: DataFrame, calibration: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """scores with the language's ``threshold`` and ``keep``.
 
-    calibration has (lang, perplexity) of trusted documents outside training. A language without any, a null one
-    included, takes the quantile over all of them; without any at all every document with a perplexity stays.
-    Documents without a perplexity go.
+    calibration has (lang, perplexity) of trusted documents outside training; a language's threshold is the quantile
+    of its perplexities, one of those values. A language without any, a null one included, takes the quantile over all
+    of them; without any at all every document with a perplexity stays. A perplexity equal to the threshold stays;
+    documents without a perplexity go. Repeated rows each keep their row.
     """
     known = calibration.where("perplexity IS NOT NULL")
-    limit = F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000)) * F.lit(margin)
+    limit = F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000))
     overall = known.agg(limit.alias("x")).first()["x"]
     own = broadcast_if_small(known.where("lang IS NOT NULL").groupBy(F.col("lang").alias("of")).agg(limit.alias("own")), 100_000)
     rows = scores.join(own, F.col("lang") == F.col("of"), "left").withColumn("threshold", F.coalesce("own", F.lit(overall).cast("double"))).drop("of", "own")
@@ -330,7 +396,7 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
     out = fold_of(F.col("trusted"), FOLDS) == 0
     train_ids = broadcast_if_small(ids.where(~out))
     model = train(docs.join(train_ids, docs[id_col] == train_ids["trusted"], "left_semi"), text_col)
-    scores = durable(perplexities(docs, model, id_col, text_col, lang_col))
+    scores = written(perplexities(docs, model, id_col, text_col, lang_col))
     held = scores.join(ids.where(out), F.col("id") == F.col("trusted"), "left_semi").select("lang", "perplexity")
     return judge(scores, held, quantile)
 

@@ -51,7 +51,7 @@ def test_perplexities_equal_brute_force(spark, docs_of, head):
     model = quality.train(docs_of([(i, t, "en", "a") for i, t in enumerate(TEXTS)]))
     brute = Brute(TEXTS)
     seen = ["the cat sat", "zebra!", "then a mat", "日本 ñ", "x", "the cat and the dog sat on a log"]
-    scored = quality.perplexities(docs_of([(i, t, "en", "a") for i, t in enumerate(seen)]), model, head=head, batch_chars=20)
+    scored = quality.perplexities(docs_of([(i, t, "en", "a") for i, t in enumerate(seen)]), model, head=head, batch_grams=12)
     out = {r["id"]: r["perplexity"] for r in scored.collect()}
     assert [out[i] for i in range(len(seen))] == pytest.approx([brute.perplexity(t) for t in seen], rel=1e-9)
 
@@ -75,6 +75,32 @@ def test_odd_rows(spark, odd, empty, documents):
     assert len(none) == odd.count() and all(r["keep"] == (r["perplexity"] is not None) for r in none)
 
 
+def test_grams_are_counted_alike_with_few_and_many_characters():
+    for texts in (TEXTS, ["".join(map(chr, range(0x4E00, 0x4E00 + 9000))) + "aaaaaa", "aaaaaaa", "\x00\x01 a"]):
+        texts = [t for t in texts if t]
+        code, ends, _ = quality.joined(texts)
+        grams, n = quality._distinct(code, ends)
+        padded = [quality.PAD * (quality.ORDER - 1) + "".join("\x01" if c <= quality.PAD else c for c in t) for t in texts]
+        expected = collections.Counter(t[i : i + quality.ORDER] for t in padded for i in range(len(t) - quality.ORDER + 1))
+        assert dict(zip(grams, n.tolist())) == expected and len(grams) == len(expected)
+
+
+def test_judge_by_hand(spark):
+    held = [("en", float(x)) for x in range(1, 201)] + [("de", 7.0)] * 3 + [(None, 900.0), ("en", None)]
+    scores = [(i, lang, 5, p) for i, (lang, p) in enumerate([("en", 199.0), ("en", 199.5), ("de", 7.0), ("de", 7.1), ("fr", 200.0), ("fr", 201.0), (None, 200.0), (None, 901.0), ("en", None), ("en", 199.0)])]
+    rows = quality.judge(spark.createDataFrame(scores, "id long, lang string, n_chars long, perplexity double"), spark.createDataFrame(held, "lang string, perplexity double")).collect()
+
+    def at(values):
+        return sorted(values)[math.ceil(quality.QUANTILE * len(values)) - 1]
+
+    own = {g: at([p for k, p in held if k == g and p is not None]) for g in ("en", "de")}
+    whole = at([p for _, p in held if p is not None])
+    expected = {i: (own.get(g, whole), p is not None and p <= own.get(g, whole)) for i, g, _, p in scores}
+    assert {r["id"]: (r["threshold"], r["keep"]) for r in rows} == expected
+    free = quality.judge(spark.createDataFrame(scores, "id long, lang string, n_chars long, perplexity double"), spark.createDataFrame([], "lang string, perplexity double")).collect()
+    assert all(r["keep"] == (r["perplexity"] is not None) for r in free)
+
+
 def test_labelled_documents(spark):
     sf = "/root/testdata/sf0.01"
     out = quality.QUERIES["op9_quality_classifier"](spark, sf)
