@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabularium.llm.common import fold_of, table
@@ -39,10 +39,16 @@ class Model:
     bias: float
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, place by place: a character whose lower case is longer stays as it is."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+
+
 def sentences(text: str) -> Iterator[tuple[int, int, list[str]]]:
-    """(start, end, words) of each sentence; those of over LONGEST words come in several pieces."""
-    for m in SENTENCE.finditer(text):
-        found = [(w.start(), w.end(), w.group()) for w in WORD.finditer(m.group().lower())]
+    """(start, end, words) of each sentence of the text; those of over LONGEST words come in several pieces."""
+    for m in SENTENCE.finditer(lowered(text)):
+        found = [(w.start(), w.end(), w.group()) for w in WORD.finditer(m.group())]
         for at in range(0, len(found), LONGEST):
             part = found[at : at + LONGEST]
             yield m.start() + part[0][0], m.start() + part[-1][1], [w for _, _, w in part]
@@ -54,7 +60,7 @@ def terms(word: str) -> list[str]:
 
 
 def _document_terms(text: str) -> set[str]:
-    return {t for w in set(WORD.findall(text.lower())) for t in terms(w)}
+    return {t for w in set(WORD.findall(lowered(text))) for t in terms(w)}
 
 
 def _ratio(hit: np.ndarray, miss: np.ndarray, offending: float, clean: float) -> np.ndarray:
@@ -132,18 +138,23 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 500, rate: float =
     return Model({x: float(w[i]) for x, i in vocabulary.items()}, float(b))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 8000) -> Model:
-    """Learn from at most ``sample`` labelled rows, those of smallest id hash.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 8000, sample_chars: int = 64_000_000) -> Model:
+    """Learn from at most ``sample`` labelled rows of at most ``sample_chars`` characters together: those of smallest id hash.
 
-    Rows without an id or label are no examples; of several labels of an id the largest counts. Only the chosen ids'
-    texts are read, and one task trains on them.
+    Rows without an id or label are no examples; of several labels of an id the largest counts. Null texts are empty
+    ones, and repeated rows count once. Only the chosen ids' texts are read, each whole, and one task trains on them:
+    both bounds are those of its memory. Other columns are not read.
     """
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).alias("y"))
     marks = marks.orderBy(F.xxhash64("i"), "i").limit(sample)
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(marks), "i")
-    rows = rows.orderBy(F.xxhash64("i"), F.xxhash64("t")).limit(sample)
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h")).join(F.broadcast(marks), "i")
+    sizes = rows.select("i", "h", F.coalesce(F.length("t"), F.lit(0)).alias("n")).orderBy(F.xxhash64("i"), "h").limit(sample)
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("i"), "h").rowsBetween(Window.unboundedPreceding, 0))  # over sample rows at most
+    chosen = sizes.withColumn("upto", upto).where(F.col("upto") <= sample_chars).select("i", "h").distinct()
+    rows = rows.join(F.broadcast(chosen), ["i", "h"], "left_semi").select("i", "t", "y").dropDuplicates(["i", "t"])
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["i", "t"], na_position="first")
         model = train(frame["t"].tolist(), frame["y"].to_numpy() > 0)
         words = [None, *model.weights]
         return pd.DataFrame({"w": words, "x": [model.bias, *model.weights.values()]})
@@ -179,7 +190,7 @@ class Scorer:
     def text(self, text: str | None) -> float:
         """Noisy-or over the sentences; an empty or null text scores 0."""
         total, plain = 0.0, 0
-        for m in SENTENCE.findall((text or "").lower()):
+        for m in SENTENCE.findall(lowered(text or "")):
             words = WORD.findall(m)
             for at in range(0, len(words), LONGEST):
                 z = self.sentence(words[at : at + LONGEST])
@@ -195,6 +206,10 @@ def score_text(text: str | None, weights: dict[str, float], bias: float) -> floa
 
 
 def score(text: Column, model: Model, spark: SparkSession) -> Column:
+    """Noisy-or of the text's sentence scores, 0 to 1; null and empty texts score 0, equal texts alike.
+
+    A text of any length is scored whole, sentence by sentence.
+    """
     shared = spark.sparkContext.broadcast((model.weights, model.bias))
 
     @F.pandas_udf("double")
@@ -207,12 +222,19 @@ def score(text: Column, model: Model, spark: SparkSession) -> Column:
 
 
 def keep_civil(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score below the threshold; null and empty texts stay."""
+    """The rows of docs that score below the threshold; null and empty texts stay.
+
+    All columns stay as they are, whatever their names; repeated rows stay or go alike; an empty table stays empty.
+    """
     return docs.where(score(F.col(text_col), model, docs.sparkSession) < threshold)
 
 
 def offending(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """(id, start, end, sentence, score) of every sentence that scores ``least`` or more by itself."""
+    """(id, start, end, sentence, score) of every sentence that scores ``least`` or more by itself.
+
+    start and end are character places in the original text. A null id stays null; null and empty texts have no
+    sentence; repeated rows give their sentences as often as they occur. Other columns are not read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,3 +1,6 @@
+import re
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -31,6 +34,40 @@ def test_sentences_are_located(docs_of):
     assert [(r["id"], r["sentence"], text[r["start"] : r["end"]]) for r in found] == [(1, "You vile thing", "You vile thing")]
 
 
+def test_sentences_keep_their_places_under_lower_case():
+    text = "İİİİ ok. You VİLE ΣΑΣ vile thing. By"
+    found = [(text[a:b], words) for a, b, words in toxicity.sentences(text)]
+    assert [said for said, _ in found] == ["İİİİ ok", "You VİLE ΣΑΣ vile thing", "By"] and "vile" in found[1][1]
+    assert toxicity.lowered("AÑB") == "añb" and len(toxicity.lowered(text)) == len(text)
+
+
+def test_query_against_plain_noisy_or(spark):
+    """Every score of the query, by the plain product over sentences."""
+    sf = "/root/testdata/sf0.01"
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where(toxicity.fold_of(F.col("doc_id"), 3) != 1)
+    model = toxicity.fit(documents, labels)
+    out = {r["doc_id"]: r for r in toxicity.QUERIES["op5_toxicity"](spark, sf).collect()}
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    assert out.keys() == texts.keys() and any(r["predicted"] for r in out.values())
+    for i, text in texts.items():
+        none = 1.0
+        for sentence in re.split(r"[.!?\n]", (text or "").lower()):
+            words = re.findall(r"\w+", sentence)
+            for part in (words[k : k + 40] for k in range(0, len(words), 40)):
+                said = {t for w in part for t in [w, *[w[:n] + "*" for n in (4, 5, 6, 7) if n < len(w)]]}
+                none *= 1 - 1 / (1 + np.exp(-model.bias - sum(model.weights.get(t, 0.0) for t in said)))
+        assert abs(out[i]["score"] - (1 - none)) < 1e-9 and out[i]["predicted"] == (1 - none >= toxicity.THRESHOLD)
+        assert out[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1)
+
+
+def test_training_is_bounded_by_rows_and_characters(spark, docs_of):
+    rows = [(i, f"a vile thing {i}" if i % 2 else f"a fine thing {i}", "en", "a") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    assert "vile" in toxicity.fit(docs_of(rows), labels).weights
+    assert toxicity.fit(docs_of(rows), labels, sample_chars=10).weights == {} == toxicity.fit(docs_of(rows), labels, sample=0).weights
+
+
 def test_noisy_or_by_hand():
     weights, bias = {"bad": 3.0, "worse": 5.0}, -2.0
     p = [1 / (1 + np.exp(-z)) for z in (bias + 3.0, bias, bias + 8.0)]
