@@ -1,8 +1,8 @@
 """Media columns: ISO media containers as binary values, described from their boxes alone.
 
-``describe`` walks the nested boxes, decodes the sample tables and gives codec,
-durations and the byte ranges of the keyframes; payloads are neither copied nor
-decoded. ``wrap`` stores bytes losslessly as 8-bit mono PCM in such a container,
+``describe`` walks the nested boxes, decodes the sample tables, those of movie
+fragments too, and gives codec, durations and the times and byte ranges of the
+keyframes; payloads are neither copied nor decoded. ``wrap`` stores bytes losslessly as 8-bit mono PCM in such a container,
 and ``read_samples`` reads a track's bytes back through its tables.
 """
 
@@ -32,13 +32,36 @@ class Malformed(ValueError):
     """The bytes are no readable ISO media container."""
 
 
+#: Fixed values of the format: flags of tfhd, trun and of a sample that is no keyframe.
+BASE, INDEX, DURATION, SIZE, FLAGS, FROM_MOOF = 0x1, 0x2, 0x8, 0x10, 0x20, 0x20000
+RUN_OFFSET, RUN_FIRST, RUN_DURATION, RUN_SIZE, RUN_FLAGS, RUN_SHIFT = 0x1, 0x4, 0x100, 0x200, 0x400, 0x800
+NOT_SYNC = 0x10000
+
+
 @dataclass
 class Track:
     handler: str = ""
     codec: str = ""
     timescale: int = 0
     duration: int = 0
+    number: int = 0
     tables: dict[bytes, tuple[int, int]] = field(default_factory=dict)
+    #: (offset, size, start, duration, whether a keyframe) of the samples of fragments, an array a run
+    runs: list[np.ndarray] = field(default_factory=list)
+    ends: int = 0  # time at which the next fragment starts unless it says so
+
+
+@dataclass
+class Fragment:
+    """What a moof or traf has said so far."""
+
+    moof: int
+    track: Track | None = None
+    base: int = 0
+    next: int = 0
+    duration: int = 0
+    size: int = 0
+    flags: int = 0
 
 
 # ---- reading
@@ -82,28 +105,94 @@ def _times(data: memoryview, a: int, b: int) -> tuple[int, int]:
     return _number(data, ">I", a + 12, b), _number(data, ">I", a + 16, b)
 
 
-def _walk(data: memoryview, start: int, end: int, found: dict, depth: int = 0) -> None:
+def _track_number(data: memoryview, a: int, b: int) -> int:
+    return _number(data, ">I", a + (20 if _number(data, ">B", a, b) == 1 else 12), b)
+
+
+def _fragment_header(data: memoryview, a: int, b: int, found: dict, part: Fragment) -> None:
+    """tfhd: whose samples follow, from where, and with which defaults."""
+    flags, number = _number(data, ">I", a, b) & 0xFFFFFF, _number(data, ">I", a + 4, b)
+    part.track = next((t for t in found["tracks"] if t.number == number), None)
+    if part.track is None:
+        raise Malformed("a fragment is of no track")
+    at = a + 8
+    part.duration, part.size, part.flags = found["defaults"].get(number, (0, 0, 0))
+    if flags & BASE:
+        part.base, at = _number(data, ">Q", at, b), at + 8
+    elif flags & FROM_MOOF or not part.next:
+        part.base = part.moof
+    else:
+        part.base = part.next
+    at += 4 if flags & INDEX else 0
+    for flag, name in ((DURATION, "duration"), (SIZE, "size"), (FLAGS, "flags")):
+        if flags & flag:
+            setattr(part, name, _number(data, ">I", at, b))
+            at += 4
+    part.next = part.base
+
+
+def _run(data: memoryview, a: int, b: int, part: Fragment) -> None:
+    """trun: the samples of one run."""
+    if part.track is None:
+        raise Malformed("a run without a track")
+    flags, count = _number(data, ">I", a, b) & 0xFFFFFF, _number(data, ">I", a + 4, b)
+    at, start, first = a + 8, part.next, None
+    if flags & RUN_OFFSET:
+        start, at = part.base + _number(data, ">i", at, b), at + 4
+    if flags & RUN_FIRST:
+        first, at = _number(data, ">I", at, b), at + 4
+    fields = [f for f in (RUN_DURATION, RUN_SIZE, RUN_FLAGS, RUN_SHIFT) if flags & f]
+    if not fields and count > len(data) or count * part.size > len(data) and RUN_SIZE not in fields:
+        raise Malformed("samples exceed the file")
+    given = dict(zip(fields, _array(data, ">u4", at, count * len(fields), b).reshape(count, -1).T if fields else []))
+    durations = given.get(RUN_DURATION, np.full(count, part.duration, np.int64))
+    sizes = given.get(RUN_SIZE, np.full(count, part.size, np.int64))
+    marks = given.get(RUN_FLAGS, np.full(count, part.flags, np.int64)).copy()
+    if first is not None and count:
+        marks[0] = first
+    offsets = start + np.cumsum(sizes) - sizes
+    times = part.track.ends + np.cumsum(durations) - durations
+    part.track.ends += int(durations.sum())
+    part.next = start + int(sizes.sum())
+    if count and (start < 0 or part.next > len(data)):
+        raise Malformed("samples exceed the file")
+    part.track.runs.append(np.stack([offsets, sizes, times, durations, (marks & NOT_SYNC) == 0]))
+
+
+def _walk(data: memoryview, start: int, end: int, found: dict, depth: int = 0, part: Fragment | None = None) -> None:
     if depth > DEEPEST:
         raise Malformed("boxes are nested too deeply")
     for kind, a, b in boxes(data, start, end):
         if kind in NESTED:
             if kind == b"trak":
                 found["tracks"].append(Track())
-            _walk(data, a + NESTED[kind], b, found, depth + 1)
+            inner = Fragment(a - (16 if _number(data, ">I", a - 8, b) != b - a + 8 else 8)) if kind == b"moof" else part
+            _walk(data, a + NESTED[kind], b, found, depth + 1, inner)
         elif kind == b"ftyp":
             _number(data, ">I", a, b)
             found["brand"] = bytes(data[a : a + 4]).decode("latin-1")
         elif kind == b"mvhd":
             scale, duration = _times(data, a, b)
             found["seconds"] = duration / scale if scale else None
+        elif kind == b"trex":
+            found["defaults"][_number(data, ">I", a + 4, b)] = tuple(_number(data, ">I", a + at, b) for at in (12, 16, 20))
+        elif part is not None:
+            if kind == b"tfhd":
+                _fragment_header(data, a, b, found, part)
+            elif kind == b"tfdt" and part.track is not None:
+                part.track.ends = _number(data, ">Q" if _number(data, ">B", a, b) == 1 else ">I", a + 4, b)
+            elif kind == b"trun":
+                _run(data, a, b, part)
         elif found["tracks"]:
             track = found["tracks"][-1]
-            if kind == b"mdhd":
+            if kind == b"tkhd":
+                track.number = _track_number(data, a, b)
+            elif kind == b"mdhd":
                 track.timescale, track.duration = _times(data, a, b)
             elif kind == b"hdlr":
                 _number(data, ">I", a + 8, b)
                 track.handler = bytes(data[a + 8 : a + 12]).decode("latin-1")
-            elif kind in (b"stsd", b"stts", b"stsc", b"stsz", b"stco", b"co64", b"stss"):
+            elif kind in (b"stsd", b"stts", b"stsc", b"stsz", b"stz2", b"stco", b"co64", b"stss"):
                 track.tables[kind] = (a, b)
                 if kind == b"stsd" and _number(data, ">I", a + 4, b):
                     _number(data, ">Q", a + 8, b)
@@ -112,25 +201,61 @@ def _walk(data: memoryview, start: int, end: int, found: dict, depth: int = 0) -
 
 def parse(media: bytes) -> dict:
     """brand, seconds and tracks of a container."""
-    found: dict = {"brand": None, "seconds": None, "tracks": []}
+    found: dict = {"brand": None, "seconds": None, "tracks": [], "defaults": {}}
     _walk(memoryview(media), 0, len(media), found)
     if found["brand"] is None:
         raise Malformed("no ftyp box")
     return found
 
 
-def samples(media: bytes, track: Track) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(offset, size, whether a keyframe) of each sample; counts are checked against the bytes before anything is expanded."""
-    data, none = memoryview(media), np.zeros(0, np.int64)
-    if b"stsz" not in track.tables:
-        return none, none, none.astype(bool)
-    a, b = track.tables[b"stsz"]
-    fixed, count = _number(data, ">I", a + 4, b), _number(data, ">I", a + 8, b)
-    if fixed and fixed * count > len(media):
-        raise Malformed("samples exceed the file")
-    sizes = np.full(count, fixed, np.int64) if fixed else _array(data, ">u4", a + 12, count, b)
+def _sizes(data: memoryview, track: Track) -> np.ndarray:
+    """Bytes of each sample, from stsz or the compact stz2."""
+    if b"stsz" in track.tables:
+        a, b = track.tables[b"stsz"]
+        fixed, count = _number(data, ">I", a + 4, b), _number(data, ">I", a + 8, b)
+        if fixed and fixed * count > len(data):
+            raise Malformed("samples exceed the file")
+        return np.full(count, fixed, np.int64) if fixed else _array(data, ">u4", a + 12, count, b)
+    if b"stz2" not in track.tables:
+        return np.zeros(0, np.int64)
+    a, b = track.tables[b"stz2"]
+    bits, count = _number(data, ">B", a + 7, b), _number(data, ">I", a + 8, b)
+    if bits == 4:
+        pairs = _array(data, ">u1", a + 12, -(-count // 2), b)
+        return np.stack([pairs >> 4, pairs & 15], axis=1).reshape(-1)[:count]
+    if bits not in (8, 16):
+        raise Malformed("a sample size has an unknown width")
+    return _array(data, f">u{bits // 8}", a + 12, count, b)
+
+
+def _durations(data: memoryview, track: Track, count: int) -> np.ndarray:
+    """Duration of each sample, from stts."""
+    if b"stts" not in track.tables:
+        raise Malformed("a sample table is missing")
+    a, b = track.tables[b"stts"]
+    runs = _array(data, ">u4", a + 8, 2 * _number(data, ">I", a + 4, b), b).reshape(-1, 2)
+    if int(runs[:, 0].sum()) != count:
+        raise Malformed("samples and times do not agree")
+    return np.repeat(runs[:, 1], runs[:, 0])
+
+
+def samples(media: bytes, track: Track) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(offset, size, start, duration, whether a keyframe) of each sample, times in the track's scale.
+
+    Those of the movie's tables come first, then those of its fragments, in the file's order. Times are media times:
+    edit lists are not applied. Counts are checked against the bytes before anything is expanded.
+    """
+    data = memoryview(media)
+    parts = [_table_samples(data, track), *track.runs]
+    offsets, sizes, starts, durations, keys = np.concatenate(parts, axis=1)
+    return offsets, sizes, starts, durations, keys.astype(bool)
+
+
+def _table_samples(data: memoryview, track: Track) -> np.ndarray:
+    sizes = _sizes(data, track)
+    count = len(sizes)
     if not count:
-        return none, none, none.astype(bool)
+        return np.zeros((5, 0), np.int64)
     wide = b"co64" in track.tables
     if not wide and b"stco" not in track.tables or b"stsc" not in track.tables:
         raise Malformed("a sample table is missing")
@@ -147,7 +272,7 @@ def samples(media: bytes, track: Track) -> tuple[np.ndarray, np.ndarray, np.ndar
     before = np.cumsum(sizes) - sizes
     chunk_start = np.cumsum(per_chunk) - per_chunk
     offsets = chunks[chunk] + before - before[np.minimum(chunk_start, count - 1)][chunk]
-    if (offsets < 0).any() or int((offsets + sizes).max()) > len(media):
+    if (offsets < 0).any() or int((offsets + sizes).max()) > len(data):
         raise Malformed("samples exceed the file")
     keys = np.ones(count, bool)
     if b"stss" in track.tables:
@@ -157,12 +282,13 @@ def samples(media: bytes, track: Track) -> tuple[np.ndarray, np.ndarray, np.ndar
             raise Malformed("a keyframe is no sample")
         keys[:] = False
         keys[sync] = True
-    return offsets, sizes, keys
+    durations = _durations(data, track, count)
+    return np.stack([offsets, sizes, np.cumsum(durations) - durations, durations, keys])
 
 
 def read_samples(media: bytes, track: Track) -> bytes:
     """The track's samples, in order, as one string of bytes."""
-    offsets, sizes, _ = samples(media, track)
+    offsets, sizes, *_ = samples(media, track)
     if not len(offsets):
         return b""
     ends = offsets + sizes
@@ -229,7 +355,7 @@ def padded(text: str | None) -> tuple[int, bytes]:
 
 DESCRIPTION = (
     "brand string, seconds double, tracks array<struct<handler: string, codec: string, timescale: long, duration: long, "
-    "samples: long, bytes: long, keyframes: array<struct<offset: long, length: long>>>>, error string"
+    "samples: long, bytes: long, keyframes: array<struct<offset: long, length: long, start: long, duration: long>>>>, error string"
 )
 
 
@@ -239,16 +365,21 @@ def description(media: bytes | None) -> dict:
     try:
         found, tracks = parse(media), []
         for t in found["tracks"]:
-            offsets, sizes, keys = samples(media, t)
-            ranges = [{"offset": a, "length": n} for a, n in zip(offsets[keys].tolist(), sizes[keys].tolist())]
-            tracks.append({"handler": t.handler, "codec": t.codec, "timescale": t.timescale, "duration": t.duration, "samples": len(sizes), "bytes": int(sizes.sum()), "keyframes": ranges})
+            offsets, sizes, starts, durations, keys = samples(media, t)
+            found_at = (x[keys].tolist() for x in (offsets, sizes, starts, durations))
+            ranges = [{"offset": a, "length": n, "start": at, "duration": d} for a, n, at, d in zip(*found_at)]
+            tracks.append({"handler": t.handler, "codec": t.codec, "timescale": t.timescale, "duration": t.duration or int((starts + durations).max(initial=0)), "samples": len(sizes), "bytes": int(sizes.sum()), "keyframes": ranges})
         return {"brand": found["brand"], "seconds": found["seconds"], "tracks": tracks, "error": None}
     except Malformed as e:
         return {"brand": None, "seconds": None, "tracks": None, "error": str(e)}
 
 
 def describe(media: Column) -> Column:
-    """A struct of brand, seconds, tracks and error; null values and bytes that are no container say so in error."""
+    """A struct of brand, seconds, tracks and error; null values and bytes that are no container say so in error.
+
+    A keyframe has offset and length in bytes, start and duration in the track's timescale. One row a row, repeated
+    ones alike; a value of any length is read in place. A column like any other: names of the table cannot clash.
+    """
 
     @F.pandas_udf(DESCRIPTION)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -259,7 +390,10 @@ def describe(media: Column) -> Column:
 
 
 def as_media(text: Column) -> Column:
-    """The container of each text's padded UTF-8 bytes; null and empty texts are one sample of zeros."""
+    """The container of each text's padded UTF-8 bytes; null and empty texts are one sample of zeros.
+
+    Equal texts give equal bytes. A text of over 4 GiB takes wide offsets.
+    """
 
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -273,7 +407,7 @@ DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 lo
 
 
 def digest(text: Column, media: Column) -> Column:
-    """What the stored bytes hold, read back through the container's tables."""
+    """What the stored bytes hold, read back through the container's tables; n_bytes alone is of the text (null: 0)."""
 
     @F.pandas_udf(DIGEST)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -283,7 +417,7 @@ def digest(text: Column, media: Column) -> Column:
                 found = parse(data)
                 track = found["tracks"][0]
                 payload = read_samples(data, track)
-                offsets, sizes, keys = samples(data, track)
+                offsets, sizes, starts, _, keys = samples(data, track)
                 at = np.flatnonzero(keys)
                 ranges = zlib.crc32(np.stack([offsets[at], sizes[at]]).astype("<i8").tobytes())
                 feature = f"{found['brand']} {track.handler} {track.codec} {track.duration}/{track.timescale} samples={len(sizes)} keyframes={len(at)} last={offsets[at[-1]]}+{sizes[at[-1]]} ranges={ranges:08x}"
