@@ -83,17 +83,21 @@ class Layout:
     def add(self, turn: Turn) -> Iterator[dict]:
         if self.fresh and turn.upto - self._base() > self.budget:
             yield self.closed()
-            head = [self.system] if self.system and self.system.tokens <= self.budget // 2 else []
+            head = [self.system] if self.system and turn.role != SYSTEM and self.system.tokens + turn.tokens <= self.budget else []
             room = self.budget - turn.tokens - sum(t.tokens for t in head)
-            past = [t for t in self.recent if turn.upto - turn.tokens - (t.upto - t.tokens) <= min(self.history, room)]
+            past = [t for t in self.recent if t is not self.system and self._since(t, turn) <= min(self.history, room)]
             self.repeated, self.fresh = head + past, []
-        elif not self.fresh and turn.role == SYSTEM:
-            self.system = turn
         self.fresh.append(turn)
-        if turn is not self.system:
-            self.recent.append(turn)
-            while self.recent and turn.upto - (self.recent[0].upto - self.recent[0].tokens) > self.history:
-                self.recent.popleft()
+        if turn.role == SYSTEM:
+            self.system = turn
+        self.recent.append(turn)
+        while self.recent and turn.upto - (self.recent[0].upto - self.recent[0].tokens) > self.history:
+            self.recent.popleft()
+
+    @staticmethod
+    def _since(earlier: Turn, turn: Turn) -> int:
+        """Tokens from the start of an earlier turn to that of this one."""
+        return turn.upto - turn.tokens - (earlier.upto - earlier.tokens)
 
     def _base(self) -> int:
         """The prefix sum at which the window would start, were all its turns consecutive."""
@@ -169,9 +173,11 @@ def windows(
 
     Turns are ordered by turn_col, then role and text; a null turn comes first. A null text or role is an empty one;
     rows with a null conversation form one. Repeated rows are turns of their own. A window exceeds the budget only by a
-    single turn longer than it, or by a system turn of up to half of it beside such a turn. A longer system turn stands
-    in the first window alone. The first n_repeated turns of a window are repeated, the next n_turns new. An empty
-    table gives an empty result. Other columns are not read.
+    single turn longer than it. The latest system turn before a window stands at its head wherever it and the first new
+    turn fit the budget; history gives way to it. The first n_repeated turns of a window are repeated, the next n_turns
+    new. Tied turns keep the order of role and text; a text of any length is one turn. An empty table gives an empty
+    result. Other columns are not read, so their names cannot clash. Each partition holds whole conversations, one
+    after the other, their windows in order.
     """
     kind = turns.schema[conv_col].dataType
     role, text = F.coalesce(F.col(role_col), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
@@ -213,11 +219,17 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(now[0], n_turns, turns.hexdigest(), loss_chars, loss.hexdigest(), chars)], columns=names)
 
 
-def read_back(laid: DataFrame) -> DataFrame:
-    """What the windows of each conversation hold: conv, n_turns, digests of turns and of the text under the loss mask, lengths."""
+def read_back(laid: DataFrame, in_order: bool = False) -> DataFrame:
+    """What the windows of each conversation hold: conv, n_turns, digests of turns and of the text under the loss mask, lengths.
+
+    Windows that come straight from windows() are in_order; others, such as a table of them, are first dealt by
+    conversation and sorted.
+    """
     kind = laid.schema["conv"].dataType
     rows = laid.select(F.col("conv").cast("string").alias("conv"), "window", "n_repeated", "text", "loss_mask")
-    rows = rows.repartition("conv").sortWithinPartitions("conv", "window").drop("window")
+    if not in_order:
+        rows = rows.repartition("conv").sortWithinPartitions("conv", "window")
+    rows = rows.drop("window")
     return rows.mapInPandas(_read, READ_BACK).withColumn("conv", F.col("conv").cast(kind))
 
 
@@ -229,7 +241,7 @@ def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise(ASSISTANT).alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"),
     )
     laid = windows(turns.unionByName(own), public_vocabulary("byte_bpe_50k.json"))
-    return read_back(laid).withColumnRenamed("conv", "conv_id")
+    return read_back(laid, in_order=True).withColumnRenamed("conv", "conv_id")
 
 
 QUERIES = {"op7_chat_windows": op7_chat_windows}

@@ -45,6 +45,46 @@ def test_windows_and_reading_back(spark):
     assert sum(r["n_turns"] for r in seen) == len(rows)
 
 
+def test_system_turns_stand_where_they_fit(spark):
+    system, later = "s " * 60, "t " * 20
+    turns = [("user", "hello " * 30), ("system", system), *[("user", f"u{i} " * 12) for i in range(8)], ("system", later), *[("user", f"v{i} " * 12) for i in range(8)], ("user", "w " * 240)]
+    df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    budget = 260
+    laid = chat.windows(df, VOCABULARY, budget=budget, history=60).orderBy("window").collect()
+    assert len(laid) > 3
+    at, now = 0, None
+    for r in laid:
+        said = chat.turns_of(r["text"])
+        fresh = said[r["n_repeated"] :]
+        assert fresh == turns[at : at + len(fresh)] and (r["n_tokens"] <= budget or r["n_turns"] == 1)
+        if r["n_repeated"]:
+            assert ("system", now) not in said[1 : r["n_repeated"]]
+        if now and r["window"] and "w" not in fresh[0][1] and fresh[0][0] != "system":
+            assert said[0] == ("system", now)
+        at += len(fresh)
+        now = next((t for role, t in reversed(turns[:at]) if role == "system"), None)
+    assert at == len(turns)
+
+
+def test_repeated_rows_and_tied_turns(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "assistant", "z"), (1, 0, "assistant", "z"), (1, None, "user", "first")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    (r,) = chat.windows(df, VOCABULARY).collect()
+    assert chat.turns_of(r["text"]) == [("user", "first"), ("assistant", "z"), ("assistant", "z"), ("user", "a"), ("user", "b")]
+    assert len(r["loss_mask"]) == 2
+
+
+def test_reading_in_order_equals_reading_any(spark, sf):
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    laid = chat.windows(turns, VOCABULARY, budget=200, history=50)
+    one, other = chat.read_back(laid, in_order=True).collect(), chat.read_back(laid).collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, other)) and one
+    held = {}
+    for r in laid.groupBy("conv").agg(F.sum(F.length("text")).alias("n")).collect():
+        held[r["conv"]] = r["n"]
+    assert {r["conv"]: r["formatted_chars"] for r in one} == held
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_back(chat.windows(df, VOCABULARY)).count() == 0
