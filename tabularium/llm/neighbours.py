@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +43,12 @@ def rotation(dimensions: int, seed: int) -> np.ndarray:
 
 
 def _stack(column: pd.Series, dtype: str) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype).reshape(len(column), -1).astype(np.float64)
+    """The vectors as rows of doubles, each scaled by a power of two so that squares neither overflow nor vanish.
+
+    Such a scale changes no digit, and cosines do not depend on it.
+    """
+    rows = np.frombuffer(b"".join(column), dtype).reshape(len(column), -1).astype(np.float64)
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, initial=0.0))[1][:, None])
 
 
 def _units(vectors: np.ndarray) -> np.ndarray:
@@ -71,7 +77,7 @@ def estimates(bits: np.ndarray, length: np.ndarray, own: np.ndarray, queries: np
 
 
 def best(codes: dict[str, np.ndarray], queries: np.ndarray, centre: np.ndarray, least: int, seed: int = SEED, at_once: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, code, cosine) of the ``least`` nearest codes of each query, and of those tied with the last."""
+    """(query, code, cosine) of the ``least`` nearest codes of each query; ties go to the code of the smaller ``first``."""
     rows, columns, scores = [], [], []
     norms = np.sqrt((codes["vectors"] ** 2).sum(axis=1))
     for at in range(0, len(queries), at_once):
@@ -84,26 +90,28 @@ def best(codes: dict[str, np.ndarray], queries: np.ndarray, centre: np.ndarray,
             q, c = (x.ravel() for x in np.indices(near.shape))
         own = np.sqrt((part * part).sum(axis=1))
         exact = (codes["vectors"][c] * part[q]).sum(axis=1) / (norms[c] * own[q])
-        order = np.lexsort((-exact, q))
+        order = np.lexsort((codes["first"][c], -exact, q))
         q, c, exact = q[order], c[order], exact[order]
-        start = np.searchsorted(q, np.arange(len(part)))
-        last = np.minimum(start + least - 1, np.append(start[1:], len(q)) - 1)
-        stay = exact >= exact[last][q]
+        stay = np.arange(len(q)) - np.searchsorted(q, np.arange(len(part)))[q] < least
         rows.append(q[stay] + at), columns.append(c[stay]), scores.append(exact[stay])
     return np.concatenate(rows), np.concatenate(columns), np.concatenate(scores)
 
 
 def _clean(dtype: str):
-    """id, key and bytes of every vector of finite numbers that are not all zero."""
+    """id, length, key and bytes of every vector of finite numbers that are not all zero."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for i, v in zip(batch["id"].tolist(), batch["v"]):
-                x = np.array([np.nan if y is None else y for y in v], dtype=dtype) + np.dtype(dtype).type(0)
-                if np.isfinite(x).all() and x.any():
-                    out.append((i, len(x), hashlib.md5(x.tobytes()).hexdigest(), x.tobytes()))
-            yield pd.DataFrame(out, columns=["id", "size", "key", "vector"])
+            lists = batch.column("v")
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(dtype) + np.dtype(dtype).type(0)  # null: NaN; -0 and 0 are one
+            size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            owner, start = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+            good = (np.bincount(owner, ~np.isfinite(flat), minlength=len(size)) == 0) & (np.bincount(owner, flat != 0, minlength=len(size)) > 0)
+            data, width, rows = flat.tobytes(), flat.dtype.itemsize, np.flatnonzero(good)
+            vectors = [data[width * a : width * (a + n)] for a, n in zip(start[rows].tolist(), size[rows].tolist())]
+            keys = [hashlib.md5(v).hexdigest() for v in vectors]
+            columns = [batch.column("id").take(pa.array(rows)), pa.array(size[rows], pa.int32()), pa.array(keys, pa.string()), pa.array(vectors, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "size", "key", "vector"])
 
     return run
 
@@ -136,7 +144,7 @@ def _search(dtype: str, centre: np.ndarray, least: int, seed: int):
     def run(codes: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if codes.empty or queries.empty:
             return pd.DataFrame({"query": [], "ids": [], "score": []})
-        held = {"bits": np.frombuffer(b"".join(codes["bits"]), np.uint8).reshape(len(codes), -1), "length": codes["length"].to_numpy(), "own": codes["own"].to_numpy(), "vectors": _stack(codes["vector"], dtype)}
+        held = {"bits": np.frombuffer(b"".join(codes["bits"]), np.uint8).reshape(len(codes), -1), "length": codes["length"].to_numpy(), "own": codes["own"].to_numpy(), "first": codes["ids"].map(lambda ids: ids[0]).to_numpy(), "vectors": _stack(codes["vector"], dtype)}
         q, c, score = best(held, _stack(queries["query_vector"], dtype), centre, least, seed)
         return pd.DataFrame({"query": queries["query_key"].to_numpy()[q], "ids": codes["ids"].to_numpy()[c], "score": score})
 
@@ -162,7 +170,7 @@ def nearest(
     """
     dtype = "<f4" if isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType) else "<f8"
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    rows = durable(rows.mapInPandas(_clean(dtype), "id long, size int, key string, vector binary"))
+    rows = durable(rows.mapInArrow(_clean(dtype), "id long, size int, key string, vector binary"))
     common = rows.groupBy("size").count().orderBy(F.desc("count"), "size").first()
     size = common["size"] if common else 1
     rows = rows.where(F.col("size") == size)

@@ -6,6 +6,12 @@ from tabularium.llm import neighbours
 SCHEMA = "vec_id long, embedding array<float>, key string, size int"
 
 
+def cosines(vectors, q):
+    x = vectors.astype(np.float64)
+    norms = np.sqrt((x * x).sum(axis=1))
+    return (x * x[q]).sum(axis=1) / (norms * norms[q])
+
+
 def brute(ids, vectors, query, k):
     x = vectors.astype(np.float64)
     norms = np.sqrt((x * x).sum(axis=1))
@@ -26,8 +32,10 @@ def test_recall_and_scores(spark, sf):
         near, scores = brute(ids, vectors, query, 5)
         mine = [found[query][i + 1] for i in range(5)]
         hit, total = hit + len(set(near) & {i for i, _ in mine}), total + 5
-        if [i for i, _ in mine] == near:
-            assert np.allclose([s for _, s in mine], scores, atol=1e-12)
+        exact = dict(zip(ids.tolist(), cosines(vectors, int(np.flatnonzero(ids == query)[0]))))
+        assert np.allclose([s for _, s in mine], [exact[i] for i, _ in mine], atol=1e-12)
+        assert mine == sorted(mine, key=lambda x: (-x[1], x[0])) and query not in [i for i, _ in mine]
+        assert np.allclose(mine[0][1], scores[0]) or mine[0][1] < scores[0]
     assert hit / total >= 0.98
 
 
@@ -50,6 +58,27 @@ def test_copies_ties_and_bad_vectors(spark):
         assert [i for _, i, _ in mine] == near and np.allclose([s for *_, s in mine], scores)
 
 
+def test_huge_and_tiny_components(spark):
+    """Finite doubles whose squares overflow or vanish are vectors like any other; their cosines are those of the scaled ones."""
+    base = np.random.default_rng(2).standard_normal((30, 6))
+    rows = [(i, [float(y) for y in base[i] * s], "", 1) for i, s in enumerate([1e200, 1e-200, 1.0, 1e307, 1e-300] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, key string, size int")
+    out = neighbours.nearest(df, df.select("vec_id")).collect()
+    assert len(out) == 150
+    for query in range(30):
+        near, scores = brute(np.arange(30), base, query, 5)
+        mine = sorted((r["rank"], r["id"], r["score"]) for r in out if r["query_id"] == query)
+        assert [i for _, i, _ in mine] == near and np.allclose([s for *_, s in mine], scores)
+
+
+def test_scaled_copies_tie_by_id(spark):
+    rows = [(i, [float(1 << i), 0.0], "", 1) for i in range(20)] + [(100, [1.0, 1.0], "", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = neighbours.nearest(df, df.where("vec_id IN (7, 100)").select("vec_id"), code_block=4).collect()
+    found = {q: [r["id"] for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (7, 100)}
+    assert found == {7: [0, 1, 2, 3, 4], 100: [0, 1, 2, 3, 4]}
+
+
 def test_empty_and_few(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert neighbours.nearest(df, df.select("vec_id")).count() == 0
