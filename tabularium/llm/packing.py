@@ -1,11 +1,12 @@
 """Best-fit packing of documents into fixed-length token sequences.
 
 Leaves: every task tokenizes its documents, cuts the long ones and packs the
-pieces best-fit, longest first. Bins that are nearly full are final. The others
-become items themselves: they meet in fewer and fewer merge groups, each a
-bounded number of bins, where best-fit runs again, until one group holds all of
-them or a round no longer helps. Only bin numbers and fills move between tasks;
-texts and ids stay in the task that read them.
+pieces best-fit, longest first. Bins that are nearly full, or that have no room
+for the emptiest bin left, are final. The others become items themselves: they
+meet in fewer and fewer merge groups, dealt anew each round, where best-fit runs
+again until one group holds all of them. A group is a bounded number of bins; it
+grows while rounds help little, up to a bound of a task's memory. Only bin numbers
+and fills move between tasks; texts and ids stay in the task that read them.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from tabularium.llm.tokens import encoder, public_vocabulary
 
 CAPACITY = 2048
 END_ID = 0
+#: Merge groups grow to this many times their size while rounds help little.
+WIDEST = 32
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -101,6 +104,12 @@ def _merge(level: int, capacity: int):
     return run
 
 
+def _mergeable(bins: DataFrame, capacity: int) -> DataFrame:
+    """The bins with room for the emptiest one; no other can ever be merged."""
+    least = bins.agg(F.min("fill")).first()[0]
+    return bins.where(F.col("fill") <= capacity - (least or 0))
+
+
 def pack(
     docs: DataFrame,
     vocabulary: str,
@@ -118,27 +127,31 @@ def pack(
     A null text is an empty one: a single piece that holds the end id. Repeated rows are packed as often as they
     occur; a null id stays null. Other columns are not read. An empty table gives an empty result.
     A bin with less than ``slack`` room counts as full. A leaf packs some ``leaf_pieces`` pieces at once, a merge group
-    about ``group_bins`` bins: bounds of a task's memory, not of the result.
+    about ``group_bins`` bins, and up to WIDEST times as many if rounds help little: bounds of a task's memory, not of
+    the result. Ties are placed by bin number. Columns whose names clash with the result's are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = LEAF.replace("bin long", "ids array<int>, bin long") if with_ids else LEAF
     pieces = durable(rows.mapInPandas(_leaf(vocabulary, capacity, end_id, leaf_pieces, with_ids), schema))
     full = F.col("fill") > capacity - slack
-    open_bins = pieces.where(~full).groupBy("bin").agg(F.first("fill").alias("fill"))
+    open_bins = _mergeable(pieces.where(~full).groupBy("bin").agg(F.first("fill").alias("fill")), capacity)
     placed = open_bins.select("bin", F.col("bin").alias("top"), F.lit(0).cast("long").alias("base"))
-    count, groups, level = open_bins.count(), None, 0
+    count, level, size = open_bins.count(), 0, group_bins
     while count > 1:
         level += 1
-        fewest = max(1, -(-count // group_bins))
-        groups = fewest if groups is None else max(1, min(fewest, groups // 2))
+        groups = -(-count // size)
         dealt = open_bins.repartition(groups, F.xxhash64("bin", F.lit(level))).sortWithinPartitions(F.desc("fill"), "bin")
         merged = durable(dealt.mapInPandas(_merge(level, capacity), "bin long, parent long, at long, fill long"))
         step = merged.select(F.col("bin").alias("top"), "parent", F.col("at").alias("more"))
         placed = placed.join(step, "top", "left").select("bin", F.coalesce("parent", "top").alias("top"), (F.col("base") + F.coalesce("more", F.lit(0))).alias("base"))
-        open_bins = merged.where(~full).groupBy(F.col("parent").alias("bin")).agg(F.first("fill").alias("fill"))
+        open_bins = _mergeable(merged.where(~full).groupBy(F.col("parent").alias("bin")).agg(F.first("fill").alias("fill")), capacity)
         before, count = count, open_bins.count()
-        if groups == 1 or count > 0.98 * before:
+        if groups == 1:
             break
+        if count > 0.98 * before:
+            if size >= WIDEST * group_bins:
+                break
+            size *= 2
     out = pieces.join(placed, "bin", "left")
     names = ["id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
     return out.select(*names, F.coalesce("top", "bin").alias("sequence_id"), (F.col("at") + F.coalesce("base", F.lit(0))).alias("offset"))
