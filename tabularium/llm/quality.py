@@ -33,7 +33,7 @@ ORDER = 5
 #: Stands before a text's first character; characters up to it count as one.
 PAD = "\x02"
 #: n-grams in the broadcast table at most; unsettled n-grams of a batch; characters looked up at once.
-HEAD, BATCH, AT_ONCE = 300_000, 400_000, 200_000
+HEAD, BATCH, AT_ONCE = 300_000, 300_000, 200_000
 #: A row weighs as much as this many n-grams when batches are cut.
 ROW = 10
 #: Of trusted documents left out of training, this share lies within the threshold; one fold of FOLDS is left out.
@@ -156,18 +156,18 @@ def _distinct(code: np.ndarray, ends: np.ndarray) -> tuple[list[str], np.ndarray
     if bits * ORDER > 64:
         _, first, n = np.unique(hashes(code, ends), return_index=True, return_counts=True)
         return grams_of(windows(code, ends[first])), n
-    number = np.zeros(0x110000, np.uint64)
-    number[letters] = np.arange(len(letters), dtype=np.uint64)
+    number = np.zeros(0x110000, np.uint16)
+    number[letters] = np.arange(len(letters))
     small, packed = number[code], np.zeros(len(ends), np.uint64)
     for i in range(ORDER):
-        packed |= small[ends - i] << np.uint64(bits * i)
+        packed |= small[ends - i].astype(np.uint64) << np.uint64(bits * i)
     packed, n = np.unique(packed, return_counts=True)
     mask = np.uint64((1 << bits) - 1)
     found = np.stack([letters[((packed >> np.uint64(bits * i)) & mask).astype(np.int64)] for i in range(ORDER - 1, -1, -1)], axis=1)
     return grams_of(found.astype("<u4").tobytes().decode("utf-32-le")), n
 
 
-def _count(chars_at_once: int = 4_000_000):
+def _count(chars_at_once: int = 3_000_000):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, chars = [], 0
 
