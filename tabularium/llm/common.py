@@ -2,64 +2,24 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabularium.durable import forget, forget_at_exit, shared_folder, written
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir. Where none is set, a temporary one, for a local master only."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def _path(spark: SparkSession, name: str):
-    """(file system, path) of a folder in whatever store it lies."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
-
+__all__ = ["broadcast_if_small", "carried", "durable", "fold_of", "forget", "forget_at_exit", "restored", "shared_folder", "table", "written"]
 
-def forget_at_exit(spark: SparkSession, name: str) -> str:
-    """Have the folder deleted when the application ends; its frames are read lazily until then."""
-    files, path = _path(spark, name)
-    files.deleteOnExit(path)
-    return name
 
-
-def forget(spark: SparkSession, name: str) -> None:
-    """Delete a folder that no frame reads any more."""
-    files, path = _path(spark, name)
-    files.delete(path, True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and cut its lineage."""
+    """Write df to the shared folder and cut its lineage; it goes as spark.cleaner.referenceTracking.cleanCheckpoints says."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: compressed, and read by column, where a checkpoint is neither.
-
-    The table goes when the application ends; checkpoints go as spark.cleaner.referenceTracking.cleanCheckpoints says.
-    """
-    path = forget_at_exit(df.sparkSession, f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Hint a broadcast only if df, made of a few fixed-width columns, has at most max_rows rows.
 
