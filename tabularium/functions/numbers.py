@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabularium.functions.text import let
+
 # The marks that decorate amounts.
 CURRENCY_MARKS = r"(?i)(us\$|s/\.?|clp|usd|eur|ars|pen|cop|mxn|uf|[$€£])"
 UNIT_MARKS = r"(?i)\s*(?:un|ud|uds|unidad|unidades)\.?\s*$"
@@ -17,12 +19,15 @@ CURRENCIES = {
 
 
 def undecorated(text: Column) -> tuple[Column, Column]:
-    """(digits, signs and separators alone; whether parentheses make it negative)."""
-    value = F.trim(F.translate(text.cast("string"), " ", " "))
-    in_parentheses = value.rlike(r"^\(.+\)$")
-    value = F.when(in_parentheses, F.trim(F.regexp_replace(value, r"^\(|\)$", ""))).otherwise(value)
-    value = F.regexp_replace(F.regexp_replace(value, CURRENCY_MARKS, ""), UNIT_MARKS, "")
-    return F.regexp_replace(value, r"[%\s]", ""), in_parentheses
+    """(digits, signs and separators alone; whether parentheses make it negative). Bare numbers meet one pattern only."""
+    value = F.trim(F.translate(text.cast("string"), " ", " "))
+    in_parentheses = value.startswith("(") & value.endswith(")") & (F.length(value) > 2) & ~value.contains("\n")
+
+    def without_marks(v: Column) -> Column:
+        inner = F.when(v.startswith("("), F.trim(F.regexp_replace(v, r"^\((.+)\)$", "$1"))).otherwise(v)
+        return F.regexp_replace(F.regexp_replace(F.regexp_replace(inner, CURRENCY_MARKS, ""), UNIT_MARKS, ""), r"[%\s]", "")
+
+    return let(value, lambda v: F.when(v.rlike(BARE), v).otherwise(without_marks(v))), in_parentheses
 
 
 def looks_like_number(text: Column) -> Column:
@@ -42,22 +47,29 @@ def parse_number(text: Column, dot3: str | Column = "miles", comma3: str | Colum
     dot3 = dot3 if isinstance(dot3, Column) else F.lit(dot3)
     comma3 = comma3 if isinstance(comma3, Column) else F.lit(comma3)
     clean, in_parentheses = undecorated(text)
-    body = F.regexp_replace(clean, "^-+", "")
-    commas, dots = _times(body, ","), _times(body, ".")
     no = lambda c, mark: F.replace(c, F.lit(mark), F.lit(""))
-    last_is_comma = F.length(F.substring_index(body, ",", -1)) < F.length(F.substring_index(body, ".", -1))
-    three = lambda mark: (F.length(F.substring_index(body, mark, -1)) == 3) & (F.length(F.substring_index(body, mark, 1)) >= 1)
-    written = (
-        F.when(body.rlike(rf"^{SCIENTIFIC}$"), body)
-        .when((commas > 0) & (dots > 0), F.when(last_is_comma, F.translate(no(body, "."), ",", ".")).otherwise(no(body, ",")))
-        .when(commas > 1, no(body, ","))
-        .when(commas == 1, F.when(three(",") & (comma3 == "miles"), no(body, ",")).otherwise(F.translate(body, ",", ".")))
-        .when(dots > 1, no(body, "."))
-        .when((dots == 1) & three(".") & (dot3 == "miles"), no(body, "."))
-        .otherwise(body)
-    )
-    sign = F.when(in_parentheses | clean.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
-    return F.when(clean.rlike(BARE), written.try_cast("double") * sign)
+    three = lambda b, mark: (F.length(F.substring_index(b, mark, -1)) == 3) & (F.length(F.substring_index(b, mark, 1)) >= 1)
+
+    def written(x: Column) -> Column:
+        body, commas, dots = x["body"], x["commas"], x["dots"]
+        last_is_comma = F.length(F.substring_index(body, ",", -1)) < F.length(F.substring_index(body, ".", -1))
+        return (
+            F.when(F.lower(body).contains("e"), body)
+            .when((commas > 0) & (dots > 0), F.when(last_is_comma, F.translate(no(body, "."), ",", ".")).otherwise(no(body, ",")))
+            .when(commas > 1, no(body, ","))
+            .when(commas == 1, F.when(three(body, ",") & (comma3 == "miles"), no(body, ",")).otherwise(F.translate(body, ",", ".")))
+            .when(dots > 1, no(body, "."))
+            .when((dots == 1) & three(body, ".") & (dot3 == "miles"), no(body, "."))
+            .otherwise(body)
+        )
+
+    def read(c: Column) -> Column:
+        body = F.ltrim(c, F.lit("-"))
+        parts = F.struct(body.alias("body"), _times(c, ",").alias("commas"), _times(c, ".").alias("dots"))
+        sign = F.when(in_parentheses | c.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
+        return F.when(c.rlike(BARE), let(parts, written).try_cast("double") * sign)
+
+    return let(clean, read)
 
 
 def conventions(df: DataFrame, column: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +21,11 @@ CUSTOMER_PLACEHOLDERS = ("sin nombre", "cliente desconocido", "sin identificar",
 ABBREVIATIONS = {"stgo": "santiago", "avda": "avenida", "av": "avenida", "sta": "santa", "sto": "santo", "gral": "general"}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def plain(text: Column) -> Column:
     """Without accents, lower case, trimmed."""
     bare = F.translate(F.regexp_replace(text.cast("string"), r"\p{M}+", ""), ACCENTED, BARE)
