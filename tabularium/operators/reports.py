@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabularium.functions.numbers import ratio
 from tabularium.functions.text import is_blank, plain
-from tabularium.operators.aggregates import outlier_fences
+from tabularium.operators.aggregates import exact_quantiles, outlier_fences
 
 # The natural order of labels in charts.
 WEEKDAYS = ("lunes", "martes", "miercoles", "jueves", "viernes", "sabado", "domingo")
@@ -15,10 +15,18 @@ MONTH_NAMES = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "
 
 
 def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, values, mean, median, least, most) of number columns, in one aggregate."""
+    """(column, values, mean, median, least, most) of number columns: one aggregate, and the medians in bounded memory."""
     number = lambda c: F.col(f"`{c}`").cast("double")
-    wide = df.agg(*[F.struct(F.count(number(c)).alias("values"), F.avg(number(c)).alias("mean"), F.median(number(c)).alias("median"), F.min(number(c)).alias("least"), F.max(number(c)).alias("most")).alias(f"c{i}") for i, c in enumerate(columns)])
-    return wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"c{i}")[x].alias(x) for x in ("values", "mean", "median", "least", "most")]) for i, c in enumerate(columns)])))
+    known = lambda c: F.when(~F.isnan(number(c)), number(c))
+    of = lambda c: F.struct(F.count(known(c)).alias("values"), F.avg(known(c)).alias("mean"), F.min(known(c)).alias("least"), F.max(known(c)).alias("most"))
+    wide = df.agg(*[of(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    middle = {c: (exact_quantiles(df, F.col(f"`{c}`"), [0.5])[1] or [None])[0] for c in columns}
+    rows = []
+    for i, c in enumerate(columns):
+        x = F.col(f"c{i}")
+        median = F.lit(middle[c]).cast("double").alias("median")
+        rows.append(F.struct(F.lit(c).alias("column"), x["values"].alias("values"), x["mean"].alias("mean"), median, x["least"].alias("least"), x["most"].alias("most")))
+    return wide.select(F.inline(F.array(*rows)))
 
 
 def distribution(df: DataFrame, label: Column, limit: int = 12) -> DataFrame:
@@ -39,8 +47,9 @@ def catalogue_profile(df: DataFrame, price: Column, cost: Column) -> DataFrame:
     """One row: products, mean and median price, mean cost, potential margin, products without or below cost, costs beyond the fence."""
     potential = F.when((price > 0) & cost.isNotNull(), (price - cost) / price * 100)
     fences = outlier_fences(df, cost, 1.5, 4).select("outliers")
+    middle = (exact_quantiles(df, price, [0.5])[1] or [None])[0]
     s = df.agg(
-        F.count("*").alias("products"), F.avg(price).alias("mean_price"), F.median(price).alias("median_price"), F.avg(cost).alias("mean_cost"), F.avg(potential).alias("potential_margin_pct"),
+        F.count("*").alias("products"), F.avg(price).alias("mean_price"), F.lit(middle).cast("double").alias("median_price"), F.avg(cost).alias("mean_cost"), F.avg(potential).alias("potential_margin_pct"),
         F.count(F.when(cost.isNull() | (cost <= 0), 1)).alias("without_cost"), F.count(F.when(cost > price, 1)).alias("below_cost"),
     )
     return s.join(F.broadcast(fences))  # one row each
@@ -82,8 +91,9 @@ def natural_rank(label: Column) -> Column:
 
 def heat_scale(cells: DataFrame, value: str, top: float = 0.95) -> DataFrame:
     """cells with ``intensity`` from -1 to 1: the value over the 95th percentile of sizes, so that few large ones don't pale the rest."""
-    size = cells.agg(F.percentile(F.abs(F.col(value).cast("double")), top).alias("scale"))
-    return cells.join(F.broadcast(size)).withColumn("intensity", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio(F.col(value).cast("double"), F.col("scale"))))).drop("scale")  # one row
+    number = F.col(value).cast("double")
+    scale = F.lit((exact_quantiles(cells, F.abs(number), [top])[1] or [None])[0]).cast("double")
+    return cells.withColumn("intensity", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio(number, scale))))
 
 
 def full_months(months: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def catalogue_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stock_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as stock rows of their ship date."""
     rows = table(spark, sf_dir, "lineitem").withColumn("day", F.col("l_shipdate").cast("date"))
-    return R.stock_cut(rows, F.col("day"), F.col("l_partkey"), F.col("l_quantity").cast("long"), F.lit(10), exact(F.col("l_extendedprice") / 10, 2))
+    return R.stock_cut(rows, F.col("day"), F.col("l_partkey"), F.col("l_quantity").cast("long"), F.lit(10), exact(F.col("l_extendedprice"), 2) / 10)
 
 
 def customer_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ WITH c AS (SELECT p_retailprice AS p, CASE WHEN p_size <= 45 THEN p_size * 40.0:
 SELECT count(*) AS products, round(avg(p), 6) AS mean_price, round(median(p), 6) AS median_price, round(avg(c), 6) AS mean_cost, round(avg((p - c) / p * 100), 6) AS potential_margin_pct,
   count(*) FILTER (c IS NULL OR c <= 0) AS without_cost, count(*) FILTER (c > p) AS below_cost, (SELECT count(*) FROM c, q WHERE c > b + (b - a) * 1.5) AS outliers FROM c""",
     "stock_cut": """
-SELECT max(l_shipdate)::DATE AS day, count(DISTINCT l_partkey) AS products, sum(l_quantity::BIGINT)::DOUBLE AS stock, sum(l_quantity::BIGINT * CAST(l_extendedprice / 10 AS DECIMAL(18,2)))::DOUBLE AS value,
+SELECT max(l_shipdate)::DATE AS day, count(DISTINCT l_partkey) AS products, sum(l_quantity::BIGINT)::DOUBLE AS stock, sum(l_quantity::BIGINT * CAST(l_extendedprice AS DECIMAL(18,2)))::DOUBLE / 10 AS value,
   count(*) FILTER (l_quantity < 10) AS below_minimum, count(*) FILTER (l_quantity < 0) AS negative FROM lineitem WHERE l_shipdate::DATE = (SELECT max(l_shipdate)::DATE FROM lineitem)""",
     "customer_chart": """
 WITH g AS (SELECT o_custkey::VARCHAR AS label, sum(CAST(o_totalprice AS DECIMAL(18,2)))::DOUBLE AS value FROM orders GROUP BY 1), t AS (SELECT *, row_number() OVER (ORDER BY value DESC, label) AS r FROM g),

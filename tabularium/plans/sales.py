@@ -77,7 +77,7 @@ def period_over_period(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def projection_3m(spark: SparkSession, sf_dir: str) -> DataFrame:
     months = A.monthly(sales(spark, sf_dir), F.col("l_shipdate"), F.col("net"))
-    return A.projection(months).select("month", F.round("net", 2).alias("net"))
+    return A.projection(months).withColumn("quarter_change_pct", F.round("quarter_change_pct", 6))
 
 
 def portfolio_quadrants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,8 +104,8 @@ def stock_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 def product_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which brand leads by net, by profit and has the lowest margin."""
     groups = A.group_profit(costed(spark, sf_dir), F.col("p_brand"), F.col("net"), F.col("cost"))
-    best = groups.agg(F.max_by("group", "net").alias("by_net"), F.max_by("group", "profit").alias("by_profit"), F.min_by("group", "margin_pct").alias("lowest_margin"))
-    return best
+    first = lambda value, sign: F.min_by("group", F.when(F.col(value).isNotNull(), F.struct(sign * F.col(value), "group")))  # noqa: E731  ties: the smaller name
+    return groups.agg(first("net", -1).alias("by_net"), first("profit", -1).alias("by_profit"), first("margin_pct", 1).alias("lowest_margin"))
 
 
 def customer_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +130,7 @@ QUERIES = {
     "customer_concentration": customer_concentration, "average_ticket": average_ticket,
 }
 
-_STEPS = " ".join(f"WHEN l_discount <= {b} THEN '({a:g}, {b:g}]'" for a, b in zip((0.0, *A.RATE_STEPS), A.RATE_STEPS))
+_STEPS = " ".join(f"WHEN l_discount <= {high} THEN '{name}'" for high, name in A.RATE_BUCKETS)
 ORACLES = {
     "monthly_evolution": f"WITH {MONTHLY_SQL} SELECT *, CASE WHEN prior_net <> 0 THEN (net - prior_net) / abs(prior_net) * 100 END AS change_pct FROM monthly",
     "monthly_profit": f"""
@@ -153,10 +153,12 @@ t AS (SELECT n_name FROM o GROUP BY 1 ORDER BY sum(amount) DESC, n_name LIMIT 8)
 SELECT month, CASE WHEN n_name IN (SELECT n_name FROM t) THEN n_name ELSE 'Otros' END AS "group", sum(amount)::DOUBLE AS net FROM o GROUP BY 1, 2""",
     "amount_histogram": """
 WITH s AS (SELECT count(*) AS n, min(o_totalprice) AS lo, max(o_totalprice) AS hi, count(DISTINCT o_totalprice) AS d FROM orders),
-l AS (SELECT lo, least(12, greatest(6, round(sqrt(n))::INT)) AS bins, (hi - lo) / least(12, greatest(6, round(sqrt(n))::INT)) AS width FROM s WHERE n >= 20 AND d >= 4),
-b AS (SELECT lo, width, least(floor((o_totalprice - lo) / width)::INT, bins - 1)::INT AS bin FROM orders, l)
-SELECT bin, lo + bin * width AS lower, lo + (bin + 1) * width AS upper, count(*) AS rows FROM b GROUP BY bin, lo, width""",
-    "discount_buckets": f"SELECT CASE WHEN l_discount IS NULL THEN 'sin dato' WHEN l_discount = 0 THEN '0' WHEN l_discount < 0 OR l_discount > 1 THEN 'fuera de rango' {_STEPS} END AS bucket, sum(net)::DOUBLE AS net, count(*) AS rows FROM ({SALES_SQL}) GROUP BY 1",
+l AS (SELECT lo, hi, least(12, greatest(6, round(sqrt(n))::INT)) AS bins, (hi - lo) / least(12, greatest(6, round(sqrt(n))::INT)) AS width FROM s WHERE n >= 20 AND d >= 4),
+e AS (SELECT i::INT AS bin, lo + i * width AS lower, CASE WHEN i = bins - 1 THEN hi ELSE lo + (i + 1) * width END AS upper, i = bins - 1 AS last FROM l, range(0, 12) t(i) WHERE i < bins)
+SELECT bin, lower, upper, count(o_totalprice) AS rows FROM e LEFT JOIN orders ON o_totalprice >= lower AND (o_totalprice < upper OR last AND o_totalprice <= upper) GROUP BY 1, 2, 3""",
+    "discount_buckets": f"""
+SELECT CASE WHEN l_discount IS NULL THEN 'Sin dato' WHEN l_discount = 0 THEN 'Sin descuento' WHEN l_discount < 0 OR l_discount > 1 THEN 'Fuera de rango' {_STEPS} END AS bucket,
+  sum(net)::DOUBLE AS net, count(*) AS rows FROM ({SALES_SQL}) GROUP BY 1""",
     "iqr_outliers": """
 WITH q AS (SELECT count(*) AS n, quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders)
 SELECT n, round(q1, 4) AS q1, round(q3, 4) AS q3, round(q3 + (q3 - q1) * 1.5, 4) AS upper_fence, (SELECT count(*) FROM orders WHERE o_totalprice > q3 + (q3 - q1) * 1.5) AS outliers FROM q""",
@@ -170,13 +172,16 @@ SELECT *, CASE WHEN previous <> 0 THEN (current - previous) / abs(previous) * 10
     "projection_3m": f"""
 WITH {MONTHLY_SQL},
 f AS (SELECT month, net, lag(net) OVER (ORDER BY month) AS before FROM monthly WHERE NOT partial),
-g AS (SELECT max(month) AS last, arg_max(net, month) AS net, avg(greatest(-0.5, least(0.5, (net - before) / before))) FILTER (before > 0) AS growth FROM f)
-SELECT strftime((last || '-01')::DATE + to_months(i::INT), '%Y-%m') AS month, round(greatest(0.0, net * pow(1 + growth, i)), 2) AS net FROM g, range(1, 4) t(i)""",
+g AS (SELECT max(month) AS last, arg_max(net, month) AS net, avg(greatest(-0.5, least(0.5, (net - before) / before))) FILTER (before > 0) AS growth FROM f HAVING count(*) >= 2 AND count(*) FILTER (before <= 0) = 0),
+q AS (SELECT sum(net) AS quarter FROM (SELECT net FROM f ORDER BY month DESC LIMIT 3)),
+e AS (SELECT g.*, quarter, datediff('month', (last || '-01')::DATE, ((SELECT max(month) FROM monthly) || '-01')::DATE) AS gap FROM g, q),
+p AS (SELECT strftime((last || '-01')::DATE + to_months((gap + i)::INT), '%Y-%m') AS month, round(greatest(0.0, net * pow(1 + growth, gap + i)), 2) AS net, growth, quarter FROM e, range(1, 4) t(i))
+SELECT month, net, round(growth * 100, 1) AS growth_pct, CASE WHEN quarter <> 0 THEN round((sum(net) OVER () - quarter) / abs(quarter) * 100, 6) END AS quarter_change_pct FROM p""",
     "portfolio_quadrants": f"""
 WITH {GROUP_SQL},
 s AS (SELECT "group", (paired_net - cost) / paired_net * 100 AS m, net / (SELECT sum(gross) FROM g) * 100 AS s FROM g WHERE paired_rows > 0 AND paired_net <> 0),
 t AS (SELECT median(m) AS mm, median(s) AS ms FROM s)
-SELECT "group", CASE WHEN m >= mm AND s >= ms THEN 'estrella' WHEN s >= ms THEN 'vaca' WHEN m >= mm THEN 'oportunidad' ELSE 'revisar' END AS quadrant FROM s, t""",
+SELECT "group", CASE WHEN m >= mm AND s >= ms THEN 'estrella' WHEN s >= ms THEN 'vaca_lechera' WHEN m >= mm THEN 'oportunidad' ELSE 'problema' END AS quadrant FROM s, t""",
     "break_even": f"""
 WITH t AS (SELECT sum(net) FILTER (cost IS NOT NULL)::DOUBLE AS paired_net, sum(cost)::DOUBLE AS cost FROM ({COSTED_SQL}))
 SELECT (paired_net - cost) / paired_net AS gross_margin, CASE WHEN paired_net > cost THEN {EXPENSES}::DOUBLE / ((paired_net - cost) / paired_net) END AS break_even_sales,
@@ -187,9 +192,10 @@ SELECT CASE o_orderkey % 6 WHEN 0 THEN 'USD' WHEN 1 THEN 'CLP' WHEN 2 THEN 'EUR'
 WITH s AS (SELECT l_partkey AS part, sum(l_quantity)::DOUBLE AS units FROM lineitem GROUP BY 1),
 r AS (SELECT p_partkey AS part, p_size * 100 AS stock, coalesce(units, 0)::DOUBLE AS units FROM part LEFT JOIN s ON p_partkey = part),
 c AS (SELECT *, CASE WHEN units > 0 THEN stock / (units / 2500) END AS cover_days FROM r)
-SELECT part, stock::BIGINT AS stock, units, cover_days, CASE WHEN cover_days IS NULL THEN 'sin_venta' WHEN cover_days < 7 THEN 'critico' WHEN cover_days < 15 THEN 'bajo' WHEN cover_days < 30 THEN 'atencion' ELSE 'suficiente' END AS state FROM c""",
+SELECT part, stock::BIGINT AS stock, units, cover_days, CASE WHEN cover_days IS NULL THEN 'sin_datos' WHEN cover_days < 7 THEN 'critico' WHEN cover_days < 15 THEN 'alto' WHEN cover_days < 30 THEN 'medio' ELSE 'sano' END AS state FROM c""",
     "product_leaders": f"""WITH {GROUP_SQL}
-SELECT arg_max("group", net) AS by_net, arg_max("group", paired_net - cost) FILTER (paired_rows > 0) AS by_profit, arg_min("group", (paired_net - cost) / paired_net * 100) FILTER (paired_rows > 0) AS lowest_margin FROM g""",
+SELECT (SELECT "group" FROM g ORDER BY net DESC, "group" LIMIT 1) AS by_net, (SELECT "group" FROM g WHERE paired_rows > 0 ORDER BY paired_net - cost DESC, "group" LIMIT 1) AS by_profit,
+  (SELECT "group" FROM g WHERE paired_rows > 0 AND paired_net <> 0 ORDER BY (paired_net - cost) / paired_net * 100, "group" LIMIT 1) AS lowest_margin""",
     "customer_concentration": """
 WITH c AS (SELECT o_custkey, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS a FROM orders GROUP BY 1)
 SELECT count(*) AS customers, max(a)::DOUBLE AS largest, max(a)::DOUBLE / sum(a)::DOUBLE * 100 AS concentration_pct FROM c""",
