@@ -163,26 +163,28 @@ def asof_join(facts: DataFrame, history: DataFrame, key: str, date: str, history
 
     Conflicting values of one key and date are dropped, equal ones count once; null values and dates never apply.
     Rows are windowed by key and period, and each period starts from the last value before it, so a key with very
-    many rows is spread over its periods.
+    many rows is spread over its periods. Rows without key or date are set aside, and get no value.
     """
     known = history.where(F.col(value).isNotNull() & F.col(history_date).isNotNull() & F.col(key).isNotNull())
     known = known.groupBy(F.col(key).alias("k"), F.col(history_date).alias("d")).agg(F.min(value).alias("v"), F.max(value).alias("v2")).where("v = v2")
     known = known.select("k", "d", F.date_trunc(grain, "d").alias("p"), F.struct(F.col("v"), F.col("d").alias("since")).alias("h"))
-    rows = facts.select(F.struct("*").alias("row"), F.col(key).alias("k"), F.col(date).alias("d")).withColumn("p", F.date_trunc(grain, "d"))
+    whole = facts.select(F.struct("*").alias("row"), F.col(key).alias("k"), F.col(date).alias("d")).withColumn("p", F.date_trunc(grain, "d"))
+    rows = whole.where("k IS NOT NULL AND d IS NOT NULL")
     absent = F.lit(None).cast(known.schema["h"].dataType)
     side = known.select(F.lit(None).cast(rows.schema["row"].dataType).alias("row"), "k", "d", "p", "h", F.lit(0).alias("side"))
     both = side.unionByName(rows.select("row", "k", "d", "p", absent.alias("h"), F.lit(1).alias("side")))
     in_period = Window.partitionBy("k", "p").orderBy("d", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = both.withColumn("h", F.last("h", ignorenulls=True).over(in_period)).where("side = 1")
 
-    periods = rows.select("k", "p").where("k IS NOT NULL AND p IS NOT NULL").distinct().withColumn("e", F.lit(None).cast(known.schema["h"].dataType))
+    periods = rows.select("k", "p").distinct().withColumn("e", F.lit(None).cast(known.schema["h"].dataType))
     ends = known.groupBy("k", "p").agg(F.max_by("h", "d").alias("e"))
     before = Window.partitionBy("k").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.unionByName(periods).groupBy("k", "p").agg(F.first("e", ignorenulls=True).alias("e"))
     carried = carried.withColumn("carried", F.last("e", ignorenulls=True).over(before)).select(F.col("k").alias("ck"), F.col("p").alias("cp"), "carried")
     out = both.join(carried, (F.col("k") == F.col("ck")) & (F.col("p") == F.col("cp")), "left")
-    found = F.coalesce("h", "carried")
-    return out.select("row.*", found["v"].alias(to), found["since"].alias(f"{to}_since"))
+    without = whole.where("k IS NULL OR d IS NULL").select("row", absent.alias("found"))
+    out = out.select("row", F.coalesce("h", "carried").alias("found")).unionByName(without)
+    return out.select("row.*", F.col("found")["v"].alias(to), F.col("found")["since"].alias(f"{to}_since"))
 
 
 def interval_join(facts: DataFrame, intervals: DataFrame, key: str, date: str, interval_key: str, since: str, until: str, values: list[str], grain: str = "month") -> DataFrame:
@@ -191,15 +193,15 @@ def interval_join(facts: DataFrame, intervals: DataFrame, key: str, date: str, i
     Intervals are cut into the periods they touch, so that key and period are an equality that Spark can hash, and
     only rows of the same key and period are compared. Overlapping intervals raise UnsafeJoin.
     """
-    ends = intervals.where(F.col(interval_key).isNotNull()).select(F.col(interval_key).alias("ik"), F.col(since).alias("a"), F.col(until).alias("b"), *values)
-    following = Window.partitionBy("ik").orderBy("a", "b")
-    if ends.withColumn("next", F.lead("a").over(following)).where("next <= b").limit(1).count():
+    ends = intervals.where(F.col(interval_key).isNotNull()).select(F.col(interval_key).alias("_ik"), F.col(since).alias("_a"), F.col(until).alias("_b"), *values)
+    following = Window.partitionBy("_ik").orderBy("_a", "_b")
+    if ends.withColumn("_next", F.lead("_a").over(following)).where("_next <= _b").limit(1).count():
         raise UnsafeJoin("intervals of one key overlap")
-    periods = F.sequence(F.date_trunc(grain, "a").cast("date"), F.date_trunc(grain, "b").cast("date"), F.expr(f"interval 1 {grain}"))
-    cut = ends.where("a <= b").withColumn("ip", F.explode(periods))
+    periods = F.sequence(F.date_trunc(grain, "_a").cast("date"), F.date_trunc(grain, "_b").cast("date"), F.expr(f"interval 1 {grain}"))
+    cut = ends.where("_a <= _b").withColumn("_ip", F.explode(periods))
     rows = facts.withColumn("_p", F.date_trunc(grain, date).cast("date"))
-    met = rows.join(cut, (F.col(key) == F.col("ik")) & (F.col("_p") == F.col("ip")) & F.col(date).between(F.col("a"), F.col("b")))
-    return met.drop("ik", "a", "b", "ip", "_p")
+    met = rows.join(cut, (F.col(key) == F.col("_ik")) & (F.col("_p") == F.col("_ip")) & F.col(date).between(F.col("_a"), F.col("_b")))
+    return met.drop("_ik", "_a", "_b", "_ip", "_p")
 
 
 def net_returns(sales: DataFrame, key: str, amount: str, quantity: str, returns: DataFrame, return_key: str, return_amount: str, return_quantity: str) -> DataFrame:

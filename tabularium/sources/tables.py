@@ -55,20 +55,30 @@ def unique_headers(names: list[object]) -> list[str]:
     return out
 
 
+# The share of filled cells that a header has, and the weights of its score.
+HEADER_FILLED, HEADER_UNIQUE, HEADER_WORD, HEADER_DATA = 0.6, 3, 2, 3
+DATA_CELL = re.compile(r"\s*[()$]?\s*-?(?:\d[\d.,]*|(?:\d+(?:\.\d*)?|\.\d+)[eE][+-]?\d+)\s*%?\s*\)?|\s*\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}(?:[T ].*)?")
+
+
 def header_row(rows: list[list[str]]) -> int:
-    """The likeliest header among the first ten rows: different texts, business words, no data."""
-    best, score = 0, float("-inf")
-    for i, row in enumerate(rows[:10]):
-        cells = [c for c in row if c and c.strip()]
-        if len(cells) < 2:
+    """The header among the first ten rows: mostly filled, different texts, business words, no data.
+
+    Rows with fewer than two texts, or less than 60 % of the cells filled, are titles and no headers. Two candidates
+    one below the other settle a header of two levels; the earlier row wins a tie. Without a candidate it is row 0.
+    """
+    width = max((len(r) for r in rows), default=0)
+    found: list[tuple[float, int]] = []
+    for i, row in enumerate(rows[:10] if width > 1 else []):
+        cells = [c.strip() for c in row if c and c.strip()]
+        if len(cells) < 2 or len(cells) < HEADER_FILLED * width:
             continue
-        unique = len({bare(c) for c in cells}) / len(cells)
-        words = sum(any(w in bare(c) for w in HEADER_WORDS) for c in cells) / len(cells)
-        data = sum(bool(re.fullmatch(r"[\s$€\d.,:/%()\-]+", c)) for c in cells) / len(cells)
-        now = 3 * unique + 2 * words - 3 * data + 0.5 * len(cells) / max(len(row), 1)
-        if now > score:
-            best, score = i, now
-    return best
+        unique = len({c.casefold() for c in cells}) / len(cells)
+        words = sum(any(re.search(rf"\b{w}", bare(c).replace("_", " ")) for w in HEADER_WORDS) for c in cells) / len(cells)
+        data = sum(bool(DATA_CELL.fullmatch(c)) for c in cells) / len(cells)
+        found.append((HEADER_UNIQUE * unique + HEADER_WORD * words - HEADER_DATA * data, i))
+        if len(found) >= 2 and found[-2][1] == i - 1:
+            break
+    return max(found, key=lambda x: (x[0], -x[1]))[1] if found else 0
 
 
 def read_csv(spark: SparkSession, path: str, separator: str | None = None, encoding: str = "UTF-8") -> DataFrame:

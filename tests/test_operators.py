@@ -73,7 +73,7 @@ def test_snapshots_totals_and_duplicates(spark):
 
 
 def test_labels(spark):
-    names = spark.createDataFrame([("Ñuñoa",), ("NUNOA",), ("nunoa",), ("nunoa",), ("Talca",), ("Talcca",), ("Talca",)], "t string")
+    names = spark.createDataFrame([("Ñuñoa",), ("NUNOA",), ("nunoa",), ("nunoa",), ("Talca",), ("Talcca",), ("Talca",), ("Talca",)], "t string")
     found = {r["key"]: r["canonical"] for r in L.canonical_labels(names, F.col("t")).collect()}
     assert found == {"nunoa": "Ñuñoa", "talca": "Talca", "talcca": "Talcca"}
     assert {r["key"]: r["canonical"] for r in L.canonical_labels(names, F.col("t"), "count").collect()}["nunoa"] == "nunoa"
@@ -112,3 +112,89 @@ def test_consolidation_keeps_rows_and_names(spark):
 def test_currency(spark):
     texts = spark.createDataFrame([("US$ 10", "CLP 5"), ("$ 3", None)], "a string, b string")
     assert A.mixed_currency(texts, "a", "b") and not A.mixed_currency(texts.where("a = '$ 3'"), "a")
+
+
+def test_misspellings_go_to_frequent_keys(spark):
+    said = ["Concepcion"] * 9 + ["Concepcoin"] * 3 + ["Conceptions"] * 5 + ["Gasto"] * 3 + ["Pasto"] * 1 + ["Gato"] + ["Gsato"] + ["1234"] * 5 + ["1235"] + ["ab"] * 4 + ["ac"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "r int, t string")
+    found = {(r["rare"], r["frequent"], r["distance"]) for r in L.similar_labels(df, F.col("t"), "r").collect()}
+    assert found == {("concepcoin", "concepcion", 2), ("gato", "gasto", 1)}
+    merged = L.merge_labels(df, "t", "r").groupBy("t").count().collect()
+    assert {(r["t"], r["count"]) for r in merged} == {("Concepcion", 12), ("Conceptions", 5), ("Gasto", 4), ("Pasto", 1), ("Gsato", 1), ("1234", 5), ("1235", 1), ("ab", 4), ("ac", 1)}
+
+
+def test_misspellings_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    words = []
+    for base in ("providencia", "vitacura", "talca", "temuco", "antofagasta", "lota"):
+        words += [base] * rng.randint(3, 9)
+        for _ in range(8):
+            w = list(base)
+            for _ in range(rng.randint(1, 3)):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "a"])
+            words.append("".join(w))
+    counts = {w: words.count(w) for w in words if len(w) >= 4}
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    expected = {}
+    for a, n in counts.items():
+        near = [(-m, b) for b, m in counts.items() if b != a and b[0] == a[0] and m >= 3 and n <= max(2, m // 2) and edits(a, b) <= (1 if len(a) <= 6 else 2)]
+        if near:
+            expected[a] = min(near)[1]
+    df = spark.createDataFrame([(w,) for w in words], "t string")
+    assert {r["rare"]: r["frequent"] for r in L.similar_labels(df, F.col("t")).collect()} == expected and expected
+
+
+def test_projection_starts_after_the_partial_month(spark):
+    full = [("2025-01", 100.0, False), ("2025-02", 110.0, False), ("2025-03", 121.0, False)]
+    months = lambda rows: spark.createDataFrame(rows, "month string, net double, partial boolean")
+    out = rows(A.projection(months([*full, ("2025-04", 5.0, True)])), "month")
+    assert [(r[0], r[1]) for r in out] == [("2025-05", 146.41), ("2025-06", 161.05), ("2025-07", 177.16)]
+    assert out[0][2] == 10.0 and abs(out[0][3] - (146.41 + 161.05 + 177.16 - 331) / 331 * 100) < 1e-9
+    assert [r[0] for r in rows(A.projection(months(full)), "month")] == ["2025-04", "2025-05", "2025-06"]
+    assert rows(A.projection(months(full[:1]))) == [] == rows(A.projection(months([("2025-01", 0.0, False), *full[1:]])))
+
+
+def test_histogram_has_empty_bins_and_ends_at_the_maximum(spark):
+    df = spark.createDataFrame([(float(x),) for x in [0] * 10 + [1] * 8 + [2, 100]], "x double")
+    out = rows(A.histogram(df, F.col("x")), "bin")
+    assert len(out) == 6 and [r[3] for r in out] == [19, 0, 0, 0, 0, 1] and out[0][1] == 0 and out[-1][2] == 100
+    assert rows(A.histogram(df.where("x < 2"), F.col("x"))) == []
+
+
+def test_rate_buckets_have_the_surveyed_ends(spark):
+    df = spark.createDataFrame([(x, 1.0) for x in (None, 0.0, 0.05, 0.06, 0.3, 0.5, 0.51, 1.0, 1.01, -0.1)], "r double, a double")
+    assert {r["bucket"]: r["rows"] for r in A.rate_buckets(df, F.col("r"), F.col("a")).collect()} == {
+        "Sin dato": 1, "Sin descuento": 1, "1–5%": 1, "6–10%": 1, "21–50%": 2, "51–100%": 2, "Fuera de rango": 2,
+    }
+
+
+@pytest.mark.parametrize("most", [5, 1000])
+def test_exact_quantiles_in_bounded_memory(spark, most):
+    values = [float((i * 7919) % 1009) for i in range(900)] + [500.0] * 700
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "x double")
+    import numpy as np
+
+    n, found = A.exact_quantiles(df, F.col("x"), [0.0, 0.25, 0.5, 0.75, 0.99, 1.0], most)
+    assert n == len(values) and found == pytest.approx(np.quantile(values, [0.0, 0.25, 0.5, 0.75, 0.99, 1.0]).tolist())
+    assert A.exact_quantiles(df.where("x < 0"), F.col("x"), [0.5]) == (0, None)
+
+
+def test_overtime_counts_half_as_much_again(spark):
+    worked = spark.createDataFrame([("t", "2025-03-01", 2.0, "Normal", True), ("t", "2025-03-02", 2.0, "Hora EXTRA", True), ("t", "2025-03-03", 2.0, None, False), ("t", "2026-03-03", 2.0, None, True)], "t string, d string, h double, k string, b boolean")
+    worked = worked.withColumn("d", F.to_date("d"))
+    tariffs = spark.sql("SELECT 't' AS p, DATE '2025-01-01' AS a, DATE '2025-12-31' AS z, 10.0D AS cost, 25.0D AS price")
+    out = rows(S.labour_cost(worked, "t", "d", "h", tariffs, "p", "a", "z", "cost", "price", "k", "b").select("d", "labour_cost", "labour_value"), "d")
+    assert [r[1:] for r in out] == [(20.0, 50.0), (30.0, 75.0), (20.0, 0.0)]
+    said = spark.createDataFrame([("8 hrs", "X"), ("1", "1"), ("2", "V"), ("3", "true"), ("4", "yes"), ("5", None)], "h string, b string")
+    assert [r["b"] for r in S.clean_hours(said, "h", "b").collect()] == [True, True, True, True, False, False]
