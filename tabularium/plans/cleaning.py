@@ -41,9 +41,12 @@ def parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def column_conventions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conventions voted by a column of latin amounts, and the order of a column of dates."""
+    """Conventions voted by a column of mostly latin amounts, and the order of a column of dates of both orders."""
     orders = table(spark, sf_dir, "orders")
-    texts = orders.select(F.translate(F.format_number("o_totalprice", 2), ",.", ".,").alias("amount"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("day"))
+    english = F.format_number("o_totalprice", 2)
+    amount = F.when(F.col("o_orderkey") % 9 == 1, F.concat((F.col("o_orderkey") % 9 + 1).cast("string"), F.lit(",250"))).when(F.col("o_orderkey") % 9 == 2, "n/a").otherwise(F.translate(english, ",.", ".,"))
+    day = F.when(F.col("o_orderkey") % 5 == 0, F.date_format("o_orderdate", "MM/dd/yyyy")).when(F.col("o_orderkey") % 5 == 1, "pendiente").otherwise(F.date_format("o_orderdate", "dd/MM/yyyy"))
+    texts = orders.select(amount.alias("amount"), day.alias("day"))
     numbers = conventions(texts, "amount").withColumnRenamed("ambiguous", "ambiguous_numbers")
     days = date_profile(texts, "day").withColumnRenamed("ambiguous", "ambiguous_dates")
     return numbers.join(F.broadcast(days))  # one row each
@@ -97,21 +100,27 @@ def identity_inconsistencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def structural_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values that purchases alone lack."""
-    events = table(spark, sf_dir, "events").select("event_type", F.when(F.col("event_type") != "purchase", F.col("value")).cast("string").alias("value"), F.get_json_object("props", "$.k").alias("k"))
+    """Values that purchases lack but for one in 61, and errors for one in 31; filled elsewhere but for one in 40."""
+    key = F.col("event_id")
+    lacks = F.when(F.col("event_type") == "purchase", key % 61 != 0).when(F.col("event_type") == "error", key % 31 != 0).otherwise(key % 40 == 0)
+    events = table(spark, sf_dir, "events").select("event_type", F.when(~lacks, F.col("value")).cast("string").alias("value"), F.when(key % 40 != 0, "k").alias("k"))
     return Q.structural_nulls(events, "event_type", ["value", "k"])
 
 
 def quality_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as text, some amounts and dates spoiled."""
+    """Orders as text: amounts and dates spoiled, statuses in small letters, some rows twice, two customers a name."""
     o = table(spark, sf_dir, "orders")
-    spoiled = F.col("o_orderkey") % 10 == 3
+    key = F.col("o_orderkey")
     rows = o.select(
-        F.col("o_custkey").cast("string").alias("customer"), F.when(spoiled, "sin dato").otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string")).alias("amount"),
-        F.when(F.col("o_orderkey") % 7 == 0, "").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day"), F.col("o_orderstatus").alias("status"),
-    )
-    valid = {"amount": parse_number(F.col("amount"), "decimal").isNotNull(), "day": parse_date(F.col("day")).isNotNull()}
-    return Q.quality_dimensions(rows, rows.columns, valid, F.col("status") != "P", ["customer", "day"])
+        F.col("o_custkey").cast("string").alias("customer"), F.concat(F.lit("Cliente "), F.floor(F.col("o_custkey") / 2).cast("string")).alias("name"),
+        F.when(key % 10 == 3, "por definir").when(key % 100 == 14, "99999999.00").otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string")).alias("amount"),
+        F.when(key % 7 == 0, "").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day"), F.when(key % 9 == 4, F.lower("o_orderstatus")).otherwise(F.col("o_orderstatus")).alias("status"),
+        F.explode(F.sequence(F.lit(1), F.when(key % 20 == 1, 2).otherwise(1))).alias("copy"),
+    ).drop("copy")
+    typed = {"amount": parse_number(F.col("amount"), "decimal"), "day": parse_date(F.col("day"))}
+    changed = (F.col("status") != F.upper("status")).cast("int")
+    abilities = {"fecha": ("day",), "monto": ("amount",), "costo": (), "producto": (), "canal": ("status",), "cliente": ("name", "customer")}
+    return Q.quality_dimensions(rows, rows.columns, typed, ("amount",), changed, ("name", "customer"), {k: v for k, v in abilities.items() if v})
 
 
 def formula_control(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,13 +142,18 @@ def audit_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unpivot_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """1996 by priority with a column per month, and back to rows."""
-    orders = table(spark, sf_dir, "orders").where("year(o_orderdate) = 1996").select("o_orderpriority", F.date_format("o_orderdate", "yyyy-MM").alias("month"), exact(F.col("o_totalprice"), 2).alias("amount"))
-    months = [f"1996-{m:02d}" for m in range(1, 13)]
+    """All years by priority with a column per month of the table's own range, and back to rows."""
+    orders = table(spark, sf_dir, "orders").select("o_orderpriority", F.date_format("o_orderdate", "yyyy-MM").alias("month"), exact(F.col("o_totalprice"), 2).alias("amount"))
+    first, last = orders.agg(F.min("month"), F.max("month")).first()
+    months = [f"{m // 12}-{m % 12 + 1:02d}" for m in range(_month(first), _month(last) + 1)]
     wide = R.pivot_months(orders, ["o_orderpriority"], "month", "amount", months)
     return R.unpivot_months(wide, ["o_orderpriority"], months).withColumn("amount", F.col("amount").cast("double"))
 
 
+def _month(name: str) -> int:
+    return int(name[:4]) * 12 + int(name[5:]) - 1
+
+
 def fill_down(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events under the last user that signed up before them."""
     events = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "signup", F.col("user_id")).alias("block"))
@@ -154,10 +168,13 @@ def join_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tax_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tax ids made of a number and its check digit, written with dots, read back and validated."""
-    body = (F.col("c_custkey") + 10_000_000).cast("string")
-    written = F.concat(F.translate(F.format_number(body.cast("long"), 0), ",", "."), F.lit("-"), F.lower(T.rut_digit(body)))
-    return table(spark, sf_dir, "customer").select("c_custkey", T.rut(written).isNotNull().alias("canonical"), T.rut_valid(written).alias("valid"), (F.split_part(T.rut(written), F.lit("-"), F.lit(1)) == body).alias("same"))
+    """Tax ids of a number and a check digit, written with dots: each seventh has a wrong digit, each eleventh is no id."""
+    number = F.col("c_custkey") + 10_000_000
+    digit = T.rut_digit(number.cast("string"))
+    wrong = F.when(digit == "K", "0").when(digit == "9", "K").otherwise((digit.try_cast("int") + 1).cast("string"))
+    said = F.concat(F.translate(F.format_number(number, 0), ",", "."), F.lit("-"), F.lower(F.when(F.col("c_custkey") % 7 == 0, wrong).otherwise(digit)))
+    written = F.when(F.col("c_custkey") % 11 == 0, F.concat(F.lit("RUT "), said)).otherwise(said)
+    return table(spark, sf_dir, "customer").select("c_custkey", T.rut(written).alias("canonical"), T.rut_valid(written).alias("valid"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -170,14 +187,19 @@ ORACLES = {
     "parse_numbers": "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_orderkey % 4 = 2 THEN -l_extendedprice ELSE l_extendedprice END AS amount FROM lineitem",
     "parse_dates": "SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate::DATE AS day FROM lineitem",
     "column_conventions": """
-SELECT 'miles' AS dot3, 'decimal' AS comma3, 0::BIGINT AS ambiguous_numbers, count(*) FILTER (day(o_orderdate) > 12) AS dmy, 0::BIGINT AS mdy, count(*) FILTER (day(o_orderdate) <= 12) AS ambiguous_dates, true AS dayfirst, false AS mixed FROM orders""",
+WITH d AS (SELECT o_orderkey % 9 AS k, o_orderkey % 5 AS f, day(o_orderdate) AS d, month(o_orderdate) AS m FROM orders),
+c AS (SELECT count(*) FILTER (k = 1) AS ambiguous_numbers, count(*) FILTER (f > 1 AND d > 12) AS dmy, count(*) FILTER (f = 0 AND d > 12) AS mdy, count(*) FILTER (f <> 1 AND d <= 12) AS ambiguous_dates FROM d)
+SELECT 'miles' AS dot3, 'decimal' AS comma3, ambiguous_numbers, dmy, mdy, ambiguous_dates, dmy >= mdy AS dayfirst, dmy > 0 AND mdy > 0 AS mixed FROM c""",
     "plain_thousands": "SELECT p_partkey, (p_size * 1000)::DOUBLE AS amount FROM part",
     "canonical_labels": """
 SELECT lower(p_type) AS key, upper(left(p_type, 1)) || lower(substr(p_type, 2)) AS canonical, count(DISTINCT p_partkey % 3) AS variants, count(*) AS rows FROM part GROUP BY p_type""",
     "standardized_labels": "SELECT p_partkey, upper(left(p_type, 1)) || lower(substr(p_type, 2)) AS kind FROM part",
     "fuzzy_suggestions": f"""
-WITH n AS (SELECT CASE WHEN p_partkey % 100 = 7 THEN left(p_name, length(p_name) - 1) ELSE p_name END AS x FROM part), k AS (SELECT {_KEY} AS key, count(*) AS rows FROM n GROUP BY 1 HAVING length(key) >= 4)
-SELECT a.key AS rare, b.key AS frequent, a.rows AS rare_rows, b.rows AS frequent_rows, levenshtein(a.key, b.key)::INT AS distance FROM k a JOIN k b ON a.key <> b.key AND left(a.key, 1) = left(b.key, 1) AND b.rows >= 2 * a.rows WHERE levenshtein(a.key, b.key) <= 1""",
+WITH n AS (SELECT CASE WHEN p_partkey % 100 = 7 THEN left(p_name, length(p_name) - 1) ELSE p_name END AS x FROM part), k AS (SELECT {_KEY} AS key, count(*) AS rows FROM n GROUP BY 1 HAVING length(key) >= 4),
+m AS (SELECT a.key AS rare, b.key AS frequent, a.rows AS rare_rows, b.rows AS frequent_rows, levenshtein(a.key, b.key)::INT AS distance FROM k a JOIN k b
+  ON a.key <> b.key AND left(a.key, 1) = left(b.key, 1) AND b.rows >= 3 AND a.rows <= greatest(2, b.rows // 2) AND abs(length(a.key) - length(b.key)) <= 2
+  WHERE levenshtein(a.key, b.key) <= CASE WHEN length(a.key) <= 6 THEN 1 ELSE 2 END)
+SELECT rare, frequent, rare_rows, frequent_rows, distance FROM m QUALIFY row_number() OVER (PARTITION BY rare ORDER BY frequent_rows DESC, frequent) = 1""",
     "exact_duplicates": """
 WITH g AS (SELECT count(*) AS n FROM lineitem GROUP BY l_suppkey, l_quantity, l_discount, l_tax)
 SELECT sum(n)::BIGINT AS rows, count(*) FILTER (n > 1) AS groups, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS rows_in_groups, coalesce(sum(n - 1) FILTER (n > 1), 0)::BIGINT AS extra_rows, max(n) FILTER (n > 1) AS largest FROM g""",
@@ -193,12 +215,20 @@ a AS (SELECT 'name_with_ids' AS kind, name AS value, id AS other FROM p UNION AL
 r AS (SELECT *, row_number() OVER (PARTITION BY kind, value ORDER BY other) AS r FROM a)
 SELECT kind, value, count(*) AS others, string_agg(other, ', ' ORDER BY other) FILTER (r <= 5) AS examples FROM r GROUP BY 1, 2 HAVING count(*) > 1""",
     "structural_nulls": """
-WITH t AS (SELECT count(*) AS rows, count(*) FILTER (event_type = 'purchase') AS p FROM events)
-SELECT 'purchase' AS category, 'value' AS "column", p AS rows, 100::DOUBLE AS empty_pct, 100::DOUBLE AS filled_elsewhere_pct FROM t WHERE p >= 20""",
+WITH e AS (SELECT event_type AS t, CASE WHEN event_type = 'purchase' THEN event_id % 61 <> 0 WHEN event_type = 'error' THEN event_id % 31 <> 0 ELSE event_id % 40 = 0 END AS v, event_id % 40 = 0 AS k FROM events),
+u AS (SELECT t, 'value' AS c, v AS gap FROM e UNION ALL SELECT t, 'k', k FROM e), g AS (SELECT t, c, count(*) AS n, count(*) FILTER (gap) AS x FROM u GROUP BY 1, 2),
+s AS (SELECT t, c, n, x::DOUBLE / n AS own, 1 - (sum(x) OVER (PARTITION BY c) - x)::DOUBLE / (sum(n) OVER (PARTITION BY c) - n) AS elsewhere FROM g)
+SELECT t AS category, c AS "column", n AS rows, own * 100 AS empty_pct, elsewhere * 100 AS filled_elsewhere_pct FROM s WHERE n >= 20 AND own >= 0.98 AND elsewhere >= 0.95""",
     "quality_dimensions": """
-WITH k AS (SELECT count(*) AS n, count(*) FILTER (o_orderkey % 7 = 0) AS e, count(*) FILTER (o_orderkey % 10 = 3) AS b, count(*) FILTER (o_orderstatus <> 'P') AS c,
-  (SELECT count(*) FROM (SELECT DISTINCT o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderdate::DATE END FROM orders)) AS u FROM orders)
-SELECT n AS rows, (n * 4 - e)::DOUBLE / (n * 4) * 100 AS completeness, (2 * n - e - b)::DOUBLE / (2 * n - e) * 100 AS validity, c::DOUBLE / n * 100 AS consistency, u::DOUBLE / n * 100 AS uniqueness FROM k""",
+WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, CASE WHEN o_orderkey % 10 = 3 THEN NULL WHEN o_orderkey % 100 = 14 THEN 99999999.0::DOUBLE ELSE CAST(o_totalprice AS DECIMAL(18,2))::DOUBLE END AS a,
+  o_orderkey % 7 = 0 AS gap, o_orderdate::DATE AS d, o_orderstatus AS s, o_orderkey % 9 = 4 AS small FROM orders),
+r AS (SELECT * FROM o UNION ALL SELECT * FROM o WHERE k % 20 = 1),
+q AS (SELECT quantile_cont(a, 0.25) AS l, quantile_cont(a, 0.75) AS h FROM r),
+p AS (SELECT count(*) AS n, count(DISTINCT (c, coalesce(a, -1), CASE WHEN gap THEN NULL ELSE d END, gap, s, small)) AS u, count(*) FILTER (gap) AS e, count(*) FILTER (a IS NULL) AS w,
+  count(*) FILTER (a < l - 3 * (h - l) OR a > h + 3 * (h - l)) AS x, count(*) FILTER (small) AS t FROM r, q),
+i AS (SELECT count(*) AS v FROM (SELECT c // 2 FROM o GROUP BY 1 HAVING count(DISTINCT c) > 1))
+SELECT n::BIGINT AS rows, round((1 - e / (n * 5)) * 100, 1) AS completitud, round((1 - (w + x) / (n * 5)) * 100, 1) AS validez, round((1 - t / (n * 5)) * 100, 1) AS consistencia,
+  round((1 - (n - u) * 5 / (n * 5)) * 100, 1) AS unicidad, round((1 - v / n) * 100, 1) AS integridad, round(((n - e) / n + (n - w) / n + 1 + 1) / 4 * 100, 1) AS cobertura_analitica FROM p, i""",
     "formula_control": """
 WITH r AS (SELECT abs(l_extendedprice - l_quantity * p_retailprice) > greatest(1.0, abs(l_quantity * p_retailprice) * 0.5) AS wrong FROM lineitem JOIN part ON l_partkey = p_partkey)
 SELECT 'amount_is_quantity_by_price' AS control, count(*) AS compared, count(*) FILTER (wrong) AS mismatches, (count(*) - count(*) FILTER (wrong))::DOUBLE / count(*) * 100 AS agreement_pct FROM r""",
@@ -209,8 +239,13 @@ SELECT count(*) AS rows, count(*) FILTER (l_linestatus = 'F') AS compared, count
 SELECT o_orderkey, NULL::VARCHAR AS "column", NULL::VARCHAR AS before, NULL::VARCHAR AS after, 'row_removed' AS change FROM orders WHERE o_orderkey % 50 = 0
 UNION ALL SELECT o_orderkey, 'o_orderstatus', 'P', NULL, 'emptied' FROM orders WHERE o_orderkey % 50 <> 0 AND o_orderstatus = 'P'
 UNION ALL SELECT o_orderkey, 'o_orderpriority', '1-URGENT', 'URGENT', 'changed' FROM orders WHERE o_orderkey % 50 <> 0 AND o_orderpriority = '1-URGENT'""",
-    "unpivot_months": "SELECT o_orderpriority, strftime(o_orderdate, '%Y-%m') AS month, sum(CAST(o_totalprice AS DECIMAL(18,2)))::DOUBLE AS amount FROM orders WHERE year(o_orderdate) = 1996 GROUP BY 1, 2",
+    "unpivot_months": "SELECT o_orderpriority, strftime(o_orderdate, '%Y-%m') AS month, sum(CAST(o_totalprice AS DECIMAL(18,2)))::DOUBLE AS amount FROM orders GROUP BY 1, 2",
     "fill_down": "SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN user_id END IGNORE NULLS) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS block FROM events",
     "join_keys": "SELECT p_partkey, 'ven-' || p_size AS code, '2025-' || lpad((p_partkey % 12 + 1)::VARCHAR, 2, '0') AS month FROM part",
-    "tax_ids": "SELECT c_custkey, true AS canonical, true AS valid, true AS same FROM customer",
+    "tax_ids": """
+WITH d AS (SELECT c_custkey, c_custkey + 10000000 AS b FROM customer),
+w AS (SELECT c_custkey, b, 11 - list_sum([substr(b::VARCHAR, (9 - i)::INT, 1)::INT * ((i - 1) % 6 + 2) for i in range(1, 9)]) % 11 AS r FROM d),
+k AS (SELECT c_custkey, b, CASE r WHEN 11 THEN '0' WHEN 10 THEN 'K' ELSE r::INT::VARCHAR END AS g FROM w),
+x AS (SELECT c_custkey, b, CASE WHEN c_custkey % 7 <> 0 THEN g WHEN g = 'K' THEN '0' WHEN g = '9' THEN 'K' ELSE (g::INT + 1)::VARCHAR END AS shown FROM k)
+SELECT c_custkey, CASE WHEN c_custkey % 11 <> 0 THEN b || '-' || shown END AS canonical, c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 AS valid FROM x""",
 }
