@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tabularium.plans import cleaning, comparison, relations, reporting, sales
+from tabularium.plans import cleaning, comparison, related, relations, reporting, requests, sales
 from tabularium.streaming import events
 
-MODULES = (sales, relations, cleaning, comparison, reporting, events)
+MODULES = (sales, relations, related, cleaning, requests, comparison, reporting, events)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

@@ -76,17 +76,18 @@ def goals_vs_actual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def append_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two years of orders as sheets, the second without a column, appended and counted by origin."""
-    orders = table(spark, sf_dir, "orders")
-    sheets = {"1996": orders.where("year(o_orderdate) = 1996"), "1997": orders.where("year(o_orderdate) = 1997").drop("o_orderpriority")}
+    """A sheet per year of orders, the odd years without a column, appended and counted by origin."""
+    orders = table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate"))
+    first, last = orders.agg(F.min("year"), F.max("year")).first()
+    sheets = {str(y): orders.where(F.col("year") == y).drop("year", *["o_orderpriority"] * (y % 2)) for y in range(first, last + 1)}
     whole = R.append(sheets)
     return whole.groupBy("origin").agg(F.count("*").alias("rows"), F.count("o_orderpriority").alias("priorities"), F.sum(exact(F.col("o_totalprice"), 2)).cast("double").alias("amount"))
 
 
 def resolve_unique_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One priority per customer: the only one, or the only one among urgent orders of a nation's few."""
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
-    return J.resolve_unique(orders, "o_custkey", ["o_orderpriority"], F.col("o_orderstatus") == "F")
+    """One supplier per part and month of all lines: the only one, or the only one among returned lines."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("part_month", F.concat_ws("/", F.col("l_partkey").cast("string"), F.date_format("l_shipdate", "yyyy-MM")))
+    return J.resolve_unique(lines, "part_month", ["l_suppkey"], F.col("l_returnflag") == "R")
 
 
 def precedence_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,12 +163,12 @@ WITH o AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority AS pr
 g AS (SELECT DISTINCT month, priority FROM o), s AS (SELECT month, priority, sum(a) AS a FROM o WHERE priority <> '5-LOW' GROUP BY 1, 2)
 SELECT g.month, g.priority, 10000000::DOUBLE AS goal, coalesce(a, 0)::DOUBLE AS actual, coalesce(a, 0) >= 10000000 AS met FROM g LEFT JOIN s ON g.month = s.month AND g.priority = s.priority""",
     "append_sheets": """
-SELECT year(o_orderdate)::VARCHAR AS origin, count(*) AS rows, count(CASE WHEN year(o_orderdate) = 1996 THEN o_orderpriority END) AS priorities, sum(CAST(o_totalprice AS DECIMAL(18,2)))::DOUBLE AS amount
-FROM orders WHERE year(o_orderdate) IN (1996, 1997) GROUP BY year(o_orderdate)""",
+SELECT year(o_orderdate)::VARCHAR AS origin, count(*) AS rows, count(CASE WHEN year(o_orderdate) % 2 = 0 THEN o_orderpriority END) AS priorities, sum(CAST(o_totalprice AS DECIMAL(18,2)))::DOUBLE AS amount
+FROM orders GROUP BY year(o_orderdate)""",
     "resolve_unique_candidate": """
-WITH k AS (SELECT o_custkey, count(DISTINCT o_orderpriority) AS n, count(DISTINCT CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END) AS p, min(o_orderpriority) AS a, min(CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END) AS b
-  FROM orders WHERE o_orderkey % 10 = 0 GROUP BY 1)
-SELECT o_custkey, CASE WHEN n = 1 THEN 'unique' WHEN p = 1 THEN 'preferred' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN a WHEN p = 1 THEN b END AS o_orderpriority FROM k""",
+WITH k AS (SELECT l_partkey || '/' || strftime(l_shipdate, '%Y-%m') AS part_month, count(DISTINCT l_suppkey) AS n, count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_suppkey END) AS p,
+  min(l_suppkey) AS a, min(CASE WHEN l_returnflag = 'R' THEN l_suppkey END) AS b FROM lineitem GROUP BY 1)
+SELECT part_month, CASE WHEN n = 1 THEN 'unique' WHEN p = 1 THEN 'preferred' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN a WHEN p = 1 THEN b END AS l_suppkey FROM k""",
     "precedence_coalesce": """
 SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'N' THEN l_extendedprice / l_quantity ELSE p_retailprice END AS price,
   CASE WHEN l_returnflag = 'N' THEN 'line' WHEN p_retailprice IS NOT NULL THEN 'reference' END AS source FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size <= 40) ON l_partkey = p_partkey""",
