@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabularium.operators import aggregates as A
-from tabularium.operators import business as B
 from tabularium.operators import consolidate as C
 from tabularium.operators import joins as J
 from tabularium.operators import labels as L
@@ -80,14 +79,6 @@ def test_labels(spark):
     assert rows(L.similar_labels(names, F.col("t")).select("rare", "frequent", "distance")) == [("talcca", "talca", 1)]
 
 
-def test_certification_and_indicators(spark):
-    one = spark.range(1)
-    state = lambda *a: one.select(*B.certification(*map(F.lit, a))).first()
-    assert tuple(state(100.0, 0, 0, False)) == ("certified", 100.0) and tuple(state(90.0, 1, 1, False)) == ("partial", 45.0) and tuple(state(100.0, 0, 0, True)) == ("blocked", 0.0)
-    made = B.indicators(one, [B.indicator("a", "x", F.lit(110.0), "CLP", F.lit(100.0)), B.indicator("b", "x", F.lit(5.0), "%", F.lit(3.0), points=True, coverage=F.lit(50.0)), B.indicator("c", "x", F.lit(1.0), "CLP", blocked=F.lit(True))])
-    assert [(r["id"], r["value"], r["change"], r["status"]) for r in made.collect()] == [("a", 110.0, 10.0, "available"), ("b", 5.0, 2.0, "partial"), ("c", None, None, "blocked")]
-
-
 def test_services(spark):
     lines = spark.createDataFrame([(1, "OT-1", "a"), (2, None, "b"), (3, "Subtotal", None), (4, "OT-22", "c"), (5, None, None)], "r int, ot string, id string")
     assert rows(S.clean_lines(lines, "ot", "id", "r").select("r", "ot"), "r") == [(1, "OT-00001"), (2, "OT-00001"), (4, "OT-00022")]
