@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from tabularium.operators import catalogue as K
 from tabularium.operators import dashboards as D
-from tabularium.plans.star import NET, exact, sales, table
+from tabularium.plans.star import CENTS, cents, exact, sales, table
 
 CUTS = ("2001-06-30", "2001-12-31")
 
 
 def _lines(spark: SparkSession, sf_dir: str, document: str) -> DataFrame:
     rows = sales(spark, sf_dir)
-    return rows.select(F.col("l_orderkey").alias(document), F.col("l_shipdate").cast("date").alias("Fecha"), F.col("l_partkey").cast("string").alias("ID Producto"), F.col("l_quantity").cast("long").alias("Cantidad"), F.col("net").alias("Monto Neto"))
+    return rows.select(F.col("l_orderkey").alias(document), F.col("l_shipdate").cast("date").alias("Fecha"), F.col("l_partkey").cast("string").alias("ID Producto"), F.col("l_quantity").cast("long").alias("Cantidad"), cents(F.col("net")).alias("Monto Neto"))
 
 
 def _products(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +94,7 @@ QUERIES = {f.__name__: f for f in (
     relation_catalogue, relation_products_sales, relation_sales_costs, relation_sales_inventory, relation_dimensional, relation_purchases_costs, relation_expenses_branches,
 )}
 
-_V = f"v AS (SELECT l_partkey AS k, l_quantity::BIGINT AS q, {NET} AS n, l_shipdate::DATE AS d FROM lineitem)"
+_V = f"v AS (SELECT l_partkey AS k, l_quantity::BIGINT AS q, {CENTS} AS n, l_shipdate::DATE AS d FROM lineitem)"
 _BY_PRODUCT = f"{_V}, p AS (SELECT k, p_name AS label, sum(n) AS a, sum(q) AS u FROM v JOIN part ON k = p_partkey GROUP BY 1, 2), l AS (SELECT label, sum(a)::DOUBLE AS a FROM p GROUP BY 1)"
 _TOP = "SELECT 'ranking' AS section, label, value FROM (SELECT label, round(a, 2) AS value FROM l ORDER BY a DESC, label LIMIT 10)"
 _SHARE = "SELECT sum(a) AS t FROM (SELECT a FROM l ORDER BY a DESC, label LIMIT 10)"

@@ -27,7 +27,13 @@ def costed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("cost", F.when(F.col("p_size") <= 45, exact(F.col("l_quantity") * F.col("p_retailprice"))))
 
 
+def cents(value: Column) -> Column:
+    """Amounts of a business sheet: two places, so that rounded sums have no ties."""
+    return value.cast("decimal(18,2)")
+
+
 NET = "CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))"
+CENTS = f"CAST({NET} AS DECIMAL(18,2))"
 SALES_SQL = f"SELECT *, {NET} AS net FROM lineitem"
 COSTED_SQL = f"""SELECT l.*, p_brand, p_type, p_size, p_retailprice, {NET} AS net,
   CASE WHEN p_size <= 45 THEN CAST(l_quantity * p_retailprice AS DECIMAL(18,4)) END AS cost
