@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabularium.functions.roles import spaced
+from tabularium.functions.text import code, norm_key
 from tabularium.operators.labels import codebook, derive, recode
+from tabularium.operators.reshape import fill_down
 
 
 @dataclass(frozen=True)
@@ -123,3 +125,90 @@ def cohort_ids(frame: DataFrame, ids: str, cohort: str, to: str = "cohort_id") -
     if bad.limit(1).count():
         raise ValueError("ids of a cohort must be there and be unique")
     return out
+
+
+# ---- contracts of cohorts
+
+
+def target_columns(template: list[str], required: tuple[str, ...] = ()) -> list[str]:
+    """A template's columns, trimmed; empty or repeated names, or a missing required one, are refused."""
+    columns = [str(c).strip() for c in template]
+    if not columns or "" in columns or len(columns) != len(set(columns)):
+        raise ValueError("the template has empty or repeated columns")
+    if missing := sorted(set(required) - set(columns)):
+        raise ValueError(f"the template lacks {', '.join(missing)}")
+    return columns
+
+
+def shaped(df: DataFrame, columns: list[str], numbers: set[str]) -> DataFrame:
+    """df in the template's columns and order: numbers as doubles (null where they are none), others as text; absent ones null."""
+    have = set(df.columns)
+    cell = lambda c: F.col(f"`{c}`") if c in have else F.lit(None).cast("string")
+    return df.select(*[(cell(c).cast("string").try_cast("double") if c in numbers else cell(c).cast("string")).alias(c) for c in columns])
+
+
+def contract_issues(annual: DataFrame, expected_rows: int, columns: list[str], key: str, cohort_column: str, cohort: int) -> DataFrame:
+    """(code, rows) of what a year's result breaks: its rows, its columns, repeated keys, other cohorts."""
+    number = F.col(cohort_column).cast("string").try_cast("double")
+    by_key = annual.groupBy(F.trim(F.col(key).cast("string")).alias("k")).agg(F.count("*").alias("n"), F.count(F.when(number == cohort, 1)).alias("good"))
+    s = by_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated"), F.coalesce(F.sum(F.col("n") - F.col("good")), F.lit(0)).alias("other"))
+    found = [
+        ("row_count_changed", F.abs(F.col("rows") - expected_rows)), ("target_schema_mismatch", F.lit(int(annual.columns != list(columns)))), ("duplicate_key", F.col("repeated")), ("invalid_cohort", F.col("other")),
+    ]
+    made = F.array(*[F.struct(F.lit(code).alias("code"), n.cast("long").alias("rows")) for code, n in found])
+    return s.select(F.inline(F.filter(made, lambda x: x["rows"] > 0)))
+
+
+def idempotency_key(project: str, configuration: str, sources: list[dict]) -> str:
+    """The same for the same project, configuration and sources in whatever order."""
+    listed = [{k: s.get(k) for k in ("role", "dataset_id", "selected_sheet", "configuration")} for s in sources]
+    return stable_hash({"project_id": project, "config_hash": configuration, "sources": sorted(listed, key=lambda s: (str(s["role"]), str(s["dataset_id"])))})
+
+
+def inline_codebook(rows: DataFrame, variable: str, variable_column: str, detail_column: str, row: str) -> DataFrame:
+    """(code, label, conflict) of one variable of a book that lists "1. Label" below each variable's name.
+
+    A variable's section ends where the next one starts; sections are found by filling names down.
+    """
+    known = rows.select(F.col(row).alias("_r"), F.nullif(F.trim(F.col(variable_column)), F.lit("")).alias("_v"), F.col(detail_column).alias("_d"))
+    filled = fill_down(known, "_v", "_r").where(norm_key(F.col("_v")) == norm_key(F.lit(variable)))
+    pattern = r"^\s*([^\s.)-]+)\s*[.)-]\s*(.+?)\s*$"
+    listed = filled.where(F.col("_d").rlike(pattern)).select(code(F.regexp_extract("_d", pattern, 1)).alias("code"), F.regexp_extract("_d", pattern, 2).alias("label"))
+    return codebook(listed, "code", "label")
+
+
+def detect_source(columns: list[str], roles: dict[str, tuple[set[str], set[str]]]) -> str | None:
+    """The role whose required columns are all there and whose signature matches most; None if two do alike."""
+    have = {norm(c) for c in columns}
+    scored = sorted(((len({norm(c) for c in signature} & have), name) for name, (required, signature) in roles.items() if {norm(c) for c in required} <= have), reverse=True)
+    return None if not scored or len(scored) > 1 and scored[0][0] == scored[1][0] else scored[0][1]
+
+
+def missing_columns(columns: list[str], required: set[str], aliases: dict[str, str] | None = None) -> list[str]:
+    """Required columns that neither the source nor an alias has."""
+    have = {norm(c) for c in columns}
+    have |= {norm(to) for name, to in (aliases or {}).items() if norm(name) in have}
+    return sorted(r for r in required if norm(r) not in have)
+
+
+def norm(name: str) -> str:
+    return slug(name).replace("-", "_")
+
+
+def looks_like_codes(df: DataFrame) -> bool:
+    """Whether a sheet of two columns translates codes: one is named as a code, the other as a label, and one is nearly unique."""
+    own = [c for c in df.columns if not c.startswith("_")]
+    if len(own) != 2:
+        return False
+    says = lambda words: any(any(w in norm(c) for w in words) for c in own)
+    if not (says(("cod", "id", "clave")) and says(("desc", "nombre", "label", "detalle"))):
+        return False
+    seen = df.agg(F.count("*").alias("n"), *[F.count_distinct(f"`{c}`").alias(f"d{i}") for i, c in enumerate(own)]).first()
+    return seen["n"] > 0 and max(seen["d0"], seen["d1"]) >= 0.9 * seen["n"]
+
+
+def common_keys(base: list[str], related: list[str], most: int = 3) -> list[tuple[str, str]]:
+    """Columns of the same name in both, those that look like keys first; a short suggestion for a person."""
+    a, b = {norm(c): c for c in base}, {norm(c): c for c in related}
+    keyed = lambda n: not any(w in n for w in ("id", "cod", "rut", "clave"))
+    return [(a[n], b[n]) for n in sorted(set(a) & set(b), key=lambda n: (keyed(n), n))[:most]]

@@ -6,13 +6,16 @@ import re
 import unicodedata
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tabularium.operators.reshape import summary_rows
+
 SEPARATORS = (";", ",", "\t", "|")
 ROW, SHEET = "_src_row", "_src_sheet"
 #: Zip guard of workbooks: unpacked bytes and their ratio to the packed ones.
@@ -81,18 +84,86 @@ def header_row(rows: list[list[str]]) -> int:
     return max(found, key=lambda x: (x[0], -x[1]))[1] if found else 0
 
 
-def read_csv(spark: SparkSession, path: str, separator: str | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """A CSV file as text columns with _src_row; blanks are null, words like None or nan stay text.
+def csv_dialect(spark: SparkSession, path: str) -> dict[str, str | bool]:
+    """separator, encoding (UTF-8, else latin-1) and whether records span lines; one scan of the file."""
+    lines = spark.read.text(path)
+    head = [r[0] for r in lines.limit(8).collect()]
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    seen = lines.agg(F.max((~F.is_valid_utf8("value")).cast("int")).alias("broken"), F.max((quotes % 2 == 1).cast("int")).alias("open")).first()
+    encoding = "ISO-8859-1" if seen["broken"] else "UTF-8"
+    return {"separator": sniff_separator(head), "encoding": encoding, "spans_lines": bool(seen["open"])}
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with _line, their place from 0 in the order they are read; only one count a partition reaches the driver."""
+    place = rows.withColumns({"_p": F.spark_partition_id(), "_n": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    sizes = {r["_p"]: r["n"] for r in place.groupBy("_p").agg((F.max("_n") + 1).alias("n")).collect()}
+    before, starts = 0, []
+    for p in sorted(sizes):
+        starts += [F.lit(p), F.lit(before)]
+        before += sizes[p]
+    start = F.try_element_at(F.create_map(*starts), F.col("_p")) if starts else F.lit(0)
+    return place.withColumn("_line", start + F.col("_n")).drop("_p", "_n")
+
+
+def read_csv(spark: SparkSession, path: str, separator: str | None = None, encoding: str | None = None, columns: list[str] | None = None) -> DataFrame:
+    """A CSV file as text columns with _src_row, the line on which a record starts; blanks are null, words like None stay text.
 
-    The separator is sniffed on the first lines. Records may span lines, so a file is read by one task; folders of
-    files are read in parallel, and their rows are numbered by file and place.
+    Separator and encoding are found out unless given. A file whose records each take a line is read in parallel; one
+    whose quoted cells hold line ends is read by one task. ``columns`` keeps only those, and the parser skips others.
     """
-    head = [r[0] for r in spark.read.option("encoding", encoding).text(path).limit(8).collect()]
-    separator = separator or sniff_separator(head)
-    frame = spark.read.options(header=True, sep=separator, encoding=encoding, quote='"', escape='"', multiLine=True, inferSchema=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, nullValue="").csv(path)
-    frame = frame.toDF(*unique_headers([c.lstrip("﻿") for c in frame.columns]))
-    filled = F.coalesce(*[F.col(f"`{c}`") for c in frame.columns])
-    return frame.where(filled.isNotNull()).withColumn(ROW, F.monotonically_increasing_id() + 2)
+    said = csv_dialect(spark, path)
+    separator, encoding = separator or said["separator"], encoding or said["encoding"]
+    how = {"header": True, "sep": separator, "encoding": encoding, "quote": '"', "escape": '"', "inferSchema": False, "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True, "nullValue": ""}
+    reader = spark.read.options(**how, multiLine=said["spans_lines"])
+    names = [c.lstrip("\ufeff") for c in reader.csv(path).columns]
+    headers = unique_headers(names)
+    text = T.StructType([T.StructField(h, T.StringType()) for h in headers])
+    if said["spans_lines"]:
+        rows = reader.schema(text).csv(path).withColumn("_at", F.monotonically_increasing_id())
+        inside = F.length(F.concat_ws("", *[F.col(f"`{h}`") for h in headers])) - F.length(F.replace(F.concat_ws("", *[F.col(f"`{h}`") for h in headers]), F.lit("\n"), F.lit("")))
+        before = F.coalesce(F.sum(inside).over(Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one task has read them all
+        frame = rows.withColumn(ROW, (F.col("_at") + 2 + before).cast("long")).drop("_at")
+    else:
+        lines = _numbered(spark.read.text(path)).where("_line > 0")
+        if encoding.upper() != "UTF-8":
+            lines = lines.withColumn("value", F.decode(F.col("value").cast("binary"), encoding))
+        parsed = F.from_csv("value", ", ".join(f"`{h}` STRING" for h in headers), {k: str(v) for k, v in how.items() if k not in ("header", "encoding", "inferSchema")})
+        frame = lines.select(parsed.alias("x"), (F.col("_line") + 1).cast("long").alias(ROW)).select("x.*", ROW)
+    filled = F.coalesce(*[F.col(f"`{c}`") for c in headers])
+    kept = [h for h in headers if columns is None or h in columns]
+    return frame.where(filled.isNotNull()).select(*[F.col(f"`{h}`") for h in kept], ROW)
+
+
+@dataclass(frozen=True)
+class Loaded:
+    frame: DataFrame
+    report: dict  # separator, encoding, sheet, sheets, title rows and total rows left out, warnings
+
+
+def load_table(spark: SparkSession, path: str, sheet: str | None = None, columns: list[str] | None = None) -> Loaded:
+    """A CSV file, or a sheet of a workbook (the fullest unless named), without the totals at its end, and what was done."""
+    report: dict = {"sheet": None, "sheets": [], "title_rows": 0, "total_rows": 0, "warnings": []}
+    if path.lower().endswith(".csv"):
+        report |= csv_dialect(spark, path)
+        frame = read_csv(spark, path, report["separator"], report["encoding"])
+    else:
+        found = read_workbook(spark, path)
+        if not found or sheet is not None and sheet not in found:
+            raise ValueError(f"no sheet {sheet!r} with data")
+        size = {n: df.count() * len(df.columns) for n, df in found.items()} if sheet is None else {sheet: 1}
+        chosen = max(size, key=lambda n: (size[n], n))
+        frame = found[chosen]
+        report |= {"sheet": chosen, "sheets": list(found)}
+        first = frame.agg(F.min(ROW)).first()[0]
+        report["title_rows"] = max(0, (first or 2) - 2)
+    body = summary_rows(frame.select(*[c for c in frame.columns if c != SHEET]), ROW)
+    kept = frame.join(body.select(ROW), ROW, "left_semi") if SHEET in frame.columns else body
+    report["total_rows"] = frame.count() - kept.count()
+    if report["total_rows"]:
+        report["warnings"].append(f"{report['total_rows']} rows of totals at the end were left out")
+    own = [c for c in frame.columns if c in (ROW, SHEET) or columns is None or c in columns]
+    return Loaded(kept.select(*[F.col(f"`{c}`") for c in own]), report)
 
 
 # ---- workbooks

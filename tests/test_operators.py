@@ -196,3 +196,37 @@ def test_overtime_counts_half_as_much_again(spark):
     assert [r[1:] for r in out] == [(20.0, 50.0), (30.0, 75.0), (20.0, 0.0)]
     said = spark.createDataFrame([("8 hrs", "X"), ("1", "1"), ("2", "V"), ("3", "true"), ("4", "yes"), ("5", None)], "h string, b string")
     assert [r["b"] for r in S.clean_hours(said, "h", "b").collect()] == [True, True, True, True, False, False]
+
+
+def test_sheets_with_other_headers_are_appended(spark):
+    a = spark.createDataFrame([("1", "x", 5.0)], "`Cod Producto` string, FECHA string, `Monto Neto` double")
+    b = spark.createDataFrame([("2", "y", 6.0)], "Id_Producto string, Fecha string, MONTO_NETO double")
+    out = R.append({"a": a, "b": b})
+    assert out.columns == ["Cod Producto", "FECHA", "Monto Neto", "origin"] and out.agg(F.sum("Monto Neto")).first()[0] == 11
+    two = spark.createDataFrame([(1.0, 2.0)], "`Monto Neto` double, Monto_Neto double")
+    assert R.aligned({"a": a, "b": two})["b"].columns == ["Monto Neto", "Monto_Neto"]
+
+
+def test_contracts_of_cohorts(spark):
+    assert C.target_columns([" id ", "cohorte"], ("id",)) == ["id", "cohorte"]
+    for bad in (["id", "id"], ["id", ""], ["x"]):
+        with pytest.raises(ValueError):
+            C.target_columns(bad, ("id",))
+    df = spark.createDataFrame([("a", "2026", "5,1"), ("a", "2026", "7"), ("b", "2025", None)], "id string, cohorte string, n string")
+    out = C.shaped(df, ["id", "cohorte", "n", "other"], {"cohorte", "n"})
+    assert [tuple(r) for r in out.collect()] == [("a", 2026.0, None, None), ("a", 2026.0, 7.0, None), ("b", 2025.0, None, None)]
+    assert {tuple(r) for r in C.contract_issues(out, 4, ["id"], "id", "cohorte", 2026).collect()} == {("row_count_changed", 1), ("target_schema_mismatch", 1), ("duplicate_key", 1), ("invalid_cohort", 1)}
+    assert C.contract_issues(out.where("n = 7"), 1, out.columns, "id", "cohorte", 2026).count() == 0
+    a, b = {"role": "a", "dataset_id": 1}, {"role": "b", "dataset_id": 2}
+    assert C.idempotency_key("p", "c", [a, b]) == C.idempotency_key("p", "c", [b, a]) != C.idempotency_key("p", "d", [a, b])
+
+
+def test_code_books_and_sources(spark):
+    book = spark.createDataFrame([(2, "VIA", "1. Regular"), (3, None, "2) Especial"), (4, None, "2 - Otra"), (5, "SEXO", "1. Mujer"), (6, "", "nota")], "r int, v string, d string")
+    assert {tuple(r) for r in C.inline_codebook(book, "via", "v", "d", "r").collect()} == {("1", "Regular", False), ("2", None, True)}
+    roles = {"base": ({"ID_aux", "Via"}, {"ptje"}), "notas": ({"ID_aux"}, {"promedio"})}
+    assert C.detect_source(["id aux", "VIA", "Ptje"], roles) == "base" and C.detect_source(["ID_AUX"], roles) == "notas" and C.detect_source(["x"], roles) is None
+    assert C.missing_columns(["RUN"], {"ID_aux", "via"}, {"run": "id_aux"}) == ["via"]
+    codes = spark.createDataFrame([(str(i), f"n{i % 3}") for i in range(10)], "codigo string, nombre string")
+    assert C.looks_like_codes(codes) and not C.looks_like_codes(codes.toDF("a", "b"))
+    assert C.common_keys(["Fecha", "Cod Sede", "RUT"], ["rut", "fecha", "COD_SEDE"]) == [("Cod Sede", "COD_SEDE"), ("RUT", "rut"), ("Fecha", "fecha")]

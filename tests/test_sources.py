@@ -33,3 +33,37 @@ def test_workbook_round_trip(spark, tmp_path):
 def test_content_hash(spark):
     a = spark.createDataFrame([(1, "x"), (2, None), (2, None)], "i int, t string")
     assert sinks.content_hash(a) == sinks.content_hash(a.orderBy(F.desc("i")).repartition(3)) != sinks.content_hash(a.distinct())
+
+
+def test_latin_files_lines_and_totals(spark, tmp_path):
+    path = tmp_path / "ventas.csv"
+    path.write_bytes("Fecha;Año;Monto\n2026-01-01;ñandú;10\n\n2026-01-02;x;20\nTOTAL;;30\n".encode("latin-1"))
+    loaded = tables.load_table(spark, str(path))
+    rows = loaded.frame.orderBy(tables.ROW).collect()
+    assert [(r["Fecha"], r["Año"], r[tables.ROW]) for r in rows] == [("2026-01-01", "ñandú", 2), ("2026-01-02", "x", 4)]
+    assert loaded.report["encoding"] == "ISO-8859-1" and loaded.report["total_rows"] == 1 and loaded.report["warnings"]
+    assert tables.load_table(spark, str(path), columns=["Monto"]).frame.columns == ["Monto", tables.ROW]
+
+
+def test_lines_are_numbered_across_partitions(spark, tmp_path):
+    path = tmp_path / "long.csv"
+    path.write_text("a,b\n" + "".join(f"{i},{'x' * 50}\n" for i in range(4000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        df = tables.read_csv(spark, str(path))
+        assert df.rdd.getNumPartitions() > 3 and df.where(F.col("a").cast("long") + 2 != F.col(tables.ROW)).count() == 0 and df.count() == 4000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_records_that_span_lines_keep_their_first_line(spark, tmp_path):
+    path = tmp_path / "spans.csv"
+    path.write_text('a,b\n1,"two\nlines"\n2,x\n3,"a\nb\nc"\n4,y\n')
+    assert [(r["a"], r[tables.ROW]) for r in tables.read_csv(spark, str(path)).orderBy(tables.ROW).collect()] == [("1", 2), ("2", 4), ("3", 5), ("4", 8)]
+
+
+def test_sparse_titles_are_no_headers():
+    assert tables.header_row([["Informe de ventas", "2026", "", "", ""], ["Fecha", "Cliente", "Monto", "Estado", "ID"], ["2026-01-01", "Ana", "100", "x", "7"]]) == 1
+    assert tables.header_row([["OT", "OT", "Costos", "Costos"], ["Numero", "Fecha", "Monto", "Moneda"], ["1", "2026-01-01", "5", "CLP"]]) == 1
+    assert tables.header_row([["x", ""], ["", ""]]) == 0
