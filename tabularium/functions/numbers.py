@@ -72,28 +72,43 @@ def parse_number(text: Column, dot3: str | Column = "miles", comma3: str | Colum
     return let(clean, read)
 
 
+def ballot(text: Column) -> Column:
+    """What one value says about its column's conventions, as a struct of booleans."""
+
+    def votes(body: Column) -> Column:
+        commas, dots = _times(body, ","), _times(body, ".")
+        decimals = lambda mark: F.length(F.substring_index(body, mark, -1)).isin(1, 2)
+        last_is_comma = F.length(F.substring_index(body, ",", -1)) < F.length(F.substring_index(body, ".", -1))
+        whole = F.when((commas == 0) & (dots == 0), body.try_cast("double"))
+        said = {
+            "dot_thousands": (commas > 0) | (dots > 1), "dot_decimal": (commas == 0) & (dots == 1) & decimals("."),
+            "comma_decimal": (commas > 0) & (dots > 0) & last_is_comma | (commas == 1) & (dots == 0) & decimals(","),
+            "comma_thousands": (commas > 0) & (dots > 0) & ~last_is_comma | (commas > 1) & (dots == 0), "large": whole >= 1000, "small": (whole > 0) & (whole < 1000),
+            "ambiguous": (commas == 1) & (dots == 0) & (F.length(F.substring_index(body, ",", -1)) == 3) & F.length(F.substring_index(body, ",", 1)).between(1, 3),
+        }
+        return F.when(body.rlike(r"^[\d.,]+$"), F.struct(*[v.alias(k) for k, v in said.items()]))
+
+    return let(F.ltrim(undecorated(text)[0], F.lit("-")), votes)
+
+
+def counted(votes: Column) -> Column:
+    """How many ballots say each thing: an aggregate over one column of ballots."""
+    names = ("dot_thousands", "dot_decimal", "comma_decimal", "comma_thousands", "large", "small", "ambiguous")
+    return F.struct(*[F.count(F.when(votes[n], 1)).alias(n) for n in names])
+
+
+def decided(count: Column) -> Column:
+    """dot3, comma3 and how many values are ambiguous, from counted ballots."""
+    dot3 = F.when((count["dot_decimal"] > 0) & (count["dot_thousands"] == 0), "decimal").otherwise("miles")
+    by_size = (count["ambiguous"] > 0) & (count["comma_decimal"] == 0) & (count["comma_thousands"] == 0) & (count["large"] > count["small"])
+    comma3 = F.when((count["comma_thousands"] > 0) & (count["comma_decimal"] == 0) | by_size, "miles").otherwise("decimal")
+    return F.struct(dot3.alias("dot3"), comma3.alias("comma3"), count["ambiguous"].alias("ambiguous"))
+
+
 def conventions(df: DataFrame, column: str) -> DataFrame:
     """One row: dot3, comma3, and how many values are ambiguous; the whole column votes in one aggregate."""
-    body = F.regexp_replace(undecorated(F.col(column))[0], "^-+", "")
-    plain = body.rlike(r"^[\d.,]+$")
-    commas, dots = _times(body, ","), _times(body, ".")
-    decimals = lambda mark: F.length(F.substring_index(body, mark, -1)).isin(1, 2)
-    last_is_comma = F.length(F.substring_index(body, ",", -1)) < F.length(F.substring_index(body, ".", -1))
-    whole = F.when(body.rlike(r"^\d+$"), body.try_cast("double"))
-    count = lambda when: F.coalesce(F.sum(F.when(plain & when, 1)), F.lit(0)).cast("long")
-    votes = df.agg(
-        count((commas > 0) | (dots > 1)).alias("dot_thousands"),
-        count((commas == 0) & (dots == 1) & decimals(".")).alias("dot_decimal"),
-        count((commas > 0) & (dots > 0) & last_is_comma | (commas == 1) & (dots == 0) & decimals(",")).alias("comma_decimal"),
-        count((commas > 0) & (dots > 0) & ~last_is_comma | (commas > 1) & (dots == 0)).alias("comma_thousands"),
-        count(whole >= 1000).alias("large"),
-        count((whole > 0) & (whole < 1000)).alias("small"),
-        count(body.rlike(r"^\d{1,3},\d{3}$")).alias("ambiguous"),
-    )
-    dot3 = F.when((F.col("dot_decimal") > 0) & (F.col("dot_thousands") == 0), "decimal").otherwise("miles")
-    by_size = (F.col("ambiguous") > 0) & (F.col("comma_decimal") == 0) & (F.col("comma_thousands") == 0) & (F.col("large") > F.col("small"))
-    comma3 = F.when((F.col("comma_thousands") > 0) & (F.col("comma_decimal") == 0) | by_size, "miles").otherwise("decimal")
-    return votes.select(dot3.alias("dot3"), comma3.alias("comma3"), "ambiguous")
+    votes = df.select(ballot(F.col(f"`{column}`")).alias("b")).agg(counted(F.col("b")).alias("v"))
+    return votes.select(decided(F.col("v")).alias("d")).select("d.*")
 
 
 def parse_column(df: DataFrame, column: str, to: str) -> DataFrame:
