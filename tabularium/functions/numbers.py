@@ -18,16 +18,25 @@ CURRENCIES = {
 }
 
 
-def undecorated(text: Column) -> tuple[Column, Column]:
-    """(digits, signs and separators alone; whether parentheses make it negative). Bare numbers meet one pattern only."""
-    value = F.trim(F.translate(text.cast("string"), " ", " "))
-    in_parentheses = value.startswith("(") & value.endswith(")") & (F.length(value) > 2) & ~value.contains("\n")
+def _trimmed(text: Column) -> Column:
+    return F.trim(F.translate(text.cast("string"), " ", " "))
+
 
-    def without_marks(v: Column) -> Column:
-        inner = F.when(v.startswith("("), F.trim(F.regexp_replace(v, r"^\((.+)\)$", "$1"))).otherwise(v)
-        return F.regexp_replace(F.regexp_replace(F.regexp_replace(inner, CURRENCY_MARKS, ""), UNIT_MARKS, ""), r"[%\s]", "")
+def _in_parentheses(value: Column) -> Column:
+    return value.startswith("(") & value.endswith(")") & (F.length(value) > 2) & ~value.contains("\n")
 
-    return let(value, lambda v: F.when(v.rlike(BARE), v).otherwise(without_marks(v))), in_parentheses
+
+def _bare(value: Column) -> Column:
+    """A trimmed value without marks; bare numbers meet one pattern only."""
+    inner = F.when(value.startswith("("), F.trim(F.regexp_replace(value, r"^\((.+)\)$", "$1"))).otherwise(value)
+    without = F.regexp_replace(F.regexp_replace(F.regexp_replace(inner, CURRENCY_MARKS, ""), UNIT_MARKS, ""), r"[%\s]", "")
+    return F.when(value.rlike(BARE), value).otherwise(without)
+
+
+def undecorated(text: Column) -> tuple[Column, Column]:
+    """(digits, signs and separators alone; whether parentheses make it negative)."""
+    value = _trimmed(text)
+    return let(value, _bare), _in_parentheses(value)
 
 
 def looks_like_number(text: Column) -> Column:
@@ -38,40 +47,53 @@ def _times(value: Column, mark: str) -> Column:
     return F.length(value) - F.length(F.replace(value, F.lit(mark), F.lit("")))
 
 
+def _written(body: Column, commas: Column, dots: Column, dot3: Column, comma3: Column) -> Column:
+    """A number's digits with a decimal point alone, by its separators and the column's conventions."""
+    no = lambda mark: F.replace(body, F.lit(mark), F.lit(""))
+    three = lambda mark: (F.length(F.substring_index(body, mark, -1)) == 3) & (F.length(F.substring_index(body, mark, 1)) >= 1)
+    last_is_comma = F.length(F.substring_index(body, ",", -1)) < F.length(F.substring_index(body, ".", -1))
+    return (
+        F.when(F.lower(body).contains("e"), body)
+        .when((commas > 0) & (dots > 0), F.when(last_is_comma, F.translate(no("."), ",", ".")).otherwise(no(",")))
+        .when(commas > 1, no(","))
+        .when(commas == 1, F.when(three(",") & (comma3 == "miles"), no(",")).otherwise(F.translate(body, ",", ".")))
+        .when(dots > 1, no("."))
+        .when((dots == 1) & three(".") & (dot3 == "miles"), no("."))
+        .otherwise(body)
+    )
+
+
+def _column(value: str | Column) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
+
+
 def parse_number(text: Column, dot3: str | Column = "miles", comma3: str | Column = "decimal") -> Column:
     """A double, null where the text is no number.
 
     With both separators the last one is decimal; one repeated separator is of thousands; a single one before three
-    digits follows the column's convention (miles or decimal).
+    digits follows the column's convention (miles or decimal). with_number does the same in projections of their own.
     """
-    dot3 = dot3 if isinstance(dot3, Column) else F.lit(dot3)
-    comma3 = comma3 if isinstance(comma3, Column) else F.lit(comma3)
     clean, in_parentheses = undecorated(text)
-    no = lambda c, mark: F.replace(c, F.lit(mark), F.lit(""))
-    three = lambda b, mark: (F.length(F.substring_index(b, mark, -1)) == 3) & (F.length(F.substring_index(b, mark, 1)) >= 1)
-
-    def written(x: Column) -> Column:
-        body, commas, dots = x["body"], x["commas"], x["dots"]
-        last_is_comma = F.length(F.substring_index(body, ",", -1)) < F.length(F.substring_index(body, ".", -1))
-        return (
-            F.when(F.lower(body).contains("e"), body)
-            .when((commas > 0) & (dots > 0), F.when(last_is_comma, F.translate(no(body, "."), ",", ".")).otherwise(no(body, ",")))
-            .when(commas > 1, no(body, ","))
-            .when(commas == 1, F.when(three(body, ",") & (comma3 == "miles"), no(body, ",")).otherwise(F.translate(body, ",", ".")))
-            .when(dots > 1, no(body, "."))
-            .when((dots == 1) & three(body, ".") & (dot3 == "miles"), no(body, "."))
-            .otherwise(body)
-        )
 
     def read(c: Column) -> Column:
-        body = F.ltrim(c, F.lit("-"))
-        parts = F.struct(body.alias("body"), _times(c, ",").alias("commas"), _times(c, ".").alias("dots"))
-        sign = F.when(in_parentheses | c.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
-        return F.when(c.rlike(BARE), let(parts, written).try_cast("double") * sign)
+        parts = F.struct(F.ltrim(c, F.lit("-")).alias("body"), _times(c, ",").alias("commas"), _times(c, ".").alias("dots"))
+        digits = let(parts, lambda x: _written(x["body"], x["commas"], x["dots"], _column(dot3), _column(comma3)))
+        return F.when(c.rlike(BARE), digits.try_cast("double") * F.when(in_parentheses | c.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0)))
 
     return let(clean, read)
 
 
+def with_number(df: DataFrame, text: Column, to: str, dot3: str | Column = "miles", comma3: str | Column = "decimal") -> DataFrame:
+    """df with parse_number(text) as ``to``: a projection for each step, all within generated code, each value computed once."""
+    names = {x: f"_{to}_{x}" for x in ("value", "clean", "ok", "body", "commas", "dots")}
+    value, clean, ok, body, commas, dots = (F.col(f"`{n}`") for n in names.values())
+    out = df.withColumn(names["value"], _trimmed(text)).withColumn(names["clean"], _bare(value))
+    out = out.withColumns({names["ok"]: clean.rlike(BARE), names["body"]: F.ltrim(clean, F.lit("-")), names["commas"]: _times(clean, ","), names["dots"]: _times(clean, ".")})
+    sign = F.when(_in_parentheses(value) | clean.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
+    number = F.when(ok, _written(body, commas, dots, _column(dot3), _column(comma3)).try_cast("double") * sign)
+    return out.withColumn(to, number).drop(*names.values())
+
+
 def ballot(text: Column) -> Column:
     """What one value says about its column's conventions, as a struct of booleans."""
 
@@ -114,7 +136,7 @@ def conventions(df: DataFrame, column: str) -> DataFrame:
 def parse_column(df: DataFrame, column: str, to: str) -> DataFrame:
     """df with ``to``, the column's numbers under its own conventions."""
     found = conventions(df, column).first()
-    return df.withColumn(to, parse_number(F.col(column), found["dot3"], found["comma3"]))
+    return with_number(df, F.col(f"`{column}`"), to, found["dot3"], found["comma3"])
 
 
 def format_number(number: Column) -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabularium.functions import text as T
-from tabularium.functions.dates import date_profile, parse_date
-from tabularium.functions.numbers import conventions, parse_column, parse_number
+from tabularium.functions.dates import date_profile, parse_date, with_date
+from tabularium.functions.numbers import conventions, parse_column, parse_number, with_number
 from tabularium.operators import labels as L
 from tabularium.operators import quality as Q
 from tabularium.operators import reshape as R
@@ -32,12 +32,12 @@ def written_date(day: Column, style: Column) -> Column:
 
 def parse_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").withColumn("written", written_amount(F.col("l_extendedprice"), F.col("l_orderkey") % 4))
-    return lines.select("l_orderkey", "l_linenumber", "l_partkey", parse_number(F.col("written")).alias("amount"))
+    return with_number(lines.select("l_orderkey", "l_linenumber", "l_partkey", "written"), F.col("written"), "amount").drop("written")
 
 
 def parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").withColumn("written", written_date(F.col("l_shipdate"), F.col("l_orderkey") % 4))
-    return lines.select("l_orderkey", "l_linenumber", "l_partkey", parse_date(F.col("written")).alias("day"))
+    return with_date(lines.select("l_orderkey", "l_linenumber", "l_partkey", "written"), F.col("written"), "day").drop("written")
 
 
 def column_conventions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,3 +80,14 @@ def test_mojibake(spark):
 @pytest.mark.parametrize("text,good", [("12.345.678-5", True), ("12345678-4", False), ("abc", False), ("", False)])
 def test_rut(spark, text, good):
     assert column(spark, [text], T.rut_valid) == [good]
+
+
+def test_projections_parse_like_expressions(spark):
+    texts = [None, "", "-", "$ 1.234,50", "(1.234)", "US$1,234.5", "12 un", "-7", "1e3", "abc", "1,5", "1.234", "1,234", "5%", "1.2.3,4", "01/02/2025", "13/02/2025", "02/13/2025", "2025-03-04T10:00:00", "5 de mayo de 1998", "Ene-25", "2025/7", "7-2025", "3 xxx 99", "1/1/69", "1/1/70", "31/31/2025", "40/12/2025"]
+    df = spark.createDataFrame([(t,) for t in texts], "`a.b` string")
+    for dot3, comma3, dayfirst in (("miles", "decimal", True), ("decimal", "miles", False)):
+        text = F.col("`a.b`")
+        out = N.with_number(D.with_date(df, text, "d", dayfirst), text, "n", dot3, comma3)
+        both = out.withColumns({"n2": N.parse_number(text, dot3, comma3), "d2": D.parse_date(text, dayfirst)})
+        assert both.columns == ["a.b", "d", "n", "n2", "d2"] and both.where("NOT (n <=> n2) OR NOT (d <=> d2)").count() == 0
+        assert both.where("n IS NOT NULL").count() >= 9 and both.where("d IS NOT NULL").count() >= 8
