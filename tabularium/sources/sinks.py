@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import zipfile
+from dataclasses import asdict
 from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabularium.functions.text import safe_cell
+from tabularium.operators.cleaning import Cleaned, Rules
 
 #: Rows of a worksheet that spreadsheets can open.
 SHEET_ROWS = 1_048_576
@@ -42,7 +45,14 @@ def _letters(n: int) -> str:
 
 
 def write_workbook(frames: dict[str, DataFrame], path: str) -> None:
-    """A workbook of reports. Rows are fetched a partition at a time and written as they come; a sheet has a row limit."""
+    """A workbook of reports, whose rows pass through the driver one partition at a time.
+
+    Sheets are counted before anything is written, and one with more rows than spreadsheets open is refused: tables of
+    that size are written by write_csv, in tasks.
+    """
+    for name, frame in frames.items():
+        if frame.limit(SHEET_ROWS).count() >= SHEET_ROWS:
+            raise ValueError(f"{name} has more rows than spreadsheets open; write it as CSV")
     types = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(frames) + 1))
     sheets = "".join(f'<sheet name={quoteattr(name[:31])} sheetId="{i}" r:id="rId{i}"/>' for i, name in enumerate(frames, 1))
     links = "".join(f'<Relationship Id="rId{i}" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(frames) + 1))
@@ -59,8 +69,6 @@ def write_workbook(frames: dict[str, DataFrame], path: str) -> None:
                 out.write(f'{head}<worksheet xmlns="{main}"><sheetData>'.encode())
                 rows = [frame.columns]
                 for n, row in enumerate(_chain(rows, frame.toLocalIterator()), 1):
-                    if n > SHEET_ROWS:
-                        raise ValueError("the sheet has more rows than spreadsheets open; write it as CSV")
                     cells = []
                     for j, value in enumerate(row):
                         if value is None:
@@ -74,3 +82,26 @@ def write_workbook(frames: dict[str, DataFrame], path: str) -> None:
 def _chain(*parts):
     for part in parts:
         yield from part
+
+
+MANIFEST = "key string, value string"
+
+
+def write_audited(done: Cleaned, rules: Rules, folder: str, source: str) -> DataFrame:
+    """A cleaned sheet with everything that was done to it, as CSV folders written in tasks, and its manifest (key, value).
+
+    datos has the sheet, auditoria every changed or kept cell, observaciones what needs a look, problemas, columnas and
+    calidad the figures. The manifest names the source, digests of data and audit, the rules and the counts.
+    """
+    spark = done.frame.sparkSession
+    review = done.audit.where("action <> 'transformado' AND rule <> 'alcance_exportacion'")
+    parts = {"datos": done.frame, "auditoria": done.audit, "observaciones": review, "problemas": done.problems, "columnas": done.by_column, "calidad": done.quality}
+    for name, frame in parts.items():
+        write_csv(frame, f"{folder}/{name}")
+    said = {
+        "fuente": source, "reglas": json.dumps(asdict(rules), sort_keys=True), "filas": str(done.frame.count()), "cambios": str(done.audit.where("action = 'transformado'").count()),
+        "observaciones": str(review.count()), "sha_datos": str(content_hash(done.frame)), "sha_auditoria": str(content_hash(done.audit)), **{f"aviso_{i}": w for i, w in enumerate(done.warnings, 1)},
+    }
+    manifest = spark.createDataFrame(list(said.items()), MANIFEST)
+    write_csv(manifest, f"{folder}/manifiesto")
+    return manifest

@@ -67,3 +67,24 @@ def test_sparse_titles_are_no_headers():
     assert tables.header_row([["Informe de ventas", "2026", "", "", ""], ["Fecha", "Cliente", "Monto", "Estado", "ID"], ["2026-01-01", "Ana", "100", "x", "7"]]) == 1
     assert tables.header_row([["OT", "OT", "Costos", "Costos"], ["Numero", "Fecha", "Monto", "Moneda"], ["1", "2026-01-01", "5", "CLP"]]) == 1
     assert tables.header_row([["x", ""], ["", ""]]) == 0
+
+
+def test_audited_export(spark, tmp_path):
+    from tabularium.operators import cleaning
+
+    rows = [(2, "01/02/2025", "1.500"), (3, "31/02/2025", "por definir"), (4, "03/02/2025", "2.500"), (5, "03/02/2025", "2.500")]
+    rules = cleaning.Rules(drop_duplicates=True)
+    done = cleaning.clean(spark.createDataFrame(rows, "_src_row int, Fecha string, Monto string"), rules)
+    said = {r["key"]: r["value"] for r in sinks.write_audited(done, rules, str(tmp_path / "salida"), "ventas.csv").collect()}
+    assert said["filas"] == "3" and said["fuente"] == "ventas.csv" and '"drop_duplicates": true' in said["reglas"] and int(said["cambios"]) >= 4
+    data = spark.read.options(header=True, sep=";").csv(str(tmp_path / "salida" / "datos")).orderBy("_src_row").collect()
+    assert [(r["Fecha"], r["Monto"]) for r in data] == [("2025-02-01", "1500"), ("31/02/2025", "por definir"), ("2025-02-03", "2500")]
+    seen = spark.read.options(header=True, sep=";").csv(str(tmp_path / "salida" / "observaciones"))
+    assert {(r["row"], r["rule"]) for r in seen.collect()} == {("3", "validacion_tipo"), ("5", "duplicado_exacto_original")}
+
+
+def test_a_sheet_too_long_is_refused_before_writing(spark, tmp_path):
+    path = tmp_path / "long.xlsx"
+    with pytest.raises(ValueError):
+        sinks.write_workbook({"Datos": spark.range(sinks.SHEET_ROWS + 1)}, str(path))
+    assert not path.exists()
