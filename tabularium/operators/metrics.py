@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabularium.functions.dates import within
+from tabularium.functions.profiles import is_catalogue, is_sales, other_kind
 from tabularium.functions.roles import candidate_keys, sheet_kind, spaced
 from tabularium.functions.text import norm_key, plain, relation_key
 from tabularium.operators import aggregates as A
@@ -79,7 +80,11 @@ def counting_rows(done: Standardized, since: str | None = None, until: str | Non
 
 @dataclass(frozen=True)
 class Metrics:
-    """Tables of figures; those whose roles are missing are left out. Mixed currencies leave out all amounts."""
+    """Tables of figures; those whose roles are missing are left out. Mixed currencies leave out all amounts.
+
+    profile is "ventas", or what the sheet is instead; only sales have figures, so that a list of products, a purchase or
+    a stock is never summed as sales.
+    """
 
     totals: DataFrame | None = None
     monthly: DataFrame | None = None
@@ -88,15 +93,17 @@ class Metrics:
     groups: dict[str, DataFrame] = field(default_factory=dict)
     projection: DataFrame | None = None
     mixed_currency: bool = False
+    profile: str | None = None
 
 
 def compute(done: Standardized, since: str | None = None, until: str | None = None, filters: dict[str, str] | None = None) -> Metrics:
     roles = columns_of(done)
-    if "monto" not in roles:
-        return Metrics()
+    columns = list(done.types)
+    if not is_sales(columns, done.roles):
+        return Metrics(profile="catalogo" if is_catalogue(columns, done.roles) else other_kind(columns, done.roles))
     money = [done.roles[r] for r in ("monto", "costo") if r in done.roles]
     if A.mixed_currency(done.frame.select(*[F.col(f"`{c}`").alias(f"m{i}") for i, c in enumerate(money)]), *[f"m{i}" for i in range(len(money))]):
-        return Metrics(mixed_currency=True)
+        return Metrics(mixed_currency=True, profile="ventas")
     rows, amount = counting_rows(done, since, until, filters), roles["monto"]
     cost = roles.get("costo")
     if cost is not None and "cantidad" in roles and "unit" in spaced(done.roles["costo"]):
@@ -105,7 +112,7 @@ def compute(done: Standardized, since: str | None = None, until: str | None = No
     dated = roles.get("fecha")
     monthly = A.monthly(rows, dated, amount, cost) if dated is not None else None
     groups = {r: A.group_profit(rows, roles[r], amount, cost) for r in ("producto", "categoria", "cliente", "canal", "sucursal", "vendedor") if r in roles}
-    return Metrics(totals, monthly, A.by_weekday(rows, dated, amount) if dated is not None else None, A.histogram(rows, amount), groups, A.projection(monthly) if monthly is not None else None)
+    return Metrics(totals, monthly, A.by_weekday(rows, dated, amount) if dated is not None else None, A.histogram(rows, amount), groups, A.projection(monthly) if monthly is not None else None, profile="ventas")
 
 
 @dataclass(frozen=True)
