@@ -230,3 +230,22 @@ def test_code_books_and_sources(spark):
     codes = spark.createDataFrame([(str(i), f"n{i % 3}") for i in range(10)], "codigo string, nombre string")
     assert C.looks_like_codes(codes) and not C.looks_like_codes(codes.toDF("a", "b"))
     assert C.common_keys(["Fecha", "Cod Sede", "RUT"], ["rut", "fecha", "COD_SEDE"]) == [("Cod Sede", "COD_SEDE"), ("RUT", "rut"), ("Fecha", "fecha")]
+
+
+def test_insights_by_hand(spark):
+    total = spark.createDataFrame([(900.0, 100.0, 5.0)], "net double, returns double, margin_pct double")
+    groups = lambda rows: spark.createDataFrame(rows, "`group` string, margin_pct double, gross_share_pct double")
+    months = spark.createDataFrame([("2025-01", 100.0, False), ("2025-02", 100.0, False), ("2025-03", 80.0, False), ("2025-04", 5.0, True)], "month string, net double, partial boolean")
+    categories = groups([("a", -3.0, 50.0), ("b", 4.0, 30.0), ("c", 40.0, 10.0), ("d", 6.0, 10.0), ("e", None, 5.0)])
+    out = {r["id"]: (r["tone"], r["subject"], r["value"]) for r in B.insights(total, categories, groups([("p", 1.0, 25.0), ("q", 1.0, 24.0)]), groups([("k", 1.0, 90.0)]), months, A.projection(months)).collect()}
+    assert out == {
+        "margen-ajustado": ("atencion", None, 5.0), "devoluciones-altas": ("riesgo", None, 10.0), "categoria-perdida": ("riesgo", "a", -3.0), "volumen-sin-margen": ("oportunidad", "b", 30.0),
+        "concentracion-producto": ("atencion", "p", 25.0), "cambio-mes": ("riesgo", "2025-03", -20.0), "tendencia-baja": ("riesgo", None, -10.0),
+    }
+
+
+def test_split_columns_and_moments(spark):
+    df = spark.createDataFrame([("Ana SA | Talca", "9:05"), ("Beto", "24:00"), (None, None), ("a|b|c", " 23:59 ")], "t string, h string").withColumn("d", F.to_date(F.lit("2025-03-01")))
+    out = R.split_column(df, "t", "|", "who", "where").withColumn("m", R.moment(F.col("d"), F.col("h"))).collect()
+    assert [(r["who"], r["where"]) for r in out] == [("Ana SA", "Talca"), ("Beto", ""), (None, None), ("a", "b|c")]
+    assert [r["m"] and r["m"].strftime("%H:%M") for r in out] == ["09:05", None, None, "23:59"]
