@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from tabularium.llm.common import table, written
 
 #: Bytes of text and number of documents at which a shard is closed; a longer document is a shard by itself.
-SHARD_BYTES, SHARD_DOCS = 32_000_000, 65_536
+SHARD_BYTES, SHARD_DOCS = 16_000_000, 65_536
 #: Characters of queries that one pass over the shards answers; more queries are dealt into several passes.
 QUERY_CHARS = 16_000_000
 #: Impacts are below 1,000,000; bounds hold them in steps of this size, rounded up.
@@ -48,6 +48,9 @@ _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum
 
 SHARD = "n_docs long, n_terms long, ids array<long>, lengths array<long>, terms array<binary>, starts array<int>, tf binary, bits binary, ranks binary, bounds binary"
 
+#: The arrays of a shard that are kept as bytes, and what they are made of.
+BLOBS = {"tf": np.int64, "bits": np.uint64, "ranks": np.int32, "bounds": np.uint8}
+
 
 def terms_of(text: str | None) -> list[bytes]:
     """The terms of a text in order, as UTF-8."""
@@ -90,16 +93,28 @@ class Totals:
         return 25 + (75 * length * self.documents) // self.terms
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The texts that aren't empty, about SHARD_BYTES at a time."""
+    texts, held = [], 0
+    for batch in batches:
+        for text in batch.column(0).cast(pa.large_binary()).to_pylist():
+            if text:
+                texts.append(text)
+                held += len(text)
+                if held >= SHARD_BYTES:
+                    yield texts
+                    texts, held = [], 0
+    if texts:
+        yield texts
+
+
 def totals(docs: DataFrame, asked: Iterable[bytes] = (), text_col: str = "text") -> Totals:
     """Totals of the documents, with the frequencies of the terms asked for: one row a term comes back."""
     asked = pa.array(sorted(set(asked)), pa.large_binary())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, documents, terms = np.zeros(len(asked), np.int64), 0, 0
-        for batch in batches:
-            texts = [t for t in batch.column(0).cast(pa.large_binary()).to_pylist() if t]
-            if not texts:
-                continue
+        for texts in _parts(batches):
             code, _, _, lengths, words = _postings(texts)
             at = pc.index_in(words, asked).to_numpy(zero_copy_only=False)
             found = at[code]
@@ -154,53 +169,71 @@ def build(ids: list[int | None], texts: list[bytes], total: Totals) -> dict:
         order = np.argsort(prefix, kind="stable").astype(np.int32)
         doc, bound, tf = doc[order], bound[order], tf[order]
     return {
-        "n_docs": len(ids), "n_terms": n, "ids": [ids[i] for i in by_id], "lengths": lengths.tolist(), "terms": words.to_pylist(),
-        "starts": np.searchsorted(code, np.arange(len(words) + 1)).tolist(), "tf": tf.astype(np.int64).tobytes(),
-        "bits": bits.tobytes(), "ranks": ranks.tobytes(), "bounds": bounds.tobytes(),
+        "n_docs": len(ids), "n_terms": n, "ids": pa.array([ids[i] for i in by_id], pa.int64()), "lengths": lengths, "terms": words.cast(pa.binary()),
+        "starts": np.searchsorted(code, np.arange(len(words) + 1)).astype(np.int32), "tf": tf, "bits": bits.ravel(), "ranks": ranks.ravel(), "bounds": bounds.ravel(),
     }
 
 
+def _shards(batches: Iterator[pa.RecordBatch], total: Totals, shard_bytes: int, shard_docs: int) -> Iterator[dict]:
+    ids, texts, held = [], [], 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()):
+            if text and ids and (held + len(text) > shard_bytes or len(ids) >= shard_docs):
+                yield build(ids, texts, total)
+                ids, texts, held = [], [], 0
+            if text:
+                ids.append(doc_id), texts.append(text)
+                held += len(text)
+    if ids:
+        yield build(ids, texts, total)
+
+
+def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+
 def index(docs: DataFrame, total: Totals, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """The shards, one row each, of all documents that have a term; built lazily, without a shuffle.
+    """The shards, one row each, of all documents that have a text; built lazily, without a shuffle.
 
     Documents are held by whole texts; null ids stay null, repeated rows are documents of their own, and other columns
-    are not read. Postings keep their occurrences, so a shard can be written, read again and searched by any query.
+    are not read. Postings keep their occurrences, so shards can be written, read again and searched by any query.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([
-            ("n_docs", pa.int64()), ("n_terms", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("terms", pa.list_(pa.binary())),
-            ("starts", pa.list_(pa.int32())), ("tf", pa.binary()), ("bits", pa.binary()), ("ranks", pa.binary()), ("bounds", pa.binary()),
-        ])
-        ids, texts, held = [], [], 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()):
-                if text and (held + len(text) > shard_bytes or len(ids) >= shard_docs) and ids:
-                    yield pa.RecordBatch.from_pylist([build(ids, texts, total)], schema)
-                    ids, texts, held = [], [], 0
-                if text:
-                    ids.append(doc_id), texts.append(text)
-                    held += len(text)
-        if ids:
-            yield pa.RecordBatch.from_pylist([build(ids, texts, total)], schema)
-
-    read = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return read.mapInArrow(run, SHARD)
+        for shard in _shards(batches, total, shard_bytes, shard_docs):
+            columns = []
+            for name, value in shard.items():
+                if name in BLOBS:
+                    columns.append(pa.array([value.tobytes()], pa.binary()))
+                elif name.startswith("n_"):
+                    columns.append(pa.array([value], pa.int64()))
+                else:
+                    items = pa.array(value) if isinstance(value, np.ndarray) else value
+                    columns.append(pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items))
+            yield pa.RecordBatch.from_arrays(columns, list(shard))
+
+    return _read(docs, id_col, text_col).mapInArrow(run, SHARD)
+
+
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The shards of index rows."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            held = {name: batch.column(name)[row] for name in batch.schema.names}
+            shard = {name: np.frombuffer(held[name].as_buffer(), kind) for name, kind in BLOBS.items()}
+            shard |= {name: held[name].as_py() for name in ("n_docs", "n_terms")} | {name: held[name].values for name in ("ids", "terms")}
+            yield shard | {name: held[name].values.to_numpy() for name in ("lengths", "starts")}
 
 
 class Tree:
-    """A shard as its row holds it."""
+    """A shard ready for searches."""
 
-    def __init__(self, row: dict, total: Totals):
-        self.n, self.height = row["n_terms"], _height(row["n_docs"])
+    def __init__(self, shard: dict, total: Totals):
+        self.n, self.height = shard["n_terms"], _height(shard["n_docs"])
         self.width = self.n // 64 + 1
-        self.terms, self.starts = row["terms"], np.asarray(row["starts"], np.int64)
-        self.ids = row["ids"]
-        self.damping = _damped(np.asarray(row["lengths"], np.int64), total)
-        self.tf = np.frombuffer(row["tf"], np.int64)
-        self.bits = np.frombuffer(row["bits"], np.uint64)
-        self.ranks = np.frombuffer(row["ranks"], np.int32)
-        self.bounds = np.frombuffer(row["bounds"], np.uint8)
+        self.terms, self.ids, self.starts = shard["terms"], shard["ids"], shard["starts"]
+        self.damping = _damped(shard["lengths"], total)
+        self.tf, self.bits, self.ranks, self.bounds = (shard[name] for name in BLOBS)
         # the first place of each document in the order of the leaves, which is where a node's range begins on every level
         held = np.zeros(1 << self.height, np.int64)
         leaf, count = self._leaves()
@@ -269,37 +302,43 @@ class Tree:
         held = left < right
         tf = self.tf[np.where(held, left, 0)]
         score = np.where(held, _impact(tf, self.damping[doc][:, None]), 0) @ weights
-        found = [(int(score[i]), self.ids[doc[i]]) for i in np.flatnonzero(score >= bar)]
+        found = [(int(score[i]), self.ids[int(doc[i])].as_py()) for i in np.flatnonzero(score >= bar)]
         return sorted(best + found, key=lambda x: (-x[0], x[1] is None, x[1] or 0))[:k] if found else best
 
 
-def _search(asked: list[list[tuple[bytes, int]]], total: Totals, k: int):
-    """The k best documents of a task's shards for each query: a list of (term, weight with repeats)."""
+def _asked(items: list[tuple[int | None, str | None]], total: Totals) -> list[list[tuple[bytes, int]]]:
+    """Each item's terms with their weights, repeats counted."""
+    return [[(term, times * total.weight(term)) for term, times in sorted(Counter(terms_of(text)).items())] for _, text in items]
+
+
+def _search(shards: Iterator[dict], asked: list[list[tuple[bytes, int]]], total: Totals, k: int) -> pa.RecordBatch:
+    """The k best documents of all the shards of a task for each query; one shard is held at a time."""
     terms = sorted({term for query in asked for term, _ in query})
     place = {term: i for i, term in enumerate(terms)}
     queries = [(np.array([place[t] for t, _ in q], np.int64), np.array([w for _, w in q], np.int64)) for q in asked]
     wanted = pa.array(terms, pa.binary())
+    best: list[list[tuple[int, int | None]]] = [[] for _ in queries]
+    for shard in shards:
+        tree = Tree(shard, total)
+        at = pc.index_in(wanted, tree.terms).fill_null(-1).to_numpy(zero_copy_only=False)
+        for q, (codes, weights) in enumerate(queries):
+            here = at[codes]
+            here, own = here[here >= 0], weights[here >= 0]
+            if len(here):
+                best[q] = tree.best(tree.starts[here].astype(np.int64), tree.starts[here + 1].astype(np.int64), own, k, best[q])
+    rows = [(q, doc_id, score) for q, found in enumerate(best) for score, doc_id in found]
+    kinds = {"query": pa.int32(), "doc_id": pa.int64(), "score": pa.int64()}
+    return pa.RecordBatch.from_pydict({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds.items())})
+
+
+def _best_of_all(found: DataFrame, items: list[tuple[int | None, str | None]], k: int) -> DataFrame:
+    order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
+    top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    names = found.sparkSession.createDataFrame([(i, item) for i, (item, _) in enumerate(items)], "query int, item_id long")
+    return top.join(F.broadcast(names), "query").select("item_id", "rank", "doc_id", "score")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[list[tuple[int, int]]] = [[] for _ in queries]
-        for batch in batches:
-            for row in range(batch.num_rows):
-                held = {name: batch.column(name)[row] for name in batch.schema.names}
-                words = held["terms"].values
-                shard = {name: (x.values.to_numpy(zero_copy_only=False) if name in ("lengths", "starts") else x.as_py()) for name, x in held.items() if name != "terms"}
-                tree = Tree(shard | {"terms": words}, total)
-                at = pc.index_in(wanted, words).fill_null(-1).to_numpy(zero_copy_only=False)
-                for q, (codes, weights) in enumerate(queries):
-                    here = at[codes]
-                    here, own = here[here >= 0], weights[here >= 0]
-                    if len(here):
-                        best[q] = tree.best(tree.starts[here], tree.starts[here + 1], own, k, best[q])
-        rows = [(q, doc_id, score) for q, found in enumerate(best) for score, doc_id in found]
-        yield pa.RecordBatch.from_pydict(
-            {"query": pa.array([r[0] for r in rows], pa.int32()), "doc_id": pa.array([r[1] for r in rows], pa.int64()), "score": pa.array([r[2] for r in rows], pa.int64())}
-        )
 
-    return run
+FOUND = "query int, doc_id long, score long"
 
 
 def search(shards: DataFrame, total: Totals, items: list[tuple[int | None, str | None]], k: int = 10) -> DataFrame:
@@ -308,14 +347,22 @@ def search(shards: DataFrame, total: Totals, items: list[tuple[int | None, str |
     total must hold the frequencies of the items' terms. Items without a term, or whose terms no document holds, get
     no rows.
     """
-    spark, asked = shards.sparkSession, []
-    for _, text in items:
-        asked.append([(term, times * total.weight(term)) for term, times in sorted(Counter(terms_of(text)).items())])
-    found = shards.mapInArrow(_search(asked, total, k), "query int, doc_id long, score long")
-    order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
-    top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    names = spark.createDataFrame([(i, item) for i, (item, _) in enumerate(items)], "query int, item_id long")
-    return top.join(F.broadcast(names), "query").select("item_id", "rank", "doc_id", "score")
+    asked = _asked(items, total)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield _search(_kept(batches), asked, total, k)
+
+    return _best_of_all(shards.mapInArrow(run, FOUND), items, k)
+
+
+def search_once(docs: DataFrame, total: Totals, items: list[tuple[int | None, str | None]], k: int, id_col: str, text_col: str, shard_bytes: int, shard_docs: int) -> DataFrame:
+    """What search() finds in index(): each shard is searched by the task that builds it and then let go."""
+    asked = _asked(items, total)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield _search(_shards(batches, total, shard_bytes, shard_docs), asked, total, k)
+
+    return _best_of_all(_read(docs, id_col, text_col).mapInArrow(run, FOUND), items, k)
 
 
 def ranked(
@@ -342,9 +389,9 @@ def ranked(
         total = totals(docs, (term for _, text in held for term in terms_of(text)), text_col)
         if not total.documents:
             break
-        if shards is None:
-            shards = index(docs, total, id_col, text_col, shard_bytes, shard_docs)
-            shards = written(shards) if blocks > 1 else shards
+        if blocks == 1:
+            return search_once(docs, total, held, k, id_col, text_col, shard_bytes, shard_docs)
+        shards = shards or written(index(docs, total, id_col, text_col, shard_bytes, shard_docs))
         found = search(shards, total, held, k)
         result = found if result is None else result.union(found)
     return result if result is not None else spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")

@@ -93,8 +93,8 @@ def test_tree_against_the_formula(texts, query, k):
     if not total.documents:
         return
     tree = lexical.Tree(lexical.build([i for i, _ in docs], [t.encode() for _, t in docs], total), total)
-    place = {t: i for i, t in enumerate(tree.terms)}
+    place = {t: i for i, t in enumerate(tree.terms.to_pylist())}
     asked = [(place[t], n * total.weight(t)) for t, n in Counter(q.encode() for q in query).items() if t in place]
     at, weights = np.array([a for a, _ in asked], np.int64), np.array([w for _, w in asked], np.int64)
-    best = tree.best(tree.starts[at], tree.starts[at + 1], weights, k, []) if len(at) else []
+    best = tree.best(tree.starts[at].astype(np.int64), tree.starts[at + 1].astype(np.int64), weights, k, []) if len(at) else []
     assert [(0, r, d, s) for r, (s, d) in enumerate(best, 1)] == sorted(brute(docs, [(0, " ".join(query))], k), key=lambda x: x[1])
