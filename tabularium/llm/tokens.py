@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import base64
 import json
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import tiktoken
 from tokenizers import Tokenizer
@@ -64,6 +64,18 @@ class Whole:
             return self._ranked.encode_ordinary(text)
         return self._tokenizer.encode(text, add_special_tokens=False).ids
 
+    def encode_plain(self, text: str) -> list[int]:
+        """Ids of the text with added tokens in it taken as plain text."""
+        if self._ranked and len(text) <= FAST_CHARS:
+            return self._ranked.encode_ordinary(text)
+        return self._plain().encode(text, add_special_tokens=False).ids
+
+    @cache
+    def _plain(self) -> Tokenizer:
+        made = Tokenizer.from_str(self._tokenizer.to_str())
+        made.encode_special_tokens = True
+        return made
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> tiktoken.Encoding | Whole:
