@@ -72,10 +72,10 @@ def rows_of(df):
 def test_hard_texts_equal_plain_pairs(spark, batch_bytes):
     docs = [(i, t[:400] if t else t) for i, t in enumerate(HARD)] + [(3, HARD[3]), (None, "the theory"), (None, None)]
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id long, text string, piece string, n_a int")
-    pairs, want = brute(docs)
+    counted, want = brute(docs)
     assert rows_of(alignment.align(df, A, B, batch_bytes=batch_bytes)) == want
-    assert {(r["a"], r["b"]): r["n"] for r in alignment.pairs(df, A, B, batch_bytes=batch_bytes).collect()} == dict(pairs)
-    assert len(pairs) <= alignment.pair_bound(A, B)
+    assert {(r["a"], r["b"]): r["n"] for r in alignment.pairs(df, A, B, batch_bytes=batch_bytes).collect()} == dict(counted)
+    assert len(counted) <= alignment.pair_bound(A, B)
 
 
 def test_long_texts_have_the_whole_texts_tokens(spark):
@@ -116,18 +116,24 @@ CHARACTERS = st.sampled_from([" ", "  ", "\n", "\t", " ", "　", " ", "\x85",
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.lists(CHARACTERS, max_size=14).map("".join), max_size=4))
-def test_pieces_give_the_whole_texts_tokens(texts):
+def test_pieces_give_what_whole_texts_give(texts):
     texts = [t for t in texts if t]
-    a, b = alignment.sides(A, B)
-    batch = alignment.Batch([t.encode() for t in texts])
     if not texts:
         return
-    batch.encode(a, b)
-    begins = [0, *batch.until[:-1]]
-    for text, start, stop in zip(texts, begins, batch.until):
-        both = tokens(text)
-        assert bool(batch.good[batch.piece[start:stop]].all()) == (both is not None)
-        if both:
-            for ids, counts, side in ((batch.ids_a, batch.n_a, both[0]), (batch.ids_b, batch.n_b, both[1])):
-                at = np.concatenate([[0], np.cumsum(counts)])
-                assert [int(i) for p in batch.piece[start:stop] for i in ids[at[p] : at[p + 1]]] == [t[0] for t in side]
+    known = alignment.Known(*alignment.sides(A, B), "end")
+    rows = alignment.aligned([t.encode() for t in texts], known)
+    for n, text in enumerate(texts):
+        [(_, n_a, n_b, n_groups, n_links, _, _, said)] = brute([(0, text)])[1]
+        assert (n_a, n_b, n_groups, n_links, said) == tuple(rows[name][n] for name in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256"))
+        assert dict(zip(rows["pairs"][n].tolist(), rows["times"][n].tolist())) == {a << 32 | b: k for (a, b), k in brute([(0, text)])[0].items()}
+
+
+def test_a_worker_forgets_and_starts_anew(monkeypatch):
+    texts = [f"word{i} other{i % 3} {'long' * (i % 4)}".encode() for i in range(40)]
+    sides = alignment.sides(A, B)
+    want = alignment.aligned(texts, alignment.Known(*sides, "end"))
+    monkeypatch.setattr(alignment, "KNOWN", 7)
+    known = alignment.Known(*sides, "end")
+    for n, text in enumerate(texts):
+        rows = alignment.aligned([text], known)
+        assert all(np.array_equal(rows[name][0], want[name][n]) for name in rows) and len(known.place) <= 7
