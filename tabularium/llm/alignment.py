@@ -41,9 +41,9 @@ from tabularium.llm.common import table, written
 from tabularium.llm.tokens import _bytes_of, encoder, public_vocabulary
 
 #: Bytes of text that are aligned at a time; a longer text is a batch by itself.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 1_000_000
 #: How many pieces, and bytes of pieces, a worker knows at most; beyond, it forgets all and starts anew.
-KNOWN, KNOWN_BYTES = 400_000, 16_000_000
+KNOWN, KNOWN_BYTES = 250_000, 5_000_000
 #: Fixed value: the character that stands for a space in sentence pieces.
 SPACE = "▁"
 
