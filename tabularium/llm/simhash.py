@@ -21,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import durable, table
+from tabularium.llm.common import carried, durable, restored, table
 from tabularium.llm.components import connected_components
 
 SEGMENTS, WIDTH = 8, 8
@@ -213,11 +213,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     key = lambda i, text: F.struct(i.isNull().alias("unknown"), i.alias("id"), F.xxhash64(text).alias("hash"))
     marked = docs.select(key(F.col(id_col), F.col(text_col)).alias("key"), fingerprint(F.col(text_col)).alias("print"))
     part = _rooted(durable(marked.groupBy("print").agg(F.min("key").alias("first"))), radius, chain)
-    stay = part.groupBy("root").agg(F.min("first").alias("_key")).select("_key")
-    rows = docs.withColumn("_key", key(F.col(id_col), F.col(text_col)))
-    rank = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    one = rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
-    return one.join(stay, "_key", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    stay = part.groupBy("root").agg(F.min("first").alias("key")).select("key")
+    rows = docs.select(carried(docs), key(F.col(id_col), F.col(text_col)).alias("key")).join(stay, "key", "left_semi")
+    return restored(rows.dropDuplicates(["key"]))  # combined before the shuffle, however often a row repeats
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

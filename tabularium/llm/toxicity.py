@@ -13,6 +13,7 @@ is covered some times over. Rare words that merely come along are left out.
 
 from __future__ import annotations
 
+import warnings
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabularium.llm.common import fold_of, table
@@ -141,16 +142,26 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 500, rate: float =
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 8000, sample_chars: int = 64_000_000) -> Model:
     """Learn from at most ``sample`` labelled rows of at most ``sample_chars`` characters together: those of smallest id hash.
 
-    Rows without an id or label are no examples; of several labels of an id the largest counts. Null texts are empty
-    ones, and repeated rows count once. Only the chosen ids' texts are read, each whole, and one task trains on them:
-    both bounds are those of its memory. Other columns are not read.
+    A text that would go beyond what is left of the characters is left out by itself, the next ones may still fit; if
+    none of the labelled texts fits, a warning is given and nothing is learned. Rows without an id or label are no examples; of several labels
+    of an id the largest counts. Null texts are empty ones, and repeated rows count once. Only the chosen ids' texts are
+    read, each whole, and one task trains on them: both bounds are those of its memory. Other columns are not read.
     """
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).alias("y"))
     marks = marks.orderBy(F.xxhash64("i"), "i").limit(sample)
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h")).join(F.broadcast(marks), "i")
     sizes = rows.select("i", "h", F.coalesce(F.length("t"), F.lit(0)).alias("n")).orderBy(F.xxhash64("i"), "h").limit(sample)
-    upto = F.sum("n").over(Window.orderBy(F.xxhash64("i"), "h").rowsBetween(Window.unboundedPreceding, 0))  # over sample rows at most
-    chosen = sizes.withColumn("upto", upto).where(F.col("upto") <= sample_chars).select("i", "h").distinct()
+    held, chosen, left_out = sample_chars, [], 0
+    for r in sizes.collect():  # at most ``sample`` rows of three numbers
+        if r["n"] <= held:
+            held -= r["n"]
+            chosen.append((r["i"], r["h"]))
+        else:
+            left_out += 1
+    if left_out and not chosen:
+        warnings.warn(f"none of the labelled texts has at most {sample_chars} characters; nothing is learned", stacklevel=2)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sizes.schema.fields[:2])
+    chosen = docs.sparkSession.createDataFrame(chosen, kinds).distinct()
     rows = rows.join(F.broadcast(chosen), ["i", "h"], "left_semi").select("i", "t", "y").dropDuplicates(["i", "t"])
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:

@@ -14,7 +14,7 @@ def docs_of(spark):
         if extra:
             from pyspark.sql import functions as F
 
-            names = ["copy", "row", "id", "key", "print", "score", "found", "Rate", "batch", "gram", "words", "bin", "count"]
+            names = ["copy", "row", "id", "key", "print", "score", "found", "Rate", "batch", "gram", "words", "bin", "count", "_key", "_rank"]
             df = df.select("*", *[F.lit(None if n == "row" else "x").cast("string").alias(n) for n in names])
         return df
 

@@ -2,6 +2,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tabularium.llm import toxicity
@@ -80,3 +81,16 @@ def test_no_labels(spark, docs_of, empty):
     one_kind = spark.createDataFrame([(1, 0), (2, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(docs_of([(1, "a text", "en", "a"), (2, "b", "en", "a")]), one_kind)
     assert toxicity.score_text("anything at all", model.weights, model.bias) < 0.01
+
+
+@pytest.mark.parametrize("place", [0, 100, 199])
+def test_a_too_long_text_is_left_out_by_itself(spark, docs_of, place):
+    """The model is that of the other rows, wherever the text beyond the bound stands in the sample's order."""
+    texts = [(i, f"you vile filth number {i}" if i % 2 else f"a calm and pleasant day number {i}", "en", "a") for i in range(200)]
+    order = [r["i"] for r in spark.range(200).toDF("i").orderBy(F.xxhash64("i"), "i").collect()]
+    rest = [t for t in texts if t[0] != order[place]]
+    long = [(i, "calm " * 5_000 if i == order[place] else t, g, s) for i, t, g, s in texts]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    assert toxicity.fit(docs_of(long), labels, sample_chars=20_000) == toxicity.fit(docs_of(rest), labels) and toxicity.fit(docs_of(rest), labels).weights
+    with pytest.warns(UserWarning):
+        assert toxicity.fit(docs_of(long), labels, sample_chars=3).weights == {}
