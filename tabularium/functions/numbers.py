@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabularium.functions.names import col
 from tabularium.functions.text import let
 
 # The marks that decorate amounts.
@@ -86,7 +87,7 @@ def parse_number(text: Column, dot3: str | Column = "miles", comma3: str | Colum
 def with_number(df: DataFrame, text: Column, to: str, dot3: str | Column = "miles", comma3: str | Column = "decimal") -> DataFrame:
     """df with parse_number(text) as ``to``: a projection for each step, all within generated code, each value computed once."""
     names = {x: f"_{to}_{x}" for x in ("value", "clean", "ok", "body", "commas", "dots")}
-    value, clean, ok, body, commas, dots = (F.col(f"`{n}`") for n in names.values())
+    value, clean, ok, body, commas, dots = (col(n) for n in names.values())
     out = df.withColumn(names["value"], _trimmed(text)).withColumn(names["clean"], _bare(value))
     out = out.withColumns({names["ok"]: clean.rlike(BARE), names["body"]: F.ltrim(clean, F.lit("-")), names["commas"]: _times(clean, ","), names["dots"]: _times(clean, ".")})
     sign = F.when(_in_parentheses(value) | clean.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
@@ -129,14 +130,14 @@ def decided(count: Column) -> Column:
 
 def conventions(df: DataFrame, column: str) -> DataFrame:
     """One row: dot3, comma3, and how many values are ambiguous; the whole column votes in one aggregate."""
-    votes = df.select(ballot(F.col(f"`{column}`")).alias("b")).agg(counted(F.col("b")).alias("v"))
+    votes = df.select(ballot(col(column)).alias("b")).agg(counted(F.col("b")).alias("v"))
     return votes.select(decided(F.col("v")).alias("d")).select("d.*")
 
 
 def parse_column(df: DataFrame, column: str, to: str) -> DataFrame:
     """df with ``to``, the column's numbers under its own conventions."""
     found = conventions(df, column).first()
-    return with_number(df, F.col(f"`{column}`"), to, found["dot3"], found["comma3"])
+    return with_number(df, col(column), to, found["dot3"], found["comma3"])
 
 
 def format_number(number: Column) -> Column:

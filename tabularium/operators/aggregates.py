@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabularium.durable import written
+from tabularium.functions.names import col, fresh
 from tabularium.functions.numbers import CURRENCIES, currency_marks, percent_change, ratio
 
 UNCLASSIFIED = "Sin clasificar"
@@ -116,7 +117,9 @@ def by_weekday(df: DataFrame, date: Column, amount: Column) -> DataFrame:
 def top_and_rest(df: DataFrame, group: Column, amount: Column, n: int, rest: str = "Otros") -> DataFrame:
     """df with ``group``: the n groups of largest sums keep their names, all others are the rest. The n names are bounded."""
     top = df.groupBy(group.alias("g")).agg(F.sum(amount).alias("s")).orderBy(F.desc("s"), "g").limit(n)
-    return df.withColumn("_g", group).join(F.broadcast(top.select(F.col("g").alias("_top"))), F.col("_g").eqNullSafe(F.col("_top")), "left").withColumn("group", F.coalesce("_top", F.lit(rest))).drop("_g", "_top")
+    own, name = fresh([*df.columns, "group"], "_g", "_top")
+    met = df.withColumn(own, group).join(F.broadcast(top.select(F.col("g").alias(name))), col(own).eqNullSafe(col(name)), "left")
+    return met.withColumn("group", F.coalesce(col(name), F.lit(rest))).drop(own, name)
 
 
 def month_matrix(df: DataFrame, date: Column, group: Column, amount: Column, n: int = 8) -> DataFrame:
@@ -176,7 +179,8 @@ def exact_quantiles(df: DataFrame, value: Column, shares: list[float], most: int
         return n, list(v.agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in shares]))).first()[0])
     ranks = {r for p in shares for r in (int((n - 1) * p), min(int((n - 1) * p) + 1, n - 1))}
     at = {r: _at_rank(v, r, most) for r in sorted(ranks)}
-    return n, [at[int(x)] + (x - int(x)) * (at[min(int(x) + 1, n - 1)] - at[int(x)]) for x in ((n - 1) * p for p in shares)]
+    between = lambda x: at[int(x)] if x == int(x) else at[int(x)] + (x - int(x)) * (at[int(x) + 1] - at[int(x)])
+    return n, [between((n - 1) * p) for p in shares]
 
 
 def _at_rank(v: DataFrame, rank: int, most: int, accuracy: int = 10_000) -> float:
@@ -215,11 +219,11 @@ def running_share(groups: DataFrame, name: str, value: str, parts: int = 64) ->
     ones end. So no task orders all groups. Only positive values take part. The groups are computed once, into a table
     of the shared folder.
     """
-    rows = written(groups.where(F.col(value) > 0))
+    rows = written(groups.where(col(value) > 0))
     cuts = rows.agg(F.percentile_approx(value, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(10_000)).alias("c")).first()["c"] or []
     part = F.lit(0)
     for cut in sorted(set(cuts)):
-        part = part + (F.col(value) < F.lit(cut)).cast("int")
+        part = part + (col(value) < F.lit(cut)).cast("int")
     rows = rows.withColumn("_part", part)
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"), F.sum(value).alias("_s"))
@@ -265,6 +269,6 @@ def currency_counts(df: DataFrame, text: Column) -> DataFrame:
 
 def mixed_currency(df: DataFrame, *columns: str) -> bool:
     """Whether several currencies are named; mixed amounts must not be summed."""
-    marks = [F.coalesce(currency_marks(F.col(c)), F.array().cast("array<string>")) for c in columns]
+    marks = [F.coalesce(currency_marks(col(c)), F.array().cast("array<string>")) for c in columns]
     found = df.select(F.explode(F.array_distinct(F.concat(*marks))).alias("c")).distinct()
     return found.limit(len(CURRENCIES)).count() > 1

@@ -9,6 +9,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabularium.functions.names import col
 from tabularium.functions.roles import candidate_keys, detect_roles, find_column, is_unit_cost, sheet_kind, spaced
 from tabularium.functions.text import relation_key
 from tabularium.operators.aggregates import currency_counts
@@ -78,7 +79,7 @@ def _columns(df: DataFrame) -> list[str]:
 
 
 def _key(names: list[str]) -> Column:
-    parts = [relation_key(F.col(f"`{n}`").cast("string")) for n in names]
+    parts = [relation_key(col(n).cast("string")) for n in names]
     known = parts[0].isNotNull()
     for part in parts[1:]:
         known = known & part.isNotNull()
@@ -113,7 +114,7 @@ def currencies(df: DataFrame) -> set[str]:
     money = [roles[r] for r in ("monto", "costo") if r in roles and dict(df.dtypes)[roles[r]] == "string"]
     if not money:
         return set()
-    texts = df.select(F.explode(F.array(*[F.col(f"`{c}`") for c in money])).alias("t")).where("t IS NOT NULL")
+    texts = df.select(F.explode(F.array(*[col(c) for c in money])).alias("t")).where("t IS NOT NULL")
     return {r["currency"] for r in currency_counts(texts, F.col("t")).collect()}
 
 
@@ -132,7 +133,7 @@ def _by_date(left: DataFrame, right: DataFrame) -> tuple[list[str], list[str], R
     a, b = _product(left), _product(right)
     if not a or not b:
         return None
-    found = RelationStats(**relation_stats(left, _key([a]), right.select(f"`{b}`").distinct(), _key([b])).first().asDict())
+    found = RelationStats(**relation_stats(left, _key([a]), right.select(col(b)).distinct(), _key([b])).first().asDict())
     return [a], [b], replace(found, cardinality="many_to_one_by_date", safe=True)
 
 

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabularium.functions.names import col
 from tabularium.functions.roles import spaced
 from tabularium.functions.text import code, norm_key
 from tabularium.operators.labels import codebook, derive, recode
@@ -63,7 +64,7 @@ def stable_hash(payload: object) -> str:
 
 
 def clean_key(column: str):
-    return F.coalesce(F.trim(F.col(column).cast("string")), F.lit(""))
+    return F.coalesce(F.trim(col(column).cast("string")), F.lit(""))
 
 
 def enrich(primary: DataFrame, supplement: Supplement) -> tuple[DataFrame, dict[str, str]]:
@@ -89,14 +90,14 @@ def consolidate(primary: DataFrame, supplements: list[Supplement], equivalences:
         out, names = enrich(out, s)
         keys = s.frame.groupBy(*[clean_key(c) for c in s.keys.values()]).agg(F.count("*").alias("n"))
         checks.append(keys.where("n > 1").agg(F.lit(s.name).alias("source"), F.lit("ambiguous_keys").alias("check"), F.count("*").alias("rows")))
-        empty = F.coalesce(*[F.col(n).cast("string") for n in names.values()]).isNull()
+        empty = F.coalesce(*[col(n).cast("string") for n in names.values()]).isNull()
         checks.append(out.agg(F.lit(s.name).alias("source"), F.lit("unmatched_rows").alias("check"), F.count(F.when(empty, 1)).alias("rows")))
     for e in equivalences:
         out = recode(out, e.column, codebook(e.frame, e.code, e.label), f"{e.column}_label")
-        status = F.col(f"{e.column}_label_status")
+        status = col(f"{e.column}_label_status")
         checks.append(out.agg(F.lit(e.column).alias("source"), F.lit("codes_without_label").alias("check"), F.count(F.when(status.isin("unmapped", "conflict"), 1)).alias("rows")))
     for name, (column, operation, operand) in (derivations or {}).items():
-        out = out.withColumn(name, derive(F.col(column), operation, operand))
+        out = out.withColumn(name, derive(col(column), operation, operand))
     report = primary.agg(F.lit("primary").alias("source"), F.lit("rows").alias("check"), F.count("*").alias("rows"))
     for check in checks:
         report = report.union(check)
@@ -106,22 +107,22 @@ def consolidate(primary: DataFrame, supplements: list[Supplement], equivalences:
 
 def keys_seen_once(frame: DataFrame, key: str, authority: DataFrame, authority_key: str) -> DataFrame:
     """Rows of frame whose key the authority knows and that stand there once."""
-    known = frame.join(authority.select(F.col(authority_key).alias("_k")).distinct(), F.col(key) == F.col("_k"), "left_semi")
-    once = known.groupBy(key).agg(F.count("*").alias("_n")).where("_n = 1").select(F.col(key).alias("_k"))
-    return known.join(once, F.col(key) == F.col("_k"), "left_semi")
+    known = frame.join(authority.select(col(authority_key).alias("_k")).distinct(), col(key) == F.col("_k"), "left_semi")
+    once = known.groupBy(key).agg(F.count("*").alias("_n")).where("_n = 1").select(col(key).alias("_k"))
+    return known.join(once, col(key) == F.col("_k"), "left_semi")
 
 
 def null_reasons(frame: DataFrame, columns: list[str], reasons: dict[str, str]) -> DataFrame:
     """(column, nulls, reason) of the columns that have nulls."""
-    wide = frame.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in columns])
+    wide = frame.agg(*[F.count(F.when(col(c).isNull(), 1)).alias(c) for c in columns])
     known = F.create_map(*[F.lit(x) for p in (reasons or {"": ""}).items() for x in p])
     return wide.unpivot([], columns, "column", "nulls").where("nulls > 0").withColumn("reason", F.coalesce(F.try_element_at(known, F.col("column")), F.lit("sin_clasificar")))
 
 
 def cohort_ids(frame: DataFrame, ids: str, cohort: str, to: str = "cohort_id") -> DataFrame:
     """frame with cohort:id, which must be there and differ in every row."""
-    out = frame.withColumn(to, F.concat_ws(":", F.lit(cohort), F.nullif(F.trim(F.col(ids).cast("string")), F.lit(""))))
-    bad = frame.groupBy(F.trim(F.col(ids).cast("string")).alias("k")).count().where("k IS NULL OR k = '' OR count > 1")
+    out = frame.withColumn(to, F.concat_ws(":", F.lit(cohort), F.nullif(F.trim(col(ids).cast("string")), F.lit(""))))
+    bad = frame.groupBy(F.trim(col(ids).cast("string")).alias("k")).count().where("k IS NULL OR k = '' OR count > 1")
     if bad.limit(1).count():
         raise ValueError("ids of a cohort must be there and be unique")
     return out
@@ -143,14 +144,14 @@ def target_columns(template: list[str], required: tuple[str, ...] = ()) -> list[
 def shaped(df: DataFrame, columns: list[str], numbers: set[str]) -> DataFrame:
     """df in the template's columns and order: numbers as doubles (null where they are none), others as text; absent ones null."""
     have = set(df.columns)
-    cell = lambda c: F.col(f"`{c}`") if c in have else F.lit(None).cast("string")
+    cell = lambda c: col(c) if c in have else F.lit(None).cast("string")
     return df.select(*[(cell(c).cast("string").try_cast("double") if c in numbers else cell(c).cast("string")).alias(c) for c in columns])
 
 
 def contract_issues(annual: DataFrame, expected_rows: int, columns: list[str], key: str, cohort_column: str, cohort: int) -> DataFrame:
     """(code, rows) of what a year's result breaks: its rows, its columns, repeated keys, other cohorts."""
-    number = F.col(cohort_column).cast("string").try_cast("double")
-    by_key = annual.groupBy(F.trim(F.col(key).cast("string")).alias("k")).agg(F.count("*").alias("n"), F.count(F.when(number == cohort, 1)).alias("good"))
+    number = col(cohort_column).cast("string").try_cast("double")
+    by_key = annual.groupBy(F.trim(col(key).cast("string")).alias("k")).agg(F.count("*").alias("n"), F.count(F.when(number == cohort, 1)).alias("good"))
     s = by_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated"), F.coalesce(F.sum(F.col("n") - F.col("good")), F.lit(0)).alias("other"))
     found = [
         ("row_count_changed", F.abs(F.col("rows") - expected_rows)), ("target_schema_mismatch", F.lit(int(annual.columns != list(columns)))), ("duplicate_key", F.col("repeated")), ("invalid_cohort", F.col("other")),
@@ -170,7 +171,7 @@ def inline_codebook(rows: DataFrame, variable: str, variable_column: str, detail
 
     A variable's section ends where the next one starts; sections are found by filling names down.
     """
-    known = rows.select(F.col(row).alias("_r"), F.nullif(F.trim(F.col(variable_column)), F.lit("")).alias("_v"), F.col(detail_column).alias("_d"))
+    known = rows.select(col(row).alias("_r"), F.nullif(F.trim(col(variable_column)), F.lit("")).alias("_v"), col(detail_column).alias("_d"))
     filled = fill_down(known, "_v", "_r").where(norm_key(F.col("_v")) == norm_key(F.lit(variable)))
     pattern = r"^\s*([^\s.)-]+)\s*[.)-]\s*(.+?)\s*$"
     listed = filled.where(F.col("_d").rlike(pattern)).select(code(F.regexp_extract("_d", pattern, 1)).alias("code"), F.regexp_extract("_d", pattern, 2).alias("label"))
@@ -203,7 +204,7 @@ def looks_like_codes(df: DataFrame) -> bool:
     says = lambda words: any(any(w in norm(c) for w in words) for c in own)
     if not (says(("cod", "id", "clave")) and says(("desc", "nombre", "label", "detalle"))):
         return False
-    seen = df.agg(F.count("*").alias("n"), *[F.count_distinct(f"`{c}`").alias(f"d{i}") for i, c in enumerate(own)]).first()
+    seen = df.agg(F.count("*").alias("n"), *[F.count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(own)]).first()
     return seen["n"] > 0 and max(seen["d0"], seen["d1"]) >= 0.9 * seen["n"]
 
 

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabularium.functions.names import col
 from tabularium.functions.numbers import ratio
 from tabularium.functions.roles import detect_roles, find_column
 from tabularium.functions.text import relation_key
@@ -47,7 +48,7 @@ class _Roles:
 
 
 def _keyed(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.select("*", *[relation_key(F.col(f"`{n}`").cast("string")).alias(f"_k{i}") for i, n in enumerate(names)])
+    return df.select("*", *[relation_key(col(n).cast("string")).alias(f"_k{i}") for i, n in enumerate(names)])
 
 
 def facts_of(sheets: dict[str, DataFrame], relation: Related) -> DataFrame:
@@ -69,19 +70,19 @@ def related(sheets: dict[str, DataFrame], relation: Related) -> DataFrame:
 
 
 def _by_date(left: DataFrame, right: DataFrame, date: str, since: str, cost: str) -> DataFrame:
-    out = asof_join(left, right.select(F.col("_k0"), F.col(f"`{since}`").alias(date), F.col(f"`{cost}`").alias("_cost")), "_k0", date, date, "_cost", cost)
-    return out.withColumn("_matched", F.col(f"`{cost}`").isNotNull())
+    out = asof_join(left, right.select(F.col("_k0"), col(since).alias(date), col(cost).alias("_cost")), "_k0", date, date, "_cost", cost)
+    return out.withColumn("_matched", col(cost).isNotNull())
 
 
 def _roles(rows: DataFrame, left: list[str], relation: Related) -> _Roles:
     own, all_ = detect_roles([c for c in left if not c.startswith("_")]), detect_roles([c for c in rows.columns if not c.startswith("_")])
-    col = lambda name: F.col(f"`{name}`") if name else None
-    amount, quantity, cost = col(own.get("monto")), col(own.get("cantidad")), all_.get("costo")
+    known = lambda name: col(name) if name else None
+    amount, quantity, cost = known(own.get("monto")), known(own.get("cantidad")), all_.get("costo")
     unit = cost and find_column([cost], ("unit",))
     price = F.when(col(cost) > 0, col(cost)) if cost else None
     names = find_column(rows.columns, ("nombre", "producto")) or find_column(rows.columns, ("nombre",)) or all_.get("producto")
     key = F.col("_k0")
-    return _Roles(amount, quantity, price * quantity if unit and quantity is not None else price, key, F.coalesce(col(names), key) if names else key, col(all_.get("categoria")), col(own.get("fecha")))
+    return _Roles(amount, quantity, price * quantity if unit and quantity is not None else price, key, F.coalesce(col(names), key) if names else key, known(all_.get("categoria")), known(own.get("fecha")))
 
 
 def _figures(row: DataFrame, made: dict[str, Column], text: dict[str, Column] | None = None) -> DataFrame:
@@ -111,7 +112,7 @@ def _products(rows: DataFrame, r: _Roles) -> DataFrame:
 
 
 def _top_sum(groups: DataFrame, value: str = "amount") -> DataFrame:
-    best = groups.where(F.col(value).isNotNull() & F.col("label").isNotNull()).orderBy(F.desc(value), "label").limit(TOP)  # TOP rows
+    best = groups.where(col(value).isNotNull() & F.col("label").isNotNull()).orderBy(F.desc(value), "label").limit(TOP)  # TOP rows
     return best.agg(F.sum(value).cast("double").alias("top"))
 
 
@@ -130,7 +131,7 @@ def _whole(products: DataFrame) -> DataFrame:
 
 
 def _ranking(groups: DataFrame, value: str = "amount", label: str = "label") -> DataFrame:
-    summed = groups.groupBy(F.col(label).alias("label")).agg(F.sum(value).cast("double").alias("value")).where("label IS NOT NULL AND value IS NOT NULL")
+    summed = groups.groupBy(col(label).alias("label")).agg(F.sum(value).cast("double").alias("value")).where("label IS NOT NULL AND value IS NOT NULL")
     return summed.orderBy(F.desc("value"), "label").limit(TOP)
 
 
@@ -183,9 +184,9 @@ def inventory_dashboard(facts: DataFrame, left_key: str, stock: DataFrame, right
     on_hand = find_column(stock.columns, ("stock",)) or held["cantidad"]
     date = find_column(stock.columns, ("fecha",))
     cut = latest_cut(stock, date, until) if date else stock
-    key = lambda name: relation_key(F.col(f"`{name}`").cast("string"))
-    stocked = cut.where(key(right_key).isNotNull()).groupBy(key(right_key).alias("key")).agg(F.sum(F.col(f"`{on_hand}`")).alias("stock"))
-    day, units, amount = F.col(f"`{roles['fecha']}`"), F.col(f"`{roles['cantidad']}`"), F.col(f"`{roles['monto']}`")
+    key = lambda name: relation_key(col(name).cast("string"))
+    stocked = cut.where(key(right_key).isNotNull()).groupBy(key(right_key).alias("key")).agg(F.sum(col(on_hand)).alias("stock"))
+    day, units, amount = col(roles['fecha']), col(roles['cantidad']), col(roles['monto'])
     total = facts.agg(F.sum(amount).cast("double").alias("amount"), F.sum(units).cast("double").alias("units"), (F.datediff(F.max(day), F.min(day)) + 1).alias("days"))
     sold = facts.where(key(left_key).isNotNull()).groupBy(key(left_key).alias("_k")).agg(F.sum(units).alias("sold"))
     rows = stocked.join(sold, F.col("key") == F.col("_k"), "left").drop("_k").withColumn("sold", F.coalesce("sold", F.lit(0)).cast("double")).join(F.broadcast(total.select("days")))  # one row
@@ -197,7 +198,7 @@ def inventory_dashboard(facts: DataFrame, left_key: str, stock: DataFrame, right
     enough = F.greatest(F.lit(1), F.floor(F.col("n") / 5))
     level = F.when(F.col("n") == 0, None)
     for name in ("critico", "alto", "medio"):
-        level = level.when(F.col(name) >= enough, name)
+        level = level.when(col(name) >= enough, name)
     c = F.col
     made = {"ventas": c("amount"), "unidades": c("units"), "stock": c("stock"), "cobertura": c("cover"), "riesgo": c("risky")}
     ranking = rows.where("cover_days IS NOT NULL").select(F.col("key").alias("label"), F.col("cover_days").alias("value")).orderBy("value", "label").limit(TOP)

@@ -7,6 +7,8 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabularium.functions.names import col, cols, fresh
+
 #: Shares of matched rows and keys that a safe relation needs.
 LEAST_COVERAGE = LEAST_OVERLAP = 0.60
 
@@ -36,10 +38,10 @@ class RelationStats:
 
 def struct_key(*columns: str) -> Column:
     """One column of key parts, null if any of them is."""
-    complete = F.col(columns[0]).isNotNull()
+    complete = col(columns[0]).isNotNull()
     for c in columns[1:]:
-        complete = complete & F.col(c).isNotNull()
-    return F.when(complete, F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(columns)]))
+        complete = complete & col(c).isNotNull()
+    return F.when(complete, F.struct(*[col(c).alias(f"k{i}") for i, c in enumerate(columns)]))
 
 
 def relation_stats(left: DataFrame, left_key: Column, right: DataFrame, right_key: Column) -> DataFrame:
@@ -66,7 +68,7 @@ def relation_stats(left: DataFrame, left_key: Column, right: DataFrame, right_ke
         F.count(F.when(hasl & (n > 1), 1)).alias("left_repeated_keys"),
         F.coalesce(F.sum(F.when(hasl & hasr, n * m).otherwise(n)), F.lit(0)).cast("long").alias("projected_rows"),
     )
-    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    share = lambda a, b: F.when(col(b) > 0, col(a) / col(b))
     fewer = F.least("left_keys", "right_keys")
     s = s.withColumns(
         {
@@ -101,25 +103,27 @@ def safe_left_join(left: DataFrame, right: DataFrame, left_keys: list[str], righ
     taken = {c.lower() for c in left.columns}
     brought = [c for c in right.columns if c not in right_keys and c not in leave_out]
     renamed = {c: f"{c}_{suffix}" if c.lower() in taken else c for c in brought}
-    side = right.select(struct_key(*right_keys).alias("_right_key"), *[F.col(c).alias(n) for c, n in renamed.items()])
-    return left.withColumn("_left_key", struct_key(*left_keys)).join(side, F.col("_left_key") == F.col("_right_key"), "left").drop("_left_key", "_right_key")
+    own, other = fresh([*left.columns, *renamed.values()], "_left_key", "_right_key")
+    side = right.select(struct_key(*right_keys).alias(other), *[col(c).alias(n) for c, n in renamed.items()])
+    return left.withColumn(own, struct_key(*left_keys)).join(side, col(own) == col(other), "left").drop(own, other)
 
 
 def unique_reference(reference: DataFrame, key: str, values: list[str]) -> DataFrame:
     """One row per key with its values; keys whose rows disagree are left out, null keys too."""
-    known = reference.where(F.col(key).isNotNull()).groupBy(key).agg(F.count_distinct(_content(values)).alias("_variants"), *[F.first(v).alias(v) for v in values])
-    return known.where("_variants = 1").drop("_variants")
+    (variants,) = fresh([key, *values], "_variants")
+    known = reference.where(col(key).isNotNull()).groupBy(col(key)).agg(F.count_distinct(_content(values)).alias(variants), *[F.first(col(v)).alias(v) for v in values])
+    return known.where(col(variants) == 1).drop(variants)
 
 
 def _content(values: list[str]) -> Column:
     """One comparable value of several columns, nulls included."""
-    return F.struct(*[F.coalesce(F.col(v).cast("string"), F.lit("\0")).alias(v) for v in values])
+    return F.struct(*[F.coalesce(col(v).cast("string"), F.lit("\0")).alias(v) for v in values])
 
 
 def reference_quality(reference: DataFrame, key: str, values: list[str]) -> DataFrame:
     """One row: keys, keys with repeated rows, keys whose repeated rows conflict, rows without a key."""
     by_key = reference.groupBy(key).agg(F.count("*").alias("n"), F.count_distinct(_content(values)).alias("variants"))
-    known = F.col(key).isNotNull()
+    known = col(key).isNotNull()
     return by_key.agg(
         F.count(F.when(known, 1)).alias("keys"),
         F.count(F.when(known & (F.col("n") > 1), 1)).alias("repeated_keys"),
@@ -130,14 +134,15 @@ def reference_quality(reference: DataFrame, key: str, values: list[str]) -> Data
 
 def lookup(source: DataFrame, source_key: str, reference: DataFrame, reference_key: str, value: str, to: str) -> DataFrame:
     """source with the value of its key as ``to``; keys with conflicting values give null."""
-    known = unique_reference(reference, reference_key, [value]).select(F.col(reference_key).alias("_key"), F.col(value).alias(to))
-    return source.join(known, F.col(source_key) == F.col("_key"), "left").drop("_key")
+    (key,) = fresh([*source.columns, to], "_key")
+    known = unique_reference(reference, reference_key, [value]).select(col(reference_key).alias(key), col(value).alias(to))
+    return source.join(known, col(source_key) == col(key), "left").drop(key)
 
 
 def referential_integrity(source: DataFrame, key: str, reference: DataFrame, reference_key: str, relation: str, examples: int = 5) -> DataFrame:
     """One row: relation, rows, valid, orphans, without_key, coverage_pct, example keys of orphans (the smallest)."""
-    counted = source.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"))
-    known = reference.where(F.col(reference_key).isNotNull()).select(F.col(reference_key).alias("r")).distinct()
+    counted = source.groupBy(col(key).alias("k")).agg(F.count("*").alias("n"))
+    known = reference.where(col(reference_key).isNotNull()).select(col(reference_key).alias("r")).distinct()
     rows = counted.join(known, F.col("k") == F.col("r"), "left")
     orphan = F.col("k").isNotNull() & F.col("r").isNull()
     total = lambda when: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0)).cast("long")
@@ -151,8 +156,8 @@ def referential_integrity(source: DataFrame, key: str, reference: DataFrame, ref
 
 def attribute_consistency(source: DataFrame, key: str, attribute: str, reference: DataFrame, reference_key: str, reference_attribute: str) -> DataFrame:
     """One row: rows whose key is found and both attributes present, and how many of them differ."""
-    known = unique_reference(reference, reference_key, [reference_attribute]).select(F.col(reference_key).alias("r"), F.col(reference_attribute).alias("x"))
-    pairs = source.groupBy(F.col(key).alias("k"), F.col(attribute).alias("a")).agg(F.count("*").alias("n")).join(known, F.col("k") == F.col("r"))
+    known = unique_reference(reference, reference_key, [reference_attribute]).select(col(reference_key).alias("r"), col(reference_attribute).alias("x"))
+    pairs = source.groupBy(col(key).alias("k"), col(attribute).alias("a")).agg(F.count("*").alias("n")).join(known, F.col("k") == F.col("r"))
     both = F.col("a").isNotNull() & F.col("x").isNotNull()
     total = lambda when: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0)).cast("long")
     return pairs.agg(total(both).alias("compared"), total(both & (F.col("a") != F.col("x"))).alias("different"))
@@ -165,10 +170,10 @@ def asof_join(facts: DataFrame, history: DataFrame, key: str, date: str, history
     Rows are windowed by key and period, and each period starts from the last value before it, so a key with very
     many rows is spread over its periods. Rows without key or date are set aside, and get no value.
     """
-    known = history.where(F.col(value).isNotNull() & F.col(history_date).isNotNull() & F.col(key).isNotNull())
-    known = known.groupBy(F.col(key).alias("k"), F.col(history_date).alias("d")).agg(F.min(value).alias("v"), F.max(value).alias("v2")).where("v = v2")
+    known = history.where(col(value).isNotNull() & col(history_date).isNotNull() & col(key).isNotNull())
+    known = known.groupBy(col(key).alias("k"), col(history_date).alias("d")).agg(F.min(value).alias("v"), F.max(value).alias("v2")).where("v = v2")
     known = known.select("k", "d", F.date_trunc(grain, "d").alias("p"), F.struct(F.col("v"), F.col("d").alias("since")).alias("h"))
-    whole = facts.select(F.struct("*").alias("row"), F.col(key).alias("k"), F.col(date).alias("d")).withColumn("p", F.date_trunc(grain, "d"))
+    whole = facts.select(F.struct("*").alias("row"), col(key).alias("k"), col(date).alias("d")).withColumn("p", F.date_trunc(grain, "d"))
     rows = whole.where("k IS NOT NULL AND d IS NOT NULL")
     absent = F.lit(None).cast(known.schema["h"].dataType)
     side = known.select(F.lit(None).cast(rows.schema["row"].dataType).alias("row"), "k", "d", "p", "h", F.lit(0).alias("side"))
@@ -193,31 +198,33 @@ def interval_join(facts: DataFrame, intervals: DataFrame, key: str, date: str, i
     Intervals are cut into the periods they touch, so that key and period are an equality that Spark can hash, and
     only rows of the same key and period are compared. Overlapping intervals raise UnsafeJoin.
     """
-    ends = intervals.where(F.col(interval_key).isNotNull()).select(F.col(interval_key).alias("_ik"), F.col(since).alias("_a"), F.col(until).alias("_b"), *values)
-    following = Window.partitionBy("_ik").orderBy("_a", "_b")
-    if ends.withColumn("_next", F.lead("_a").over(following)).where("_next <= _b").limit(1).count():
+    k, a, b, ip, p, after = fresh([*facts.columns, *values], "_ik", "_a", "_b", "_ip", "_p", "_next")
+    ends = intervals.where(col(interval_key).isNotNull()).select(col(interval_key).alias(k), col(since).alias(a), col(until).alias(b), *cols(*values))
+    following = Window.partitionBy(k).orderBy(a, b)
+    if ends.withColumn(after, F.lead(a).over(following)).where(col(after) <= col(b)).limit(1).count():
         raise UnsafeJoin("intervals of one key overlap")
-    periods = F.sequence(F.date_trunc(grain, "_a").cast("date"), F.date_trunc(grain, "_b").cast("date"), F.expr(f"interval 1 {grain}"))
-    cut = ends.where("_a <= _b").withColumn("_ip", F.explode(periods))
-    rows = facts.withColumn("_p", F.date_trunc(grain, date).cast("date"))
-    met = rows.join(cut, (F.col(key) == F.col("_ik")) & (F.col("_p") == F.col("_ip")) & F.col(date).between(F.col("_a"), F.col("_b")))
-    return met.drop("_ik", "_a", "_b", "_ip", "_p")
+    periods = F.sequence(F.date_trunc(grain, a).cast("date"), F.date_trunc(grain, b).cast("date"), F.expr(f"interval 1 {grain}"))
+    cut = ends.where(col(a) <= col(b)).withColumn(ip, F.explode(periods))
+    rows = facts.withColumn(p, F.date_trunc(grain, col(date)).cast("date"))
+    met = rows.join(cut, (col(key) == col(k)) & (col(p) == col(ip)) & col(date).between(col(a), col(b)))
+    return met.drop(k, a, b, ip, p)
 
 
 def net_returns(sales: DataFrame, key: str, amount: str, quantity: str, returns: DataFrame, return_key: str, return_amount: str, return_quantity: str) -> DataFrame:
     """sales with returned and net amounts and quantities; returns are summed by sale before they meet it."""
-    back = returns.groupBy(F.col(return_key).alias("_k")).agg(F.sum(return_amount).alias("returned_amount"), F.sum(return_quantity).alias("returned_quantity"))
-    out = sales.join(back, F.col(key) == F.col("_k"), "left").drop("_k")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    (k,) = fresh([*sales.columns, "returned_amount", "returned_quantity"], "_k")
+    back = returns.groupBy(col(return_key).alias(k)).agg(F.sum(col(return_amount)).alias("returned_amount"), F.sum(col(return_quantity)).alias("returned_quantity"))
+    out = sales.join(back, col(key) == col(k), "left").drop(k)
+    zero = lambda c: F.coalesce(col(c), F.lit(0))
     return out.withColumns(
-        {"returned_amount": zero("returned_amount"), "returned_quantity": zero("returned_quantity"), "net_amount": F.col(amount) - zero("returned_amount"), "net_quantity": F.col(quantity) - zero("returned_quantity")}
+        {"returned_amount": zero("returned_amount"), "returned_quantity": zero("returned_quantity"), "net_amount": col(amount) - zero("returned_amount"), "net_quantity": col(quantity) - zero("returned_quantity")}
     )
 
 
 def goals_vs_actual(goals: DataFrame, actuals: DataFrame, on: list[str], goal: str, actual: str) -> DataFrame:
     """Each goal with its actual amount (0 without any), the share reached in percent and whether it was met."""
-    summed = actuals.groupBy(*on).agg(F.sum(actual).alias("actual"))
-    rows = goals.groupBy(*on).agg(F.sum(goal).alias("goal")).join(summed, on, "left").withColumn("actual", F.coalesce("actual", F.lit(0)))
+    summed = actuals.groupBy(*cols(*on)).agg(F.sum(col(actual)).alias("actual"))
+    rows = goals.groupBy(*cols(*on)).agg(F.sum(col(goal)).alias("goal")).join(summed, on, "left").withColumn("actual", F.coalesce("actual", F.lit(0)))
     return rows.withColumn("reached_pct", F.when(F.col("goal") > 0, F.col("actual") / F.col("goal") * 100)).withColumn("met", F.col("actual") >= F.col("goal"))
 
 
@@ -227,12 +234,12 @@ def resolve_unique(candidates: DataFrame, key: str, signature: list[str], prefer
     A key with one distinct signature is unique; else, if one distinct signature is among the preferred rows, that one.
     """
     better = F.coalesce(preferred, F.lit(False)) if preferred is not None else F.lit(False)
-    content = F.struct(*[F.col(c) for c in signature])
-    keys = candidates.where(F.col(key).isNotNull()).groupBy(key).agg(
+    content = F.struct(*[col(c) for c in signature])
+    keys = candidates.where(col(key).isNotNull()).groupBy(col(key)).agg(
         F.count_distinct(_content(signature)).alias("n"), F.count_distinct(F.when(better, _content(signature))).alias("np"),
         F.first(content).alias("any"), F.first(F.when(better, content), ignorenulls=True).alias("best"),
     )
     chosen = F.when(F.col("n") == 1, F.col("any")).when(F.col("np") == 1, F.col("best"))
     status = F.when(F.col("n") == 1, "unique").when(F.col("np") == 1, "preferred").otherwise("ambiguous")
-    out = keys.select(key, status.alias("status"), chosen.alias("x"))
-    return out.select(key, "status", *[F.col("x")[c].alias(c) for c in signature])
+    out = keys.select(col(key), status.alias("status"), chosen.alias("x"))
+    return out.select(col(key), "status", *[F.col("x")[c].alias(c) for c in signature])

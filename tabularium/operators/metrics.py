@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabularium.functions.dates import within
+from tabularium.functions.names import col
 from tabularium.functions.profiles import is_catalogue, is_sales, other_kind
 from tabularium.functions.roles import candidate_keys, sheet_kind, spaced
 from tabularium.functions.text import norm_key, plain, relation_key
@@ -57,7 +58,7 @@ def build(sheets: dict[str, DataFrame], scope: Scope) -> DataFrame:
 def columns_of(done: Standardized) -> dict[str, Column]:
     """The typed column of each role."""
     suffix = {"numero": "__num", "fecha": "__date"}
-    return {role: F.col(f"`{c}{suffix.get(done.types[c].kind, '')}`") for role, c in done.roles.items()}
+    return {role: col(f"{c}{suffix.get(done.types[c].kind, '')}") for role, c in done.roles.items()}
 
 
 def counting_rows(done: Standardized, since: str | None = None, until: str | None = None, filters: dict[str, str] | None = None) -> DataFrame:
@@ -66,11 +67,11 @@ def counting_rows(done: Standardized, since: str | None = None, until: str | Non
     An unknown dimension in filters leaves no rows. Rows stay in the base; this is a view of them.
     """
     roles, frame = columns_of(done), done.frame
-    raw = frame.select(*[f"`{c}`" for c in done.types])
+    raw = frame.select(*[col(c) for c in done.types])
     keep = ~structural_total(raw, roles.get("fecha"))
     status = next((c for c in done.types if spaced(c).split()[:1] == ["estado"]), None)
     if status:
-        keep = keep & ~F.coalesce(plain(F.col(f"`{status}`")).rlike(CANCELLED), F.lit(False))
+        keep = keep & ~F.coalesce(plain(col(status)).rlike(CANCELLED), F.lit(False))
     if "fecha" in roles:
         keep = keep & within(roles["fecha"], since, until)
     for role, wanted in (filters or {}).items():
@@ -102,7 +103,7 @@ def compute(done: Standardized, since: str | None = None, until: str | None = No
     if not is_sales(columns, done.roles):
         return Metrics(profile="catalogo" if is_catalogue(columns, done.roles) else other_kind(columns, done.roles))
     money = [done.roles[r] for r in ("monto", "costo") if r in done.roles]
-    if A.mixed_currency(done.frame.select(*[F.col(f"`{c}`").alias(f"m{i}") for i, c in enumerate(money)]), *[f"m{i}" for i in range(len(money))]):
+    if A.mixed_currency(done.frame.select(*[col(c).alias(f"m{i}") for i, c in enumerate(money)]), *[f"m{i}" for i in range(len(money))]):
         return Metrics(mixed_currency=True, profile="ventas")
     rows, amount = counting_rows(done, since, until, filters), roles["monto"]
     cost = roles.get("costo")
@@ -148,14 +149,14 @@ def detect_relations(sheets: dict[str, DataFrame]) -> list[Relation]:
 
 
 def _relation(sheets: dict[str, DataFrame], left: str, right: str, a: list[str], b: list[str]) -> Relation:
-    key = lambda names: F.when(_all_known(names), F.struct(*[relation_key(F.col(f"`{n}`")).alias(f"k{i}") for i, n in enumerate(names)]))
+    key = lambda names: F.when(_all_known(names), F.struct(*[relation_key(col(n)).alias(f"k{i}") for i, n in enumerate(names)]))
     return Relation(left, right, a, b, RelationStats(**relation_stats(sheets[left], key(a), sheets[right], key(b)).first().asDict()))
 
 
 def _all_known(names: list[str]) -> Column:
     known = F.lit(True)
     for n in names:
-        known = known & relation_key(F.col(f"`{n}`")).isNotNull()
+        known = known & relation_key(col(n)).isNotNull()
     return known
 
 
@@ -164,10 +165,10 @@ def dashboard(sheets: dict[str, DataFrame], relation: Relation, amount: str, lab
     if not relation.stats.safe:
         raise UnsafeJoin(f"{relation.left} and {relation.right} are not safely related")
     joined = safe_left_join(_keyed(sheets[relation.left], relation.left_keys), _keyed(sheets[relation.right], relation.right_keys), [f"_k{i}" for i in range(len(relation.left_keys))], [f"_k{i}" for i in range(len(relation.right_keys))], suffix=relation.right)
-    groups = A.group_profit(joined, F.col(f"`{label}`"), F.col(f"`{amount}`"), F.col(f"`{cost}`") if cost else None)
-    quality = joined.agg(F.count("*").alias("rows"), F.count(F.col(f"`{label}`")).alias("matched"))
+    groups = A.group_profit(joined, col(label), col(amount), col(cost) if cost else None)
+    quality = joined.agg(F.count("*").alias("rows"), F.count(col(label)).alias("matched"))
     return {"quality": quality, "groups": groups, "top": groups.orderBy(F.desc("net"), "group").limit(top)}
 
 
 def _keyed(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.select("*", *[relation_key(F.col(f"`{n}`")).alias(f"_k{i}") for i, n in enumerate(names)])
+    return df.select("*", *[relation_key(col(n)).alias(f"_k{i}") for i, n in enumerate(names)])

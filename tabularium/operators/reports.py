@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabularium.functions.names import col
 from tabularium.functions.numbers import ratio
 from tabularium.functions.text import is_blank, plain
 from tabularium.operators.aggregates import exact_quantiles, outlier_fences
@@ -16,11 +17,11 @@ MONTH_NAMES = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "
 
 def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, values, mean, median, least, most) of number columns: one aggregate, and the medians in bounded memory."""
-    number = lambda c: F.col(f"`{c}`").cast("double")
+    number = lambda c: col(c).cast("double")
     known = lambda c: F.when(~F.isnan(number(c)), number(c))
     of = lambda c: F.struct(F.count(known(c)).alias("values"), F.avg(known(c)).alias("mean"), F.min(known(c)).alias("least"), F.max(known(c)).alias("most"))
     wide = df.agg(*[of(c).alias(f"c{i}") for i, c in enumerate(columns)])
-    middle = {c: (exact_quantiles(df, F.col(f"`{c}`"), [0.5])[1] or [None])[0] for c in columns}
+    middle = {c: (exact_quantiles(df, col(c), [0.5])[1] or [None])[0] for c in columns}
     rows = []
     for i, c in enumerate(columns):
         x = F.col(f"c{i}")
@@ -38,7 +39,7 @@ def distribution(df: DataFrame, label: Column, limit: int = 12) -> DataFrame:
 
 def groupings_worth_showing(df: DataFrame, columns: list[str], most: int = 4, least_filled: float = 0.6) -> list[str]:
     """Up to ``most`` columns with 2 to 30 different labels that are mostly filled, the fuller ones first."""
-    wide = df.agg(F.count("*").alias("n"), *[F.struct(F.count(F.when(~is_blank(F.col(f"`{c}`")), 1)).alias("filled"), F.approx_count_distinct(f"`{c}`", 0.02).alias("different")).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    wide = df.agg(F.count("*").alias("n"), *[F.struct(F.count(F.when(~is_blank(col(c)), 1)).alias("filled"), F.approx_count_distinct(col(c), 0.02).alias("different")).alias(f"c{i}") for i, c in enumerate(columns)]).first()
     share = {c: wide[f"c{i}"]["filled"] / max(wide["n"], 1) for i, c in enumerate(columns) if 2 <= wide[f"c{i}"]["different"] <= 30}
     return sorted((c for c, x in share.items() if x >= least_filled), key=lambda c: (-share[c], columns.index(c)))[:most]
 
@@ -71,7 +72,7 @@ def chart_series(groups: DataFrame, label: str, value: str, most: int = 12, rest
 
     groups has a row per label; the first ranks are a top-n, and only those few rows are windowed.
     """
-    known = groups.where(F.col(value).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(value).cast("double").alias("value"))
+    known = groups.where(col(value).isNotNull()).select(col(label).cast("string").alias("label"), col(value).cast("double").alias("value"))
     top = known.orderBy(F.desc("value"), "label").limit(most)
     others = known.join(F.broadcast(top.select("label")), "label", "left_anti").agg(F.sum("value").alias("value")).where("value IS NOT NULL").select(F.lit(rest).alias("label"), "value", F.lit(1).alias("last"))
     rows = top.withColumn("last", F.lit(0)).unionByName(others)
@@ -91,7 +92,7 @@ def natural_rank(label: Column) -> Column:
 
 def heat_scale(cells: DataFrame, value: str, top: float = 0.95) -> DataFrame:
     """cells with ``intensity`` from -1 to 1: the value over the 95th percentile of sizes, so that few large ones don't pale the rest."""
-    number = F.col(value).cast("double")
+    number = col(value).cast("double")
     scale = F.lit((exact_quantiles(cells, F.abs(number), [top])[1] or [None])[0]).cast("double")
     return cells.withColumn("intensity", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio(number, scale))))
 
