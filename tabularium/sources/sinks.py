@@ -1,26 +1,26 @@
-"""Writers: typed and raw columns side by side, formulas neutralised, content hashes, a small workbook writer."""
+"""Writers: typed and raw columns side by side, formulas neutralised, content hashes, audited exports."""
 
 from __future__ import annotations
 
 import json
-import zipfile
 from dataclasses import asdict
-from xml.sax.saxutils import escape, quoteattr
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabularium.functions.names import col
 from tabularium.functions.text import safe_cell
 from tabularium.operators.cleaning import Cleaned, Rules
+from tabularium.sources.books import CHANGED, REVIEW, SHEET_ROWS, Sheet, write_book
 
-#: Rows of a worksheet that spreadsheets can open.
-SHEET_ROWS = 1_048_576
+__all__ = ["SHEET_ROWS", "content_hash", "export_frame", "write_audited", "write_audited_book", "write_csv", "write_workbook"]
 
 
 def export_frame(df: DataFrame, numbers: dict[str, Column] | None = None, dates: dict[str, Column] | None = None) -> DataFrame:
     """df for export: parsed values beside the text of each typed column, and no text that would run as a formula."""
     typed = {**(numbers or {}), **(dates or {})}
-    cells = [safe_cell(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes]
+    cells = [safe_cell(col(c)).alias(c) if t == "string" else col(c) for c, t in df.dtypes]
     return df.select(*cells, *[value.alias(f"{c}__typed") for c, value in typed.items()])
 
 
@@ -30,58 +30,14 @@ def write_csv(df: DataFrame, path: str, separator: str = ";") -> None:
 
 def content_hash(df: DataFrame) -> str:
     """A hash of the table's rows that depends neither on files nor on order; repeated rows count."""
-    row = F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"}), 256)
+    row = F.sha2(F.to_json(F.struct(*[col(c).cast("string").alias(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"}), 256)
     parts = [F.sum(F.conv(F.substring(row, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(4)]
     return df.agg(F.sha2(F.concat_ws("|", F.count("*").cast("string"), *parts), 256).alias("h")).first()["h"]
 
 
-def _letters(n: int) -> str:
-    out = ""
-    while True:
-        out = chr(65 + n % 26) + out
-        n = n // 26 - 1
-        if n < 0:
-            return out
-
-
 def write_workbook(frames: dict[str, DataFrame], path: str) -> None:
-    """A workbook of reports, whose rows pass through the driver one partition at a time.
-
-    Sheets are counted before anything is written, and one with more rows than spreadsheets open is refused: tables of
-    that size are written by write_csv, in tasks.
-    """
-    for name, frame in frames.items():
-        if frame.limit(SHEET_ROWS).count() >= SHEET_ROWS:
-            raise ValueError(f"{name} has more rows than spreadsheets open; write it as CSV")
-    types = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(frames) + 1))
-    sheets = "".join(f'<sheet name={quoteattr(name[:31])} sheetId="{i}" r:id="rId{i}"/>' for i, name in enumerate(frames, 1))
-    links = "".join(f'<Relationship Id="rId{i}" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(frames) + 1))
-    head, main = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>', "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-    package, document = "http://schemas.openxmlformats.org/package/2006", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
-        book.writestr("[Content_Types].xml", f'{head}<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{types}</Types>')
-        book.writestr("_rels/.rels", f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{document}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        book.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{document}"><sheets>{sheets}</sheets></workbook>')
-        book.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{package}/relationships">{links}</Relationships>')
-        for i, frame in enumerate(frames.values(), 1):
-            kinds = [t in ("int", "bigint", "double", "float") or t.startswith("decimal") for _, t in frame.dtypes]
-            with book.open(f"xl/worksheets/sheet{i}.xml", "w") as out:
-                out.write(f'{head}<worksheet xmlns="{main}"><sheetData>'.encode())
-                rows = [frame.columns]
-                for n, row in enumerate(_chain(rows, frame.toLocalIterator()), 1):
-                    cells = []
-                    for j, value in enumerate(row):
-                        if value is None:
-                            continue
-                        where = f"{_letters(j)}{n}"
-                        cells.append(f'<c r="{where}"><v>{value}</v></c>' if n > 1 and kinds[j] else f'<c r="{where}" t="inlineStr"><is><t xml:space="preserve">{escape(str(value))}</t></is></c>')
-                    out.write(f'<row r="{n}">{"".join(cells)}</row>'.encode())
-                out.write(b"</sheetData></worksheet>")
-
-
-def _chain(*parts):
-    for part in parts:
-        yield from part
+    """A workbook of reports, written in tasks. A sheet with more rows than spreadsheets open is refused before writing."""
+    write_book(frames, path)
 
 
 MANIFEST = "key string, value string"
@@ -105,3 +61,33 @@ def write_audited(done: Cleaned, rules: Rules, folder: str, source: str) -> Data
     manifest = spark.createDataFrame(list(said.items()), MANIFEST)
     write_csv(manifest, f"{folder}/manifiesto")
     return manifest
+
+
+SCOPE = "alcance_exportacion"
+
+
+def write_audited_book(done: dict[str, Cleaned], rules: Rules, path: str, source: str, row: str = "_src_row", split: bool = False) -> DataFrame:
+    """Cleaned sheets in one workbook with everything that was done to them, written in tasks; its manifest (sheet, key, value).
+
+    Each sheet keeps its name and its order; changed cells are coloured, and in another colour those kept for a look.
+    Columns of numbers and days hold typed cells, texts that do not read as such stay text. Three sheets follow:
+    Observaciones (what needs a look), Auditoria (every changed, kept or removed thing) and Manifiesto (source, rules,
+    counts and digests of each sheet's data and audit). Rows never reach the driver.
+    """
+    spark = next(iter(done.values())).frame.sparkSession
+    sheets, audits, said = {}, [], [("", "fuente", source), ("", "reglas", json.dumps(asdict(rules), sort_keys=True))]
+    for name, x in done.items():
+        cells = x.audit.where((F.col("column") != "*") & (F.col("rule") != SCOPE))
+        mark = F.when(F.col("action") == "transformado", CHANGED).otherwise(REVIEW)
+        kinds = {r["column"]: r["kind"] for r in x.by_column.select("column", "kind").collect()}
+        sheets[name] = Sheet(x.frame, row, cells.select("row", "column", mark), kinds)
+        audits.append(x.audit.select(F.lit(name).alias("sheet"), "*"))
+        counts = x.audit.agg(F.count(F.when(F.col("action") == "transformado", 1)).alias("c"), F.count(F.when((F.col("action") != "transformado") & (F.col("rule") != SCOPE), 1)).alias("o")).first()
+        said += [(name, "filas", str(x.frame.count())), (name, "cambios", str(counts["c"])), (name, "observaciones", str(counts["o"]))]
+        said += [(name, "sha_datos", content_hash(x.frame)), (name, "sha_auditoria", content_hash(x.audit)), *((name, f"aviso_{i}", w) for i, w in enumerate(x.warnings, 1))]
+    audit = reduce(DataFrame.union, audits)
+    manifest = spark.createDataFrame(said, "sheet string, key string, value string")
+    review = audit.where((F.col("action") != "transformado") & (F.col("rule") != SCOPE))
+    extra = {"Observaciones": review, "Auditoria": audit, "Manifiesto": manifest.coalesce(1)}
+    write_book(sheets | {name if name not in sheets else f"{name}_": frame for name, frame in extra.items()}, path, split)
+    return manifest
