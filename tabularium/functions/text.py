@@ -141,7 +141,7 @@ def rut_masked(canonical: Column) -> Column:
 
 
 #: Text whose Latin-1 characters, as bytes, are well-formed UTF-8.
-_UTF8_AS_LATIN = (
+UTF8_AS_LATIN = (
     r"^(?:[\x{00}-\x{7F}]|[\x{C2}-\x{DF}][\x{80}-\x{BF}]|\x{E0}[\x{A0}-\x{BF}][\x{80}-\x{BF}]|[\x{E1}-\x{EC}\x{EE}\x{EF}][\x{80}-\x{BF}]{2}"
     r"|\x{ED}[\x{80}-\x{9F}][\x{80}-\x{BF}]|\x{F0}[\x{90}-\x{BF}][\x{80}-\x{BF}]{2}|[\x{F1}-\x{F3}][\x{80}-\x{BF}]{3}|\x{F4}[\x{80}-\x{8F}][\x{80}-\x{BF}]{2})*+$"
 )
@@ -149,5 +149,5 @@ _UTF8_AS_LATIN = (
 
 def mojibake_repaired(text: Column) -> Column:
     """UTF-8 text that was read as Latin-1, read again; only where all of it is well-formed that way."""
-    broken = text.rlike(r"[\x{C2}-\x{F4}][\x{80}-\x{BF}]") & text.rlike(_UTF8_AS_LATIN)
+    broken = text.rlike(r"[\x{C2}-\x{F4}][\x{80}-\x{BF}]") & text.rlike(UTF8_AS_LATIN)
     return F.when(broken, F.decode(F.encode(text, "ISO-8859-1"), "UTF-8")).otherwise(text)
