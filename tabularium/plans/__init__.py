@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tabularium.plans import cleaning, comparison, related, relations, repair, reporting, requests, sales, services
+from tabularium.plans import cleaning, comparison, filters, related, relations, repair, reporting, requests, sales, services
 from tabularium.streaming import events
 
-MODULES = (sales, relations, related, cleaning, requests, comparison, services, reporting, repair, events)
+MODULES = (sales, relations, related, cleaning, requests, comparison, services, reporting, repair, filters, events)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
