@@ -9,7 +9,7 @@ import re
 import unicodedata
 import zipfile
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 from functools import lru_cache
 from xml.etree import ElementTree
@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tabularium.functions.names import col, quoted
+from tabularium.functions.roles import is_identifier
 from tabularium.operators.reshape import summary_rows
 from tabularium.sources.books import files_of
 
@@ -505,6 +506,7 @@ class SheetShape:
     row: int  # the header's, 0 without any cell
     dimension: str | None
     merged: list[str]
+    titles: list[str] = field(default_factory=list)  # texts above the header
 
 
 def sheet_shape(path: str, name: str) -> SheetShape:
@@ -534,7 +536,8 @@ def sheet_shape(path: str, name: str) -> SheetShape:
     width = 1 + max(*(max(lines[r]) for r in lines), _column_number(last[1]) if last else 0)
     table = [[lines[r].get(i, "") for i in range(width)] for r in top]
     at = header_row(table)
-    return SheetShape(unique_headers(table[at]), top[at], stated[1].decode() if stated else None, merged)
+    titles = [lines[r][c] for r in top[:at] for c in sorted(lines[r])]
+    return SheetShape(unique_headers(table[at]), top[at], stated[1].decode() if stated else None, merged, titles)
 
 
 def workbook_headers(path: str) -> dict[str, list[str]]:
@@ -576,10 +579,42 @@ def formulas(spark: SparkSession, path: str) -> DataFrame:
     """(sheet, column, formulas, volatile): how many cells of each column are formulas, and such that change by themselves."""
     spark.dataSource.register(Workbook)
     cells = spark.read.format("workbook").option("path", path).load().where("formula IS NOT NULL")
-    volatile = F.col("formula").rlike(r"(?i)\b(now|today|rand|randbetween|offset|indirect)\(")
+    volatile = F.col("formula").rlike(VOLATILE)
     return cells.groupBy("sheet", "column").agg(F.count("*").alias("formulas"), F.count(F.when(volatile, 1)).alias("volatile"))
 
 
+#: Functions whose result changes by itself.
+VOLATILE = r"(?i)\b(?:now|today|rand|randbetween|offset|indirect)\("
+
+
+def formula_notes(spark: SparkSession, path: str, sheet: str, examples: int = 5) -> tuple[DataFrame, list[str]]:
+    """(column, formulas, volatile, fixed, identifier, examples) of a sheet's columns with formulas, and warnings.
+
+    Only rows below the header and columns with a header count. fixed are filled cells without a formula; a column
+    that has both may change when the book is opened again, and so may one of formulas alone. Volatile formulas in a
+    column of identifiers make ids that are not stable. Cells are counted in one aggregate by column.
+    """
+    spark.dataSource.register(Workbook)
+    shape = sheet_shape(path, sheet)
+    schema = "column string, formulas long, volatile long, fixed long, identifier boolean, examples array<string>"
+    if not shape.row:
+        return spark.createDataFrame([], schema), []
+    cells = spark.read.format("workbook").options(path=path, sheet=sheet).load().where((F.col("row") > shape.row) & (F.col("column") < len(shape.headers)))
+    is_formula = F.col("formula").isNotNull()
+    listed = F.transform(F.slice(F.array_sort(F.collect_list(F.when(is_formula, F.struct("row", F.left("formula", F.lit(300)).alias("f"))))), 1, examples), lambda x: F.concat(F.lit("="), x["f"]))
+    counted = cells.groupBy("column").agg(
+        F.count(F.when(is_formula, 1)).alias("formulas"), F.count(F.when(is_formula & F.col("formula").rlike(VOLATILE), 1)).alias("volatile"),
+        F.count(F.when(~is_formula & (F.coalesce(F.col("text"), F.lit("")) != ""), 1)).alias("fixed"), listed.alias("examples"),
+    ).where("formulas > 0")
+    rows = [(shape.headers[r["column"]], r["formulas"], r["volatile"], r["fixed"], is_identifier(shape.headers[r["column"]]), r["examples"]) for r in counted.orderBy("column").collect()]
+    said = []
+    for name, n, volatile, fixed, identifier, _ in rows:
+        said.append(f"{name}: {n} cells are formulas{' among fixed values' if fixed else ''}; they may change when the book is opened again")
+        if identifier and volatile:
+            said.append(f"{name}: {volatile} volatile formulas in a column of identifiers; its ids are not stable")
+    return spark.createDataFrame(rows, schema), said
+
+
 def sheet_profile(frame: DataFrame, name: str, sample: int = 60) -> tuple[str, list[str]]:
     """(datos, auxiliar or ambigua, reasons) from the name and the density of the first rows."""
     columns = [c for c in frame.columns if c not in (ROW, SHEET)]
