@@ -75,5 +75,8 @@ def test_operators_with_inner_names(spark, sheet):
     assert out.columns == [*sheet.columns, "_price"] and out.where("_price = 5.0").count() == 8
     assert joins.safe_left_join(sheet.where(F.col("`Cod. Cliente`").isin("C-001", "C-002")), prices, ["Cod. Cliente"], ["Cod. Cliente"]).count() == 16
     assert aggregates.top_and_rest(sheet, col("Cod. Cliente"), F.lit(1), 2).columns == [*sheet.columns, "group"]
+    tall = spark.createDataFrame([("a", "ene.", 1), ("a", "feb.", 2), ("b", "ene.", 3)], "`Cod. X` string, `Mes.` string, `Monto.` int")
+    wide = reshape.pivot_months(tall, ["Cod. X"], "Mes.", "Monto.", ["ene.", "feb."])
+    assert sorted(tuple(r) for r in reshape.unpivot_months(wide, ["Cod. X"], ["ene.", "feb."]).collect()) == sorted(tuple(r) for r in tall.collect())
     n, q = aggregates.exact_quantiles(spark.createDataFrame([(float("inf"),), (1.0,), (2.0,)], "v double"), F.col("v"), [0.0, 0.5, 1.0], most=2)
     assert (n, q) == (3, [1.0, 2.0, float("inf")])
